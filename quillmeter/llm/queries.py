@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import byte_bpe as bpe
+from . import token_counts as counts
+from .common import table, vocabulary_path
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .source_mix import mix_sources
@@ -26,6 +28,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path(counts.MODEL))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path(bpe.VOCABULARY), bpe.default_pattern())
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
@@ -95,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op5_token_counts": op5_token_counts,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_mix_sources": op10_mix_sources,
     }
 
