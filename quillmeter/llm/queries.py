@@ -12,6 +12,7 @@ from . import token_counts as counts
 from .common import table, vocabulary_path
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .secret_scan import secret_scan, span_text
 from .source_mix import mix_sources
 
 
@@ -19,6 +20,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -104,6 +110,7 @@ FROM placed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
         "op9_byte_bpe": op9_byte_bpe,
