@@ -82,16 +82,20 @@ def found(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("start", F.col("end") - F.length("match")).select("doc_id", "version", "kind", "start", "end", "match", "secret")
 
 
-def two_sided(z: Column) -> Column:
-    """P(|N(0, 1)| > |z|), by the rational approximation of erfc (absolute error below 1.5e-7, so never under 1e-12 here)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.greatest(poly * F.exp(-x * x), F.lit(1e-12))
+def with_tails(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Adds <name>_p = P(|N(0, 1)| > |z|) for each column of z values, step by step, so no step repeats the one before.
 
+    The rational approximation of erfc has an absolute error below 1.5e-7; results count as 1e-12 at least.
+    """
+    rows = rows.withColumns({f"{n}_x": F.abs(n) / F.sqrt(F.lit(2.0)) for n in names})
+    rows = rows.withColumns({f"{n}_t": 1 / (1 + 0.3275911 * F.col(f"{n}_x")) for n in names})
+
+    def tail(n: str) -> Column:
+        t, x = F.col(f"{n}_t"), F.col(f"{n}_x")
+        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        return F.greatest(poly * F.exp(-x * x), F.lit(1e-12))
 
-def upper_tail(z: Column) -> Column:
-    return F.greatest(F.when(z >= 0, two_sided(z) / 2).otherwise(1 - two_sided(z) / 2), F.lit(1e-12))
+    return rows.withColumns({f"{n}_p": tail(n) for n in names}).drop(*[f"{n}_{c}" for n in names for c in "xt"])
 
 
 def tested(candidates: DataFrame) -> DataFrame:
@@ -117,20 +121,20 @@ def tested(candidates: DataFrame) -> DataFrame:
     chi_z = (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
     high = F.aggregate("x", F.lit(0.0), lambda s, v: s + F.when(v > 0, 1.0).otherwise(0.0))
     pairs = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
-    changes = F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.when((p["u"] > 0) != (p["v"] > 0), 1.0).otherwise(0.0))
-    rows = rows.withColumn("pairs", pairs).withColumns({"high": high, "runs": changes + 1})
-    both = 2 * F.col("high") * (F.col("n") - F.col("high"))
-    runs_z = F.when(both == 0, F.lit(9.0)).otherwise(
-        (F.col("runs") - 1 - both / F.col("n")) / F.sqrt(F.greatest(both * (both - F.col("n")) / (F.col("n") * F.col("n") * (F.col("n") - 1)), F.lit(1e-9)))
-    )
     mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.col("n")
-    rows = rows.withColumn("mean", mean)
+    rows = rows.withColumns({"pairs": pairs, "high": high, "mean": mean})
+    changes = F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.when((p["u"] > 0) != (p["v"] > 0), 1.0).otherwise(0.0))
     spread = F.aggregate("x", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean")))
     lagged = F.aggregate("pairs", F.lit(0.0), lambda s, p: s + (p["u"] - F.col("mean")) * (p["v"] - F.col("mean")))
-    serial_z = F.when(spread == 0, F.lit(9.0)).otherwise((lagged / spread + 1 / (F.col("n") - 1)) * F.sqrt("n"))
-    half = -(F.ln(upper_tail(chi_z)) + F.ln(two_sided(runs_z)) + F.ln(two_sided(serial_z)))  # half of Fisher's statistic, 6 degrees of freedom
+    rows = rows.withColumns({"runs": changes + 1, "both": 2 * F.col("high") * (F.col("n") - F.col("high")), "spread": spread, "lagged": lagged})
+    both, n = F.col("both"), F.col("n")
+    runs_z = F.when(both == 0, F.lit(9.0)).otherwise((F.col("runs") - 1 - both / n) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9))))
+    serial_z = F.when(F.col("spread") == 0, F.lit(9.0)).otherwise((F.col("lagged") / F.col("spread") + 1 / (n - 1)) * F.sqrt(n))
+    rows = with_tails(rows.withColumns({"chi_z": chi_z, "runs_z": runs_z, "serial_z": serial_z}), ["chi_z", "runs_z", "serial_z"])
+    uneven = F.greatest(F.when(F.col("chi_z") >= 0, F.col("chi_z_p") / 2).otherwise(1 - F.col("chi_z_p") / 2), F.lit(1e-12))
+    half = -(F.ln(uneven) + F.ln("runs_z_p") + F.ln("serial_z_p"))  # half of Fisher's statistic, 6 degrees of freedom
     rows = rows.withColumn("half", half).withColumn("p", F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2))
-    return rows.drop("token", "x", "pairs", "alphabet", "a", "chi", "high", "runs", "mean", "half")
+    return rows.select(*candidates.columns, "encoding", "n", "p")
 
 
 def still_random(rows: DataFrame, fdr: float = FDR) -> DataFrame:
