@@ -14,12 +14,18 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .secret_scan import secret_scan, span_text
 from .source_mix import mix_sources
+from .toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
@@ -110,6 +116,7 @@ FROM placed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
