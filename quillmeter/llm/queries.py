@@ -12,6 +12,7 @@ from . import token_counts as counts
 from .common import table, vocabulary_path
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
 from .secret_scan import secret_scan, span_text
 from .source_mix import mix_sources
 from .toxicity import toxicity
@@ -44,6 +45,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path(counts.MODEL))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path(bpe.VOCABULARY), bpe.default_pattern())
 
@@ -120,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
+        "op7_near_dedup": op7_near_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_mix_sources": op10_mix_sources,
     }
