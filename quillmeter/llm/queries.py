@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe as bpe
 from . import token_counts as counts
+from .ann_search import ann_search
 from .common import table, vocabulary_path
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -45,6 +46,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path(counts.MODEL))
 
 
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -125,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
+        "op6_ann_search": op6_ann_search,
         "op7_near_dedup": op7_near_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_mix_sources": op10_mix_sources,
