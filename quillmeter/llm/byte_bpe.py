@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from .common import whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks in each of a worker's two cache generations; longer ones (in characters) are not kept.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 600_000, 64
+#: Characters of text learnt together.
+TOGETHER = 1 << 18
 #: Where white space does not stand alone between other characters, the pattern is applied to the whole text.
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
 
@@ -86,7 +89,8 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         #: first id << 32 | second id -> rank of their joined bytes, for all pairs that have one.
         self.pairs = {
@@ -96,38 +100,42 @@ class BytePairs:
             if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
         }
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token."""
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        for piece in pieces:
-            at, n = len(ids), len(piece)
-            starts.append(at)
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                ids.append(whole)
-                n = 1
-            else:
-                ids.extend([self.single[b] for b in piece])
-            before.append(-1)
-            before.extend(range(at, at + n - 1))
-            after.extend(range(at + 1, at + n))
-            after.append(-1)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian unsigned 32-bit integers."""
+        out = [None if (whole := self.ranks.get(p)) is None else whole.to_bytes(4, "little") for p in pieces]
+        split = [i for i, ids in enumerate(out) if ids is None and pieces[i]]
+        data = np.frombuffer(b"".join([pieces[i] for i in split]), np.uint8)
+        ends = np.cumsum([len(pieces[i]) for i in split], dtype=np.int64)
+        if not len(data):
+            return [ids or b"" for ids in out]
+        starts = np.concatenate([[0], ends[:-1]])
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends - 1], before[starts] = -1, -1
+        waiting = np.full(len(data), -1, np.int64)  # the rank under which a position's pair waits now
+        waiting[:-1] = self.first[data[:-1], data[1:]]
+        waiting[ends - 1] = -1
+        order = np.argsort(waiting, kind="stable")
+        order = order[np.searchsorted(waiting[order], 0) :]
+        ranks, at = np.unique(waiting[order], return_index=True)
+        for rank, positions in zip(ranks.tolist(), np.split(order, at[1:])):
+            self.queue.add(rank, positions.tolist())
+        ids = self._merge(self.single[data].tolist(), after.tolist(), before.tolist(), waiting.tolist())
+        ids = np.array(ids, np.int64)
+        kept = ids >= 0
+        coded = ids[kept].astype("<u4").tobytes()
+        number = np.concatenate([[0], np.cumsum(kept)]) * 4
+        for i, a, b in zip(split, number[starts].tolist(), number[ends].tolist()):
+            out[i] = coded[a:b]
+        return [ids or b"" for ids in out]
+
+    def _merge(self, ids: list[int], after: list[int], before: list[int], waits: list[int]) -> list[int]:
+        """Runs the queue until it is empty; -1 marks positions merged away."""
         pair, queue = self.pairs.get, self.queue
         buckets, add = queue.buckets, queue.add
-        waits = [-1] * len(ids)  # the rank under which a position's pair waits now
-        for i, j in enumerate(after):
-            if j >= 0 and (rank := pair(ids[i] << 32 | ids[j], -1)) >= 0:
-                waits[i] = rank
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    add(rank, [i])
         while queue.root:
             rank, positions = queue.pop()
-            positions.sort()
+            if len(positions) > 1:
+                positions.sort()
             for at, i in enumerate(positions):
                 if waits[i] != rank:
                     continue  # outdated
@@ -137,8 +145,8 @@ class BytePairs:
                 lower = False
                 if k >= 0:
                     before[k] = i
-                    r = pair(rank << 32 | ids[k], -1)
-                    if r >= 0:
+                    r = pair(rank << 32 | ids[k])
+                    if r is not None:
                         waits[i] = r
                         lower = r < rank
                         if r in buckets:
@@ -157,10 +165,9 @@ class BytePairs:
                             else:
                                 add(r, [h])
                 if lower and at + 1 < len(positions):  # a lower rank goes before the rest of this bucket
-                    buckets.setdefault(rank, []).extend(positions[at + 1 :])
-                    add(rank, buckets[rank])
+                    add(rank, buckets.get(rank, []) + positions[at + 1 :])
                     break
-        return [[x for x in ids[a:b] if x >= 0] for a, b in zip(starts, [*starts[1:], len(ids)])]
+        return ids
 
 
 class Encoder:
@@ -187,33 +194,40 @@ class Encoder:
         known, plain = self.known, self.plain
         return b"".join([known[p[1:]] if p[0] == " " and len(p) > 1 else plain[p] for p in pieces])
 
-    def _learn(self, cuts: list[list[str]]) -> dict[str, bytes]:
-        new = {p for pieces in cuts for p in pieces if (p[1:] not in self.known if p[0] == " " and len(p) > 1 else p not in self.plain)}
-        if new:
-            if len(self.plain) > self.cached:
-                self.plain.clear()
-                new.update(p for pieces in cuts for p in pieces if not (p[0] == " " and len(p) > 1))
-            new = list(new)
-            for p, ids in zip(new, self.pairs.merge([p.encode() for p in new])):
-                coded = np.array(ids, "<u4").tobytes()
-                if p[0] == " " and len(p) > 1:
-                    self.known[p[1:]] = coded
-                else:
-                    self.plain[p] = coded
+    def _learn(self, cuts: list[list[str]]) -> None:
+        new = list({p for pieces in cuts for p in pieces if (p[1:] not in self.known if p[0] == " " and len(p) > 1 else p not in self.plain)})
+        for p, ids in zip(new, self.pairs.merge([p.encode() for p in new])):
+            if p[0] == " " and len(p) > 1:
+                self.known[p[1:]] = ids
+            else:
+                self.plain[p] = ids
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; texts of about ``TOGETHER`` characters are learnt together."""
+        group: list[str] = []
+        for text in texts:
+            group.append(text)
+            if sum(map(len, group)) >= TOGETHER:
+                yield from self._encode_group(group)
+                group = []
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.cached:
             self.known, self.older = {}, self.known
-        if UNEVEN.search(text):
-            pieces = self.cut(text)
-            self._learn([pieces])
-            out = self._pieces(pieces)
-            self._forget_long(pieces)
-            return out
-        first, *chunks = text.split(" ")
-        missing = set(chunks).difference(self.known)
+        if len(self.plain) > self.cached:
+            self.plain.clear()
+        parts, missing = [], set()
+        for text in texts:
+            if UNEVEN.search(text):
+                parts.append((self.cut(text), []))
+            else:
+                first, *chunks = text.split(" ")
+                parts.append((self.cut(first), chunks))
+                missing.update(set(chunks).difference(self.known))
         unknown = []
         for chunk in missing:
             ids = self.older.get(chunk)
@@ -221,13 +235,15 @@ class Encoder:
                 unknown.append(chunk)
             else:
                 self.known[chunk] = ids
-        cuts = [self.cut(first), *[self.cut(" " + chunk) for chunk in unknown]]
-        self._learn(cuts)
-        for chunk, pieces in zip(unknown, cuts[1:]):
-            if chunk not in self.known:
+        cuts = [self.cut(" " + chunk) for chunk in unknown]
+        self._learn([*(pieces for pieces, _ in parts), *cuts])
+        for chunk, pieces in zip(unknown, cuts):
+            if len(pieces) > 1:
                 self.known[chunk] = self._pieces(pieces)
-        out = self._pieces(cuts[0]) + b"".join(map(self.known.__getitem__, chunks))
-        self._forget_long([*cuts[0], *[" " + c for c in unknown], *[p for pieces in cuts for p in pieces]])
+        out = [self._pieces(pieces) + b"".join(map(self.known.__getitem__, chunks)) for pieces, chunks in parts]
+        self._forget_long([p for pieces, _ in parts for p in pieces])
+        self._forget_long([" " + c for c in unknown])
+        self._forget_long([p for pieces in cuts if len(pieces) > 1 for p in pieces])
         return out
 
     def _forget_long(self, pieces: list[str]) -> None:
@@ -280,8 +296,7 @@ def _with_worker(docs: DataFrame, vocabulary_path: str, pattern: str, text_col:
         worker = _workers[key]
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for text in batch.column(at).to_pylist():
-                coded = worker.encode(text or "")
+            for coded in worker.encode_all([text or "" for text in batch.column(at).to_pylist()]):
                 back = worker.decode(coded)
                 counts.append(len(coded) // 4)
                 ids.append(hashlib.sha256(coded).hexdigest() if digest else coded)
