@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe as bpe
+from . import lm_score as lm
 from . import token_counts as counts
 from .ann_search import ann_search
 from .common import table, vocabulary_path
@@ -54,6 +55,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_score(table(spark, sf_dir, "documents"), vocabulary_path(lm.MODEL))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path(bpe.VOCABULARY), bpe.default_pattern())
 
@@ -132,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_ann_search": op6_ann_search,
         "op7_near_dedup": op7_near_dedup,
+        "op8_lm_score": op8_lm_score,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_mix_sources": op10_mix_sources,
     }
