@@ -1,9 +1,13 @@
 """Registered core queries and their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from . import read_queries
+
 
 def queries():
-    return {}
+    return dict(read_queries.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(read_queries.ORACLES)
