@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-USAGE_EVENTS = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+
+
+def _fields(ddl: str) -> T.StructType:
+    """A schema from "name type, ..."; Spark's own parser would need a session at import."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in ddl.split(","))])
+
+
+USAGE_EVENTS = _fields(
     "event_id string, node_id string, request_id string, created_at long, app_type string, provider_id string, model string, "
     "request_model string, pricing_model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, "
     "input_token_semantics long, total_cost_usd string, latency_ms long, status_code long, is_streaming boolean, data_source string, received_at long"
 )
-PROVIDER_CATALOG = T.StructType.fromDDL("node_id string, app_type string, provider_id string, name string, updated_at long")
+PROVIDER_CATALOG = _fields("node_id string, app_type string, provider_id string, name string, updated_at long")
 ROLLUP_DIMENSIONS = ["node_id", "date", "app_type", "provider_id", "model", "request_model", "pricing_model"]
 ROLLUP_MEASURES = [
     "request_count", "success_count", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "total_cost_usd", "avg_latency_ms"
 ]
 #: What the importers give; the ledger adds prices to it.
-USAGE_RECORD = T.StructType.fromDDL(
+USAGE_RECORD = _fields(
     "source_order int, source_path string, position long, request_id string, created_at long, app_type string, provider_id string, provider_type string, "
     "model string, request_model string, pricing_model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, "
     "input_token_semantics long, latency_ms long, status_code long, is_streaming boolean, data_source string, session_id string, reported_total_cost_usd string"
