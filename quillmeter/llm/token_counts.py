@@ -76,21 +76,30 @@ class Lengths:
 
 
 def frequent_lengths(docs: DataFrame, model_path: str, keep: int = FREQUENT, warm_docs: int = WARM_DOCS) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of ``warm_docs`` documents: at most ``keep`` entries."""
+    """Lengths of pre-tokens frequent in the first documents: at most ``keep`` entries.
+
+    A task counts ``warm_docs`` documents at most and gives its pre-tokens in
+    order of their number; Spark starts with one partition and reads more only
+    while fewer than ``keep`` have come.
+    """
 
     def count(batches):
         seen: Counter[str] = Counter()
+        left = warm_docs
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).slice(0, left).to_pylist():
                 seen.update(p for p in pre_tokens(text) if len(p) <= LONGEST)
                 if len(seen) > 8 * keep:
                     seen = Counter(dict(seen.most_common(4 * keep)))
+            left -= batch.num_rows
+            if left <= 0:
+                break
         lengths = Lengths(model_path, {})
         top = [p for p, _ in seen.most_common(keep)]
         lengths.learn(set(top))
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([lengths.known[p] for p in top], pa.int64())], ["piece", "n"])
 
-    rows = docs.select(whole_text("text").alias("text")).limit(warm_docs).coalesce(1).mapInArrow(count, "piece string, n long")
+    rows = docs.select(whole_text("text").alias("text")).mapInArrow(count, "piece string, n long").limit(keep)
     return {r.piece: r.n for r in rows.collect()}
 
 
