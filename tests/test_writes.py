@@ -1,0 +1,155 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmeter.operators import ingest, ledger, pricing
+from quillmeter.schema import ROLLUP_DIMENSIONS, ROLLUP_MEASURES, USAGE_EVENTS, conform, with_event_defaults
+from quillmeter.sources import tables
+from quillmeter.streaming import upload
+
+
+def batch(spark, rows, extra=""):
+    return spark.createDataFrame(rows, "seq long, node_id string, request_id string, created_at long" + extra).withColumn("event_id", F.concat_ws(":", "node_id", "request_id"))
+
+
+def test_late_events_of_an_overlap(spark):
+    sent = batch(spark, [(i, "n", f"r{i:04d}", 1000 + i) for i in range(1201)])
+    empty = spark.createDataFrame([], USAGE_EVENTS)
+    new, marks = ingest.ingest_batch(empty, sent, 5)
+    assert new.count() == 1201
+    start = tables.overlap_start((2200, "r1200"), 600)
+    assert start == (1600, "")
+    logs = sent.unionByName(batch(spark, [(9999, "n", "late", 1700)]))
+    again = tables.cursor_scan(logs, start, 100_000)
+    marks = {r.disposition: r["count"] for r in ingest.ingest_batch(new, again.withColumn("seq", F.lit(1)), 6)[1].groupBy("disposition").count().collect()}
+    assert marks == {"duplicate": 601, "accepted": 1}
+
+
+def test_repeats_in_a_batch(spark):
+    empty = spark.createDataFrame([], USAGE_EVENTS)
+    marks = ingest.ingest_batch(empty, batch(spark, [(1, "n", "r", 1), (2, "n", "r", 2), (3, "n", "s", 3)]), 5)[1]
+    assert {(r.seq, r.disposition) for r in marks.collect()} == {(1, "accepted"), (2, "duplicate"), (3, "accepted")}
+
+
+def test_two_keys_are_folded_in_order(spark):
+    rows = [(1, "b", "x", "n", "r1"), (2, "b", "x", "n", "r2"), (3, "b", "y", "n", "r2"), (4, "b", "z", "n", "r1"), (5, "c", "x", "n", "r9")]
+    df = spark.createDataFrame(rows, "seq long, batch_id string, event_id string, node_id string, request_id string")
+    marks = {r.seq: r.disposition for r in ingest.dispositions_of_batches(spark.createDataFrame([], USAGE_EVENTS), df).collect()}
+    # 2 repeats an id; as it was not accepted, its request does not block 3
+    assert marks == {1: "accepted", 2: "duplicate", 3: "accepted", 4: "duplicate", 5: "accepted"}
+
+
+def test_batches_are_refused_whole(spark):
+    rows = [("a", "n", 1, "n"), ("a", "n", 1, "m"), ("b", "n", 1, "n"), ("c", "n", 2, "n")] + [("d", "n", 1, "n")] * 1001
+    df = spark.createDataFrame(rows, "batch_id string, batch_node_id string, schema_version int, node_id string")
+    assert {(r.batch_id, r.valid) for r in ingest.validate_batches(df).collect()} == {("a", False), ("b", True), ("c", False), ("d", False)}
+
+
+def test_snapshots():
+    ok = [{"app_type": "a", "provider_id": "p", "name": "n"}]
+    assert ingest.check_snapshot(ok, 1) == ok
+    for bad, version in (([ok[0] | {"name": " "}], 1), (ok, 2), (ok * 10_001, 1)):
+        with pytest.raises(ingest.InvalidSnapshot):
+            ingest.check_snapshot(bad, version)
+
+
+def test_catalog_renames_and_keeps(spark):
+    schema = "node_id string, app_type string, provider_id string, name string"
+    old = spark.createDataFrame([("n", "codex", "p", "Old"), ("n", "codex", "q", "Q")], schema).withColumn("updated_at", F.lit(1).cast("long"))
+    new = spark.createDataFrame([("n", "codex", "p", "DeepSeek", 0)], schema + ", seq long")
+    assert {(r.provider_id, r.name, r.updated_at) for r in ingest.upsert_catalog(old, new, 9).collect()} == {("p", "DeepSeek", 9), ("q", "Q", 1)}
+
+
+def test_rollups_replace_measures(spark):
+    schema = ", ".join(f"{c} string" for c in ROLLUP_DIMENSIONS) + ", " + ", ".join(f"{c} long" for c in ROLLUP_MEASURES)
+    row = ("n", "2026-01-01", "a", "p", "m", "", "", *range(8))
+    store = ingest.upsert_rollups(spark.createDataFrame([], f"snapshot_key string, {schema}, received_at long"), spark.createDataFrame([row + (0,)], schema + ", seq long"), 1)
+    later = ingest.upsert_rollups(store, spark.createDataFrame([row[:7] + tuple(range(10, 18)) + (0,)], schema + ", seq long"), 2).collect()
+    assert len(later) == 1 and later[0].request_count == 10 and later[0].received_at == 2
+
+
+def test_missing_semantics_count_as_zero(spark):
+    df = with_event_defaults(spark.createDataFrame([(None,)], "request_model string"))
+    assert df.first().asDict() == {"request_model": "", "input_token_semantics": 0}
+
+
+def test_price_feed(spark):
+    feed = {"v": {"models": {"Vendor/GPT-5@2025:free": {"cost": {"input": 1.0, "output": 15.0, "cache_read": -1.0, "cache_write": 3.125}}, "empty": {"cost": {}}, "none": {}}}}
+    got = pricing.flatten_prices(spark.createDataFrame([(json.dumps(feed),)], "value string")).collect()
+    assert [(r.price_key, r.input, r.output, r.cache_read, r.cache_creation) for r in got] == [("gpt-5-2025", 1.0, 15.0, 0.0, 3.125)]
+
+
+def test_candidates(spark):
+    def of(name):
+        return spark.createDataFrame([(name,)], "m string").select(pricing.candidates("m")).first()[0]
+
+    assert of("us.anthropic.claude-x-20250514") == ["us.anthropic.claude-x-20250514", "claude-x-20250514", "us.anthropic.claude-x"]
+    assert of("anthropic.claude-x") == ["anthropic.claude-x", "claude-x"]
+    assert of("a/b/GPT@5:free") == ["gpt-5"] and of("x-thinking") == ["x-thinking", "x"] and of("a/:b") == []
+
+
+def test_prices_are_matched_in_order(spark):
+    prices = spark.createDataFrame([("a-b", 1.0, 0.0, 0.0, 0.0), ("a-b-c", 2.0, 0.0, 0.0, 0.0), ("a-a", 3.0, 0.0, 0.0, 0.0)], "price_key string, input double, output double, cache_read double, cache_creation double")
+    models = spark.createDataFrame([("a-b",), ("a",), ("a-b-c-20250101",), ("b",)], "model string")
+    assert {(r.model, r.input) for r in pricing.match_prices(models, prices).collect()} == {("a-b", 1.0), ("a", 3.0), ("a-b-c-20250101", 2.0)}
+
+
+RECORD = "request_id string, created_at long, session_id string, provider_type string, data_source string, app_type string, provider_id string, model string, request_model string, pricing_model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, input_token_semantics long, total_cost_usd string, latency_ms long, status_code long, is_streaming boolean, cost_input double, cost_output double, cost_cache_read double, cost_cache_creation double, source_order int, source_path string, position long"  # noqa: E501
+
+
+def record(key, source="s", output=1, at=1, cost=0.0, order=0, position=0):
+    return (key, at, f"sess{at}", "t", source, "a", "p", "m", "", None, 1, output, 0, 0, 0, "0", 0, 200, True, cost, 0.0, 0.0, 0.0, order, "f", position)
+
+
+def test_ledger(spark):
+    run = lambda *rows: ledger.collapse_run(spark.createDataFrame(list(rows), RECORD))
+    one, counts = ledger.upsert_ledger(spark.createDataFrame([], RECORD), run(record("a"), record("b")))
+    assert tuple(counts.first()) == (2, 0)
+    two, counts = ledger.upsert_ledger(one, run(record("a", at=9, output=5), record("b", source="x", output=7), record("c", cost=1.0)))
+    assert tuple(counts.first()) == (2, 1)
+    assert {(r.request_id, r.output_tokens, r.created_at, r.session_id) for r in two.collect()} == {("a", 5, 1, "sess1"), ("b", 1, 1, "sess1"), ("c", 1, 1, "sess1")}
+    assert tuple(ledger.upsert_ledger(two, run(record("c", cost=2.0)))[1].first()) == (0, 1)  # component costs are no change
+    many = run(record("z", output=1, at=3), record("z", output=2, at=4, position=1), record("z", source="y", output=3, order=1)).collect()
+    assert [(r.output_tokens, r.created_at) for r in many] == [(2, 3)]
+
+
+def test_rebuild_swaps(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([record("a"), record("b")], RECORD)
+    ledger.rebuild(spark, rows.limit(1), path)
+    ledger.rebuild(spark, rows, path)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError):
+        ledger.rebuild(spark, rows.union(rows), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_mirror(spark):
+    logs = spark.createDataFrame([record("request-a"), record("request-b")], RECORD).drop("input_token_semantics", "session_id")
+    first, counts = ledger.mirror_source(spark.createDataFrame([], RECORD), logs)
+    assert tuple(counts.first()) == (2, 0) and tuple(ledger.mirror_source(first, logs)[1].first()) == (0, 2)
+
+
+def test_providers(spark):
+    assert tables.provider_snapshot(spark, None).count() == 5
+    rows = spark.createDataFrame([("u", "codex", "DeepSeek"), ("v", "codex", "  ")], "id string, app_type string, name string")
+    assert [tuple(r) for r in tables.provider_snapshot(spark, rows).collect()] == [("codex", "u", "DeepSeek")]
+
+
+def test_a_stream_is_stored_once(spark, tmp_path):
+    rows = conform(batch(spark, [(i, "n", f"r{i}", i) for i in range(10)]), USAGE_EVENTS)
+    store, source, checkpoint = (str(tmp_path / n) for n in ("store", "ledger", "checkpoint"))
+    rows.coalesce(1).write.parquet(source)
+    go = lambda: upload.upload_stream(spark, source, USAGE_EVENTS, store, checkpoint, 7, once=True).awaitTermination()
+    go()
+    rows.filter("created_at > 5").union(rows.filter("created_at = 9").withColumn("request_id", F.lit("new"))).coalesce(1).write.mode("append").parquet(source)
+    go()
+    assert upload.stored(spark, store).count() == 11
+    upload.accept(rows, 0, store, 7)  # a batch that runs again
+    assert upload.stored(spark, store).count() == 11 and upload.stored(spark, store).select("event_id").distinct().count() == 11
+
+
+def test_settled(spark):
+    df = spark.createDataFrame([(100,), (41,), (40,)], "created_at long")
+    assert upload.settled(df, 100).count() == 1
