@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,8 +163,7 @@ THREAD = "concat('00000000-0000-0000-0000-', lpad(CAST(u AS STRING), 12, '0'))"
 
 def codex_lines(spark: SparkSession, d: str) -> DataFrame:
     """One file a user: a meta line, then cumulative counters by event, with a model line before every tenth."""
-    e = _events(spark, d).createOrReplaceTempView("_codex_e")
-    del e
+    _events(spark, d).createOrReplaceTempView("_codex_e")
     return spark.sql(f"""
       WITH r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n) AS i, sum(k) OVER (PARTITION BY u ORDER BY n) AS total FROM _codex_e)
       SELECT concat('/s/rollout-2024-', {THREAD}, '.jsonl') AS path, 0 AS line_no, concat('{{"type":"session_meta","timestamp":1704000000,"payload":{{"id":"', {THREAD}, '"}}}}') AS line
@@ -231,7 +231,7 @@ def q_grok_explode(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The events uploaded as a stream of three files that overlap, into a store."""
-    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if not (at := spark.conf.get("spark.checkpoint.dir", None)) else f"{at}/stream-{id(object())}"
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if not (at := spark.conf.get("spark.checkpoint.dir", None)) else f"{at}/stream-{uuid.uuid4().hex}"
     rows = conform(usage_events(spark, d), USAGE_EVENTS).withColumn("n", F.regexp_extract("request_id", "[0-9]+", 0).cast("long"))
     for condition in ("n % 3 <> 0", "n % 2 = 0", "n % 4 <> 1"):
         rows.filter(condition).drop("n").coalesce(1).write.mode("append").parquet(f"{base}/ledger")
