@@ -7,11 +7,13 @@
    more than ``SMALL`` is not paired off: its members are compared with its most
    typical one (the one whose keys most others share) and a few drawn by hash,
    other ones in each band.  Members linked to a pivot are settled there; the rest
-   goes on with pivots of its own, until a round finds no link any more.  So a
-   bucket costs a few comparisons a member, however large it is.
-3. A comparison is the exact weighted Jaccard similarity of the shingles, from
+   goes on with pivots of its own for ``ROUNDS`` rounds.
+3. Where a bucket still has members of several classes, all links between
+   classes are found by an exact join on their rarest cells, settled members
+   included (``links_between_classes``).
+4. A comparison is the exact weighted Jaccard similarity of the shingles, from
    texts read once more for the candidates alone.
-4. Pairs of at least ``SIMILARITY`` are links; classes are their components.
+5. Pairs of at least ``SIMILARITY`` are links; classes are their components.
 
 Tables that are read more than once are written to the shared folder.  Nothing
 but counts reaches the driver.  With 32 bands of 5 rows a pair at 0.8 shares no
@@ -31,6 +33,9 @@ from .components import components
 SIMILARITY = 0.8
 #: Buckets of this size are paired off; of larger ones the most typical member and about ``DRAWN`` others are pivots.
 SMALL, DRAWN = 8, 2
+#: Pivots only join up the bulk; however many rounds, what they leave apart is verified exactly.
+ROUNDS = 2
+PART, EPSILON = 256, 1e-6
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -50,16 +55,20 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_cells long, fingerprint binary, bands array<long>")
 
 
-def cell_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, cells) of (doc_id, text)."""
+def cell_sets(docs: DataFrame, with_print: bool = False) -> DataFrame:
+    """(doc_id, cells) of (doc_id, text), with the fingerprint if asked for."""
 
     def run(batches):
         for batch in batches:
-            found = [darts.cells(text).view("int64") for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "cells"])
+            found = [darts.cells(text) for text in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([own.view("int64") for own in found], pa.list_(pa.int64()))]
+            if with_print:
+                columns.append(pa.array([darts.fingerprint(own) for own in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["doc_id", "cells", *["fingerprint"] * with_print]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cells array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cells array<long>" + ", fingerprint binary" * with_print)
 
 
 def compared(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -79,7 +88,7 @@ def _alike_in_size(a: str, b: str, similarity: float):
 
 
 def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
-    """(a, b): links that join up the representatives (doc_id, n_cells, bands) found similar.  docs: doc_id, text."""
+    """(a, b): links that join up the representatives (doc_id, n_cells, fingerprint, bands) found similar.  docs: doc_id, text."""
     spark = docs.sparkSession
     members = reps.select("doc_id", "n_cells", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "shared_key")
@@ -87,8 +96,9 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFr
     typical = met.groupBy("doc_id").agg(F.sum("n").alias("typical")).withColumnRenamed("doc_id", "of_doc")
     waiting, path = written(met.join(typical, F.col("doc_id") == F.col("of_doc")).select("key", "doc_id", "n_cells", "n", "typical"))
     discard(spark, met_path)
-    links, round_ = None, 0
-    while True:
+    large, large_path = written(waiting.filter(F.col("n") > SMALL).select("key", "doc_id", "n_cells"))
+    links = None
+    for round_ in range(ROUNDS):
         drawn = (F.col("n") <= SMALL) | (F.pmod(F.xxhash64("doc_id", "key", F.lit(round_)), F.col("n")) < DRAWN)
         best = waiting.filter(F.col("n") > SMALL).groupBy("key").agg(F.max(F.struct("typical", "doc_id", "n_cells")).alias("top"))
         pivots = waiting.filter(drawn).select("key", F.col("doc_id").alias("p"), F.col("n_cells").alias("p_n")).union(best.select("key", "top.doc_id", "top.n_cells"))
@@ -96,9 +106,6 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFr
         met = met.filter(_alike_in_size("p_n", "m_n", similarity)).select("key", "m", "p")
         met, met_path = written(met)
         new = compared(met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct(), docs, similarity)
-        if new.isEmpty():
-            discard(spark, path, met_path)
-            return links
         links = new if links is None else links.union(new)
         # Settled in its bucket is a member that is linked to a pivot of it, and a whole small bucket.
         linked = met.join(new, (F.least("p", "m") == F.col("a")) & (F.greatest("p", "m") == F.col("b"))).select(F.col("key").alias("l_key"), F.col("m").alias("l_doc"))
@@ -106,7 +113,88 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFr
         left = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "left_key")
         after, after_path = written(open_.join(left, F.col("key") == F.col("left_key")).select("key", "doc_id", "n_cells", "n", "typical"))
         discard(spark, path, met_path)
-        waiting, path, round_ = after, after_path, round_ + 1
+        waiting, path = after, after_path
+        if waiting.isEmpty():
+            break
+    discard(spark, path)
+    if not large.isEmpty():
+        links = links.union(links_between_classes(large, links, reps.select("doc_id", "fingerprint"), docs, similarity))
+    discard(spark, large_path)
+    return links
+
+
+def links_between_classes(met: DataFrame, links: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all links between members (key, doc_id, n_cells) of a bucket that ``links`` leave in different classes.
+
+    Buckets whose members are of several classes, joined up where they share a
+    member, are groups.  Let R be the cells that more than half of a group
+    holds and S(x) what x and R do not share.  x and y differ in |S(x)| +
+    |S(y)| - 2 |S(x) & S(y)| cells, and may differ in c (|x| + |y|), where c is
+    (1 - similarity) / (1 + similarity).  With s(x) = |S(x)| - c |x| they are
+    similar if and only if S(x) and S(y) share (s(x) + s(y)) / 2 cells.  Where
+    that is 0 or less with the member of least s, both are similar at once.  The
+    others have to share cells with each partner, so they meet all members of
+    other classes by the rarest cells of S; the places at which the first shared
+    cell stands bound how many can be shared.
+    """
+    spark = docs.sparkSession
+    classes = components(links)
+    met = met.join(classes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_cells", F.coalesce("class_id", "doc_id").alias("class"))
+    mixed = met.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("doc_id").alias("head")).filter("low <> high").select(F.col("key").alias("m_key"), "head")
+    met, met_path = written(met.join(mixed, F.col("key") == F.col("m_key")).select("doc_id", "n_cells", "class", "head"))
+    if met.isEmpty():
+        discard(spark, met_path)
+        return links.limit(0)
+    groups = components(met.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))).select(F.col("node"), F.col("class_id").alias("group"))
+    members = met.select("doc_id", "n_cells", "class").distinct().join(groups, F.col("doc_id") == F.col("node")).drop("node")
+    members, members_path = written(members.join(prints.select(F.col("doc_id").alias("of_print"), F.col("fingerprint").alias("print")), F.col("doc_id") == F.col("of_print")).drop("of_print"))
+    discard(spark, met_path)
+
+    sets = cell_sets(docs.join(members.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id"), "left_semi"), with_print=True)
+    sets = sets.withColumnRenamed("doc_id", "of_doc").join(members, (F.col("of_doc") == F.col("doc_id")) & (F.col("fingerprint") == F.col("print"))).drop("of_doc", "print", "fingerprint")
+    sets, sets_path = written(sets.dropDuplicates(["doc_id"]))
+    sizes, sizes_path = written(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("group", "of_group"))
+    held = sets.select("group", F.explode("cells").alias("cell")).groupBy("group", "cell").agg(F.count(F.lit(1)).alias("held"))
+    common = held.join(sizes, F.col("group") == F.col("of_group")).filter("2 * held > n").groupBy("of_group").agg(F.collect_list("cell").alias("common"))
+    # Large groups are dealt out in parts of about PART members.
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.lit(1)).cast("int")
+    common = sizes.join(common, "of_group", "left").select("of_group", parts.alias("parts"), F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
+    common, common_path = written(common.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    many = common.filter("of_part = 0").select(F.col("of_group").alias("p_group"), F.col("parts").alias("p_parts"))
+    dealt = sets.join(F.broadcast(many.filter("p_parts > 1")), F.col("group") == F.col("p_group"), "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("p_parts", F.lit(1))).cast("int"))
+    dealt = dealt.join(common, (F.col("group") == F.col("of_group")) & (F.col("part") == F.col("of_part")))
+    unlike = F.array_union(F.array_except("cells", "common"), F.array_except("common", "cells"))
+    own = dealt.select("doc_id", "group", "class", "n_cells", unlike.alias("unlike")).withColumn("k", F.size("unlike"))
+    c = (1 - similarity) / (1 + similarity)
+    own, own_path = written(own.withColumn("s", F.col("k") - c * F.col("n_cells")))
+    discard(spark, sets_path, common_path, sizes_path)
+
+    low = own.groupBy("group").agg(F.min(F.struct("s", "doc_id")).alias("low")).select(F.col("group").alias("of_group"), F.col("low.s").alias("low_s"), F.col("low.doc_id").alias("low_doc"))
+    own = own.join(low, F.col("group") == F.col("of_group")).drop("of_group")
+    far = F.col("s") + F.col("low_s") > EPSILON
+    at_once = own.filter(~far & (F.col("doc_id") != F.col("low_doc"))).select(F.least("doc_id", "low_doc").alias("a"), F.greatest("doc_id", "low_doc").alias("b"))
+    rest = own.filter(far).groupBy("group").agg(F.min("s").alias("far_s")).withColumnRenamed("group", "of_group")
+    own = own.join(rest, F.col("group") == F.col("of_group")).drop("of_group").withColumn("far", far)
+    cells = own.select("doc_id", "group", F.explode("unlike").alias("cell"))
+    rarity = cells.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("in_s")).select(F.col("group").alias("r_group"), F.col("cell").alias("r_cell"), "in_s")
+    cells = cells.join(rarity, (F.col("group") == F.col("r_group")) & (F.col("cell") == F.col("r_cell"))).select("doc_id", "cell", "in_s")
+    ordered = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("in_s", "cell"))).alias("ordered")).withColumnRenamed("doc_id", "o_doc")
+    # A member shares at least this many cells of S with any partner it can still be linked to.
+    least = F.when(F.col("far"), F.col("s") + F.col("low_s")).otherwise(F.col("s") + F.col("far_s")) / 2
+    prefix = F.col("k") - F.greatest(F.ceil(least - EPSILON), F.lit(1)) + 1
+    own = own.join(ordered, F.col("doc_id") == F.col("o_doc")).withColumn("prefix", prefix.cast("int")).filter("prefix > 0")
+    placed = own.select("doc_id", "group", "class", "n_cells", "k", "s", "far", F.posexplode(F.slice("ordered", 1, F.col("prefix"))).alias("at", "o"))
+    placed, placed_path = written(placed.filter("o.in_s > 1").select("doc_id", "group", "class", "n_cells", "s", "far", (F.col("k") - F.col("at")).alias("from_here"), F.col("o.cell").alias("cell")))
+    x, y = (placed.select([F.col(n).alias(f"{side}_{n}") for n in placed.columns]) for side in "xy")
+    both = (F.col("x_group") == F.col("y_group")) & (F.col("x_cell") == F.col("y_cell")) & (F.col("x_class") != F.col("y_class")) & (~F.col("y_far") | (F.col("x_doc_id") < F.col("y_doc_id")))
+    enough = F.least("x_from_here", "y_from_here") >= (F.col("x_s") + F.col("y_s")) / 2 - EPSILON
+    found = x.filter("x_far").join(y, both & _alike_in_size("x_n_cells", "y_n_cells", similarity) & enough)
+    pairs = found.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
+    pairs, pairs_path = written(pairs.union(at_once).distinct())
+    new = compared(pairs, docs, similarity)
+    discard(spark, members_path, own_path, placed_path, pairs_path)
+    return new
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -124,7 +212,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     worded = sketch.filter("n_cells > 0")
     reps = worded.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n_cells").alias("n_cells"), F.first("bands").alias("bands"))
     reps, _ = written(reps)
-    links = similar_pairs(reps.select("doc_id", "n_cells", "bands"), base, similarity)
+    links = similar_pairs(reps.select("doc_id", "n_cells", "fingerprint", "bands"), base, similarity)
     of_rep = reps.select(F.col("doc_id").alias("rep"), F.col("fingerprint").alias("print"))
     if links is not None:
         classes = components(links)

@@ -174,6 +174,71 @@ def test_near_dedup_is_the_components_of_all_pairs(spark):
     assert {r.doc_id: (r.class_id, r.class_size, r.kept) for r in got} == {i: (root(i), sizes[root(i)], root(i) == i) for i in range(len(texts))}
 
 
+def components_of_all_pairs(texts):
+    sets = [dart_minhash.cells(t) for t in texts]
+    low = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if low[i] != low[j] and jaccard(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((low[i], low[j]))
+            low = [a if x == b else x for x in low]
+    return dict(enumerate(low))
+
+
+def drifting_texts(n=60, seed=11):
+    """Copies of copies, each with one more word changed: the neighbours are similar, the ends are not, and the buckets are large."""
+    rng = random.Random(seed)
+    own, texts = [f"w{i}" for i in range(150)], []
+    for i in range(n):
+        own[rng.randrange(150)] = f"x{i}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def starred_texts(n=120, seed=12):
+    """Copies of an origin that is not there, each too far from nearly all others; few pairs are similar."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        own = [f"w{j}" for j in range(200)]
+        for j in rng.sample(range(200), 6 + i % 3):
+            own[j] = f"y{i}"
+        texts.append(" ".join(own))
+        if i % 10 == 0:
+            own[rng.randrange(200)] = "z"
+            texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("texts", [drifting_texts(), starred_texts()], ids=["drifting", "starred"])
+def test_links_that_every_pivot_misses_are_found(spark, monkeypatch, texts):
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "DRAWN", 0)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs(spark, texts)).collect()}
+    assert got == components_of_all_pairs(texts)
+
+
+def links_of_one_bucket(spark, texts):
+    """The classes of texts that all meet in one bucket, where the last one is the most typical."""
+    sets = [dart_minhash.cells(t) for t in texts]
+    rows = [(i, len(own), bytearray(dart_minhash.fingerprint(own)), [7]) for i, own in enumerate(sets)]
+    reps = spark.createDataFrame(rows, "doc_id long, n_cells long, fingerprint binary, bands array<long>")
+    links = near_dedup.similar_pairs(reps, docs(spark, texts), 0.8)
+    classes = {} if links is None else {r.node: r.class_id for r in components(links).collect()}
+    return {i: classes.get(i, i) for i in range(len(texts))}
+
+
+def edited(words, **at):
+    return " ".join(at.get(f"at{i}", w) for i, w in enumerate(words))
+
+
+def test_settled_members_remain_partners(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "DRAWN", 0)
+    origin = [f"w{i}" for i in range(100)]
+    texts = [edited(origin, at10="b", at20="b", at30="c", at40="c"), edited(origin, at10="b", at20="b"), *(edited(origin, **{f"at{50 + 4 * i}": "d"}) for i in range(10)), edited(origin)]
+    assert components_of_all_pairs(texts) == dict.fromkeys(range(len(texts)), 0)
+    assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts)  # 0 is similar to 1 alone, which the pivot settles
+
+
 def test_near_dedup_of_repeats_and_nothing(spark):
     rows = docs(spark, ["a b c d e f", "a b c d e f", None, "q r s t u v"], [1, 1, None, 2])
     assert {tuple(r) for r in near_dedup.near_dedup(rows).collect()} == {(1, 1, 1, True), (2, 2, 1, True)}
