@@ -239,6 +239,13 @@ def test_settled_members_remain_partners(spark, monkeypatch):
     assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts)  # 0 is similar to 1 alone, which the pivot settles
 
 
+def test_a_round_without_links_is_not_the_end(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "DRAWN", 0)
+    texts = [" ".join([*(f"p{j}" for j in range(40)), *(f"w{i}x{j}" for j in range(60))]) for i in range(12)]
+    texts[3:3] = [texts[2] + " more"]
+    assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts) == {i: 2 if i == 3 else i for i in range(13)}
+
+
 def test_near_dedup_of_repeats_and_nothing(spark):
     rows = docs(spark, ["a b c d e f", "a b c d e f", None, "q r s t u v"], [1, 1, None, 2])
     assert {tuple(r) for r in near_dedup.near_dedup(rows).collect()} == {(1, 1, 1, True), (2, 2, 1, True)}
