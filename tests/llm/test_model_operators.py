@@ -335,6 +335,15 @@ def test_class_shares_sum_to_one():
     assert np.allclose(np.bincount(model.class_of, weights=10**model.log_share)[np.unique(model.class_of)], 1)
 
 
+def test_the_128_most_frequent_ids_are_classes_of_their_own():
+    samples = [np.random.default_rng(0).integers(3, 400, 4000)]
+    counts = np.bincount(samples[0], minlength=500) * 1000.0 + np.arange(500, 0, -1)
+    top = np.argsort(-counts, kind="stable")
+    class_of = attention_lm.classes(samples, counts)
+    assert sorted(np.bincount(class_of)[class_of[top[:128]]]) == [1] * 128
+    assert attention_lm.N_CLASSES == 128 + 64 + 2  # the clusters, the end and the rest
+
+
 def test_gradients_are_the_slopes():
     rng = np.random.default_rng(1)
     m = attention_lm
