@@ -320,6 +320,37 @@ def test_language_model(spark):
     assert lm_score.lm_score(docs(spark, ["x"]).limit(0), vocabulary_path(lm_score.MODEL)).count() == 0
 
 
+def test_the_model_learns_from_long_and_from_late_texts(spark):
+    rng = np.random.default_rng(4)
+    start, counts = rng.integers(3, 300, 40_000), np.zeros(500)
+    texts = [start, *(np.full(50, 400) for _ in range(30)), np.array([], np.int64)]
+    for ids in texts:
+        counts += np.bincount(np.append(ids, attention_lm.END), minlength=500)
+    rows = spark.createDataFrame([(bytearray(ids.astype("<u2").tobytes()),) for ids in texts], "ids binary").repartition(3)
+    assert (lm_score.neighbour_counts(rows, counts) == attention_lm.neighbours(texts, attention_lm.columns(counts))).all()
+    first = attention_lm.scorer(attention_lm.initial(counts, (of := attention_lm.classes(texts, counts))), of, counts)
+    model = lm_score.trained(rows, counts)
+    moved = np.abs(model.value - first.value).sum(axis=1) / np.abs(first.value).sum(axis=1)
+    seen = np.unique(np.concatenate(texts))
+    assert (model.class_of == of).all() and (moved[seen] > 0.01).all()
+    for ids in (texts[1], start[:400]):
+        assert model.score(ids) > first.score(ids)
+
+
+def test_language_model_trains_on_texts_of_any_length(spark, monkeypatch):
+    lengths = []
+
+    def kept(texts, counts, of=lm_score.trained):
+        lengths.extend(len(r.ids) // 2 for r in texts.collect())
+        return of(texts, counts)
+
+    monkeypatch.setattr(lm_score, "trained", kept)
+    df = docs(spark, ["alpha beta " * 5000, "beta gamma", None], [2, 3, 4])
+    fold = [i for i in (2, 3, 4) if zlib.crc32(str(i).encode()) % 5 != 1]
+    lm_score.lm_score(df, vocabulary_path(lm_score.MODEL)).collect()
+    assert len(lengths) == len(fold) and (2 not in fold or max(lengths) >= 10_000)
+
+
 def test_windows_score_each_token_once():
     for n in (0, 1, 15, 16, 17, 100):
         keys, there, targets = attention_lm.windows(np.arange(10, 10 + n))
