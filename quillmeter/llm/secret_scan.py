@@ -1,7 +1,9 @@
 """Secrets in texts: three fixed patterns, and a battery of randomness tests.
 
 Beside the patterns, every run of at least ``MIN_RUN`` encoding characters with
-a letter and a digit is a candidate.  Its encoding is inferred (hex, base32,
+a letter and a digit is a candidate.  A run that mixes signs of base64 with
+those of base64url fits no encoding: its pieces between '+' and '/', and those
+between '_' and '-', are the candidates instead.  A candidate's encoding is inferred (hex, base32,
 base36, base62, base64, base64url) and three tests ask whether its symbols can
 be uniform random draws from that alphabet: chi-squared of the symbol counts
 (by the Wilson-Hilferty transformation), the runs test about the middle of the
@@ -82,6 +84,25 @@ def found(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("start", F.col("end") - F.length("match")).select("doc_id", "version", "kind", "start", "end", "match", "secret")
 
 
+def pieces(runs: DataFrame) -> DataFrame:
+    """The runs (of ``found``), those that fit no encoding cut at the signs of base64 and again at those of base64url.
+
+    A piece of only letters and digits that both cuts leave is one; one of fewer than ``MIN_RUN`` is none.
+    """
+    mixed = F.col("match").rlike("[+/]") & F.col("match").rlike("[_-]")
+
+    def cut(signs: str) -> Column:
+        parts = F.split("match", signs, -1)
+        before = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, q: n + F.length(q) + 1))
+        return F.zip_with(parts, before, lambda p, n: F.struct(n.cast("bigint").alias("at"), p.alias("piece")))
+
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("at"), F.col("match").alias("piece")))
+    own = F.filter(F.array_distinct(F.concat(cut("[+/]"), cut("[_-]"))), lambda p: F.length(p["piece"]) >= MIN_RUN)
+    rows = runs.withColumn("piece", F.explode(F.when(mixed, own).otherwise(whole)))
+    rows = rows.withColumns({"start": F.col("start") + F.col("piece.at"), "match": F.col("piece.piece")})
+    return rows.withColumns({"end": F.col("start") + F.length("match"), "secret": F.col("match")}).select(*runs.columns)
+
+
 def with_tails(rows: DataFrame, names: list[str]) -> DataFrame:
     """Adds <name>_p = P(|N(0, 1)| > |z|) for each column of z values, step by step, so no step repeats the one before.
 
@@ -163,7 +184,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fixed = found(base, KINDS[:3]).filter(
         ((F.col("kind") == 0) & (F.length("secret") >= MIN_SECRET)) | ((F.col("kind") == 1) & (F.length("match") >= MIN_ACCESS)) | (F.col("kind") == 2)
     )
-    random = still_random(tested(found(base, KINDS[3:])), fdr)
+    random = still_random(tested(pieces(found(base, KINDS[3:]))), fdr)
     columns = ["doc_id", "version", "kind", "start", "end"]
     spans = fixed.select(columns).unionByName(random.select(columns))
     span = F.struct("start", "kind", "end")

@@ -192,6 +192,21 @@ def test_random_strings_pass_the_battery_and_others_do_not(spark):
     assert got[True] >= 0.97 * tested[True] and got[False] <= 0.1 * tested[False]
 
 
+def test_keys_in_runs_that_mix_signs_are_candidates(spark):
+    rng = random.Random(21)
+    key, b64, url = ("".join(rng.choice(S.ENCODINGS[k][2]) for _ in range(40)) for k in (4, 4, 4))
+    b64, url = f"{b64[:20]}+{b64[20:]}", f"{url[:20]}_{url[20:]}"
+    texts = [f"é see my-app/v2/{key} end", f"a_b-{b64}", f"bucket_name/{url}/x", f"my_app/{key}", f"x-{key}/+y", "a_b/c-d/e_f/g-h/i_j/k-1"]
+    wanted = [{key}, {b64}, {url}, {key}, {key}, set()]
+    got = S.secret_scan(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()
+    for r in got:
+        spans = [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 3]
+        assert len(spans) == len({(s.start, s.end) for s in r.spans if s.kind == 3})
+        assert all(any(w in s for s in spans) for w in wanted[r.doc_id])
+        assert r.doc_id not in (0, 1, 2, 3) or wanted[r.doc_id] & set(spans)
+    assert not [s for r in got if r.doc_id == 5 for s in r.spans]
+
+
 def test_span_texts(spark):
     df = spark.createDataFrame([([(3, 0, 9), (3, 2, 30)],), ([],)], "s array<struct<start:long,kind:int,end:long>>")
     assert [r[0] for r in df.select(S.span_text("s")).collect()] == ["assign:3:9,hex:3:30", ""]
