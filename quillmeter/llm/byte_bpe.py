@@ -26,13 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import in_slices, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Chunks in each of a worker's two cache generations; longer ones (in characters) are not kept.
-CACHED, LONGEST = 600_000, 64
+#: Chunks in each of a worker's two cache generations, about 140 bytes each; longer ones (in characters) are not kept.
+CACHED, LONGEST = 250_000, 64
 #: Characters of text learnt together.
 TOGETHER = 1 << 18
 #: Where white space does not stand alone between other characters, the pattern is applied to the whole text.
@@ -262,31 +261,30 @@ class Encoder:
 
 
 _workers: dict[tuple, Encoder] = {}
-
-
-def byte_bpe(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then n_tokens, ids (binary), decoded (binary), which replace columns of those names.
-
-    ``ids`` holds unsigned 32-bit little-endian integers.  A null or empty text
-    has no ids and decodes to no bytes.  Rows come back one by one, repeated
-    ones too.
+#: What ``byte_bpe`` can give: its type, and the value of (text, ids, decoded bytes).
+GIVEN = {
+    "ids": (pa.binary(), lambda text, coded, back: coded),
+    "decoded": (pa.binary(), lambda text, coded, back: back),
+    "restored": (pa.bool_(), lambda text, coded, back: back == text.encode()),
+    "ids_sha256": (pa.string(), lambda text, coded, back: hashlib.sha256(coded).hexdigest()),
+    "decoded_sha256": (pa.string(), lambda text, coded, back: hashlib.sha256(back).hexdigest()),
+}
+
+
+def byte_bpe(
+    docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None, give: tuple[str, ...] = ("ids", "decoded")
+) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default), then n_tokens and those of ``GIVEN`` that are asked for; they replace columns of those names.
+
+    ``ids`` holds unsigned 32-bit little-endian integers, ``decoded`` the bytes
+    they decode to, ``restored`` says whether those are the text's, and the
+    digests are SHA-256 in lowercase hex, made where the ids are, so neither ids
+    nor bytes need to travel.  A null or empty text has no ids and decodes to no
+    bytes.  Rows come back one by one, repeated ones too.
     """
-    return _with_worker(docs, vocabulary_path, pattern, text_col, digest=False)
-
-
-def byte_bpe_digests(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): what ``byte_bpe`` gives, hashed where it is made, so neither travels."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _with_worker(slim, vocabulary_path, pattern, "text", digest=True).drop("text")
-
-
-def _with_worker(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str, digest: bool) -> DataFrame:
-    added = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))  # a vocabulary file: about 1 MB
-    carried = [c for c in docs.columns if c not in ("n_tokens", *added)]
-    at = carried.index(text_col)
-    base = docs.select(*[F.col(c) for c in carried])
-    base = base.withColumn(text_col, whole_text(text_col)) if digest else base
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("n_tokens", *give)]
+    base = docs.select(whole_text(text_col).alias("_coded_text"), *kept)
 
     def encode(batches):
         key = (vocabulary_path, pattern)
@@ -294,22 +292,16 @@ def _with_worker(docs: DataFrame, vocabulary_path: str, pattern: str, text_col:
             _workers.clear()
             _workers[key] = Encoder(ranks.value, pattern)
         worker = _workers[key]
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for coded in worker.encode_all([text or "" for text in batch.column(at).to_pylist()]):
+        for batch in in_slices(batches, 0):
+            texts = batch.column(0).to_pylist()
+            counts, found = [], {name: [] for name in give}
+            for text, coded in zip(texts, worker.encode_all(texts)):
                 back = worker.decode(coded)
                 counts.append(len(coded) // 4)
-                ids.append(hashlib.sha256(coded).hexdigest() if digest else coded)
-                decoded.append(hashlib.sha256(back).hexdigest() if digest else back)
-            kind = pa.string() if digest else pa.binary()
-            columns = [*batch.columns, pa.array(counts, pa.int64()), pa.array(ids, kind), pa.array(decoded, kind)]
-            names = [*carried, "n_tokens", *added]
-            if digest:
-                columns.pop(at)
-                names.pop(at)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kind = "string" if digest else "binary"
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if not (digest and f.name == text_col)]
-    schema = ", ".join([*fields, "n_tokens long", f"{added[0]} {kind}", f"{added[1]} {kind}"])
-    return base.mapInArrow(encode, schema)
+                for name, values in found.items():
+                    values.append(GIVEN[name][1](text, coded, back))
+            arrays = [pa.array(values, GIVEN[name][0]) for name, values in found.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), *arrays], [*kept, "n_tokens", *give])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[1:]]
+    return base.mapInArrow(encode, ", ".join([*fields, "n_tokens long", *(f"{name} {'boolean' if name == 'restored' else GIVEN[name][0]}" for name in give)]))

@@ -60,7 +60,8 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path(bpe.VOCABULARY), bpe.default_pattern())
+    digests = ("ids_sha256", "decoded_sha256")
+    return bpe.byte_bpe(table(spark, sf_dir, "documents"), vocabulary_path(bpe.VOCABULARY), bpe.default_pattern(), carry=["doc_id"], give=digests)
 
 
 OP1_SQL = r"""

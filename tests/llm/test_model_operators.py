@@ -58,7 +58,7 @@ def reference_encoding():
 def test_bpe_is_the_library_s_and_comes_back(spark, reference_encoding):
     texts = AWKWARD + random_texts(seed=2)
     got = byte_bpe.byte_bpe(docs(spark, texts).withColumn("ids", F.lit(0)), vocabulary_path(byte_bpe.VOCABULARY), byte_bpe.default_pattern()).collect()
-    hashed = byte_bpe.byte_bpe_digests(docs(spark, texts), vocabulary_path(byte_bpe.VOCABULARY), byte_bpe.default_pattern()).collect()
+    hashed = byte_bpe.byte_bpe(docs(spark, texts), vocabulary_path(byte_bpe.VOCABULARY), byte_bpe.default_pattern(), carry=["doc_id"], give=("restored", "ids_sha256", "decoded_sha256")).collect()
     assert len(got) == len(hashed) == len(texts)
     for r, h in zip(sorted(got, key=lambda r: r.doc_id), sorted(hashed, key=lambda r: r.doc_id)):
         t = texts[r.doc_id] or ""
