@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmeter.llm import byte_bpe as bpe
-from quillmeter.llm.common import table, vocabulary_path, written
+from quillmeter.llm.common import discard, table, vocabulary_path, written
 from quillmeter.llm.line_dedup import line_dedup
 from quillmeter.llm.near_dedup import near_dedup
 from quillmeter.llm.source_mix import mix_sources
@@ -27,7 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that others hold too; n_chars follows the text."""
     kept = line_dedup(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +54,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (unsigned 32-bit little-endian), restored: whether the ids decode to the text."""
-    coded = bpe.byte_bpe(docs, vocabulary_path(bpe.VOCABULARY), bpe.default_pattern())
-    restored = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", restored.alias("restored"))
+    carry = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return bpe.byte_bpe(docs, vocabulary_path(bpe.VOCABULARY), bpe.default_pattern(), carry=carry, give=("ids", "restored"))
 
 
 STAGES = [
@@ -70,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir))
+        docs, path = written(stage(spark, docs, sf_dir))
+        discard(spark, *before)  # nothing reads it any more
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
