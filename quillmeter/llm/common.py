@@ -33,14 +33,14 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``most`` bytes of this text column (a longer text alone), so a worker holds little at a time."""
+def in_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of this text column (a longer text alone) and so many rows: a worker holds little at a time."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(ends):
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + most, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -1,19 +1,21 @@
 """Near-duplicate classes of documents by banded weighted MinHash.
 
-1. One pass over the texts makes each document's fingerprint and the keys of
-   its bands (``dart_minhash``).  Documents with equal fingerprints are copies;
-   from here on the smallest id among them stands for all.
-2. Representatives that share a band key meet in that key's bucket.  A bucket of
-   more than ``SMALL`` is not paired off: its members are compared with its most
-   typical one (the one whose keys most others share) and a few drawn by hash,
-   other ones in each band.  Members linked to a pivot are settled there; the rest
-   goes on with pivots of its own for ``ROUNDS`` rounds.
-3. Where a bucket still has members of several classes, all links between
-   classes are found by an exact join on their rarest cells, settled members
-   included (``links_between_classes``).
-4. A comparison is the exact weighted Jaccard similarity of the shingles, from
-   texts read once more for the candidates alone.
-5. Pairs of at least ``SIMILARITY`` are links; classes are their components.
+1. One pass over the texts makes each document's fingerprint, the keys of its
+   bands and some bits of its signature (``dart_minhash``).  Documents with equal
+   fingerprints are copies; from here on the smallest id among them stands for all.
+2. Representatives that share a band key meet in that key's bucket.  The texts of
+   those that meet others are read once more, for their cells.
+3. In each of ``ROUNDS`` rounds the members of a bucket are compared with one
+   pivot, the first by a hash of the id, so that the same pair recurs in many
+   bands and is compared once.  Links join members to classes, and the next round
+   looks only at buckets that hold several classes still, at members of another
+   class than the pivot's.  In the last round all members of a bucket of ``SMALL``
+   at most are pivots.
+4. Where a larger bucket still holds several classes, all links between them are
+   found by an exact join on their rarest cells (``links_between_classes``).
+5. A comparison is the exact weighted Jaccard similarity of the shingles, for
+   pairs whose signature bits leave it a chance (``NO_CHANCE``).
+6. Pairs of at least ``SIMILARITY`` are links; classes are their components.
 
 Tables that are read more than once are written to the shared folder.  Nothing
 but counts reaches the driver.  With 32 bands of 5 rows a pair at 0.8 shares no
@@ -22,64 +24,80 @@ band once in 300,000 times.
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dart_minhash as darts
-from .common import discard, whole_text, written
+from .common import discard, in_slices, whole_text, written
 from .components import components
 
 SIMILARITY = 0.8
-#: Buckets of this size are paired off; of larger ones the most typical member and about ``DRAWN`` others are pivots.
-SMALL, DRAWN = 8, 2
-#: Pivots only join up the bulk; however many rounds, what they leave apart is verified exactly.
-ROUNDS = 2
+#: Buckets with several classes are paired off up to this size; pivots join up the bulk of others before the exact join.
+SMALL, ROUNDS = 8, 2
+#: Standard deviations below the expected agreement of bits at the sought similarity: one such pair in 10^10 agrees less.
+NO_CHANCE = 6.4
 PART, EPSILON = 256, 1e-6
+#: Texts that a worker sketches at a time, by bytes and by number.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_cells, fingerprint, bands) of (doc_id, text); a text without words has 0 cells and no bands."""
+    """(doc_id, n_cells, fingerprint, bands, bits) of (doc_id, text); a text without words has 0 cells and no bands."""
 
     def run(batches):
-        for batch in batches:
-            sizes, prints, bands = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = darts.cells(text)
-                sizes.append(len(own))
-                prints.append(darts.fingerprint(own))
-                bands.append(darts.band_keys(darts.signature(own)) if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_cells", "fingerprint", "bands"])
+        for batch in in_slices(batches, 1, SLICE_BYTES, SLICE_ROWS):
+            own = darts.shingles(batch.column(1).to_pylist())
+            sizes, values = own.sizes(), darts.signatures(own)
+            bands = [keys if n else [] for keys, n in zip(darts.band_keys(values), sizes.tolist())]
+            columns = [pa.array(sizes, pa.int64()), pa.array(darts.fingerprints(own), pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(list(darts.packed(values)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_cells", "fingerprint", "bands", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_cells long, fingerprint binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_cells long, fingerprint binary, bands array<long>, bits array<long>")
 
 
-def cell_sets(docs: DataFrame, with_print: bool = False) -> DataFrame:
-    """(doc_id, cells) of (doc_id, text), with the fingerprint if asked for."""
+def cell_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, cells) of (doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
-            found = [darts.cells(text) for text in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([own.view("int64") for own in found], pa.list_(pa.int64()))]
-            if with_print:
-                columns.append(pa.array([darts.fingerprint(own) for own in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    names = ["doc_id", "cells", *["fingerprint"] * with_print]
+        for batch in in_slices(batches, 1, SLICE_BYTES, SLICE_ROWS):
+            own = darts.shingles(batch.column(1).to_pylist())
+            cells, ends = darts.unit_cells(own)
+            cells = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(cells.view("int64")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(darts.fingerprints(own), pa.binary()), cells], ["doc_id", "fingerprint", "cells"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cells array<long>" + ", fingerprint binary" * with_print)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint binary, cells array<long>")
+
+
+def least_agreement(similarity: float) -> float:
+    """The number of signature bits on which similar texts agree at least, but for one pair in 10^10."""
+    k = darts.BANDS * darts.ROWS
+    mean, variance = (1 + similarity) / 2, (similarity * (1 - similarity) / 4 + (1 - similarity) / (4 * darts.BITS)) / k
+    return k * darts.BITS * (mean - NO_CHANCE * math.sqrt(variance))
 
 
-def compared(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least this weighted Jaccard similarity."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets, path = written(cell_sets(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi")))
+def _differing(a: str, b: str) -> Column:
+    """On how many signature bits two differ."""
+    words = range(darts.BANDS * darts.ROWS * darts.BITS // 64)
+    parts = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in words]
+    return sum(parts[1:], parts[0])
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b) that have at least this weighted Jaccard similarity.  sets: doc_id, bits, cells."""
+    bits_a, bits_b = (sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    likely = pairs.distinct().join(bits_a, F.col("a") == F.col("a_id")).join(bits_b, F.col("b") == F.col("b_id"))
+    most = darts.BANDS * darts.ROWS * darts.BITS - least_agreement(similarity)
+    likely, likely_path = written(likely.filter(_differing("a_bits", "b_bits") <= most).select("a", "b"))
     of_a, of_b = (sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("cells").alias(f"{x}_cells")) for x in "ab")
-    joined = pairs.join(of_b, F.col("b") == F.col("b_id")).join(of_a, F.col("a") == F.col("a_id"))
+    joined = likely.join(of_b, F.col("b") == F.col("b_id")).join(of_a, F.col("a") == F.col("a_id"))
     joined = joined.withColumn("both", F.size(F.array_intersect("a_cells", "b_cells"))).withColumn("either", F.size("a_cells") + F.size("b_cells") - F.col("both"))
-    links, links_path = written(joined.filter(F.col("both") >= similarity * F.col("either")).select("a", "b"))
-    discard(docs.sparkSession, path)
+    links, _ = written(joined.filter(F.col("both") >= similarity * F.col("either")).select("a", "b"))
+    discard(sets.sparkSession, likely_path)
     return links
 
 
@@ -87,44 +105,48 @@ def _alike_in_size(a: str, b: str, similarity: float):
     return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
+def mixed(met: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Members (key, doc_id, n_cells, class, n, head) of the buckets that ``links`` leave in several classes: n members, of which head is one."""
+    classed = met.withColumn("class", F.col("doc_id"))
+    if links is not None:
+        classed = met.join(components(links), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_cells", F.coalesce("class_id", "doc_id").alias("class"))
+    several = classed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min("doc_id").alias("head")).filter("low <> high")
+    return classed.join(several.select(F.col("key").alias("m_key"), "n", "head"), F.col("key") == F.col("m_key")).drop("m_key")
+
+
 def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
-    """(a, b): links that join up the representatives (doc_id, n_cells, fingerprint, bands) found similar.  docs: doc_id, text."""
+    """(a, b): links that join up the representatives (doc_id, n_cells, fingerprint, bands, bits) found similar.  docs: doc_id, text."""
     spark = docs.sparkSession
     members = reps.select("doc_id", "n_cells", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "shared_key")
-    met, met_path = written(members.join(shared, F.col("key") == F.col("shared_key")).select("key", "doc_id", "n_cells", "n"))
-    typical = met.groupBy("doc_id").agg(F.sum("n").alias("typical")).withColumnRenamed("doc_id", "of_doc")
-    waiting, path = written(met.join(typical, F.col("doc_id") == F.col("of_doc")).select("key", "doc_id", "n_cells", "n", "typical"))
-    discard(spark, met_path)
-    large, large_path = written(waiting.filter(F.col("n") > SMALL).select("key", "doc_id", "n_cells"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("shared_key"))
+    met, met_path = written(members.join(shared, F.col("key") == F.col("shared_key")).select("key", "doc_id", "n_cells"))
+    prints = reps.join(met.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id") == F.col("id")).select("id", F.col("fingerprint").alias("print"), "bits")
+    sets = cell_sets(docs.join(prints.select("id"), F.col("doc_id") == F.col("id"), "left_semi"))
+    sets = sets.join(prints, (F.col("doc_id") == F.col("id")) & (F.col("fingerprint") == F.col("print"))).dropDuplicates(["doc_id"])
+    sets, sets_path = written(sets.select("doc_id", "bits", "cells"))
+
     links = None
     for round_ in range(ROUNDS):
-        drawn = (F.col("n") <= SMALL) | (F.pmod(F.xxhash64("doc_id", "key", F.lit(round_)), F.col("n")) < DRAWN)
-        best = waiting.filter(F.col("n") > SMALL).groupBy("key").agg(F.max(F.struct("typical", "doc_id", "n_cells")).alias("top"))
-        pivots = waiting.filter(drawn).select("key", F.col("doc_id").alias("p"), F.col("n_cells").alias("p_n")).union(best.select("key", "top.doc_id", "top.n_cells"))
-        met = waiting.select("key", F.col("doc_id").alias("m"), F.col("n_cells").alias("m_n")).join(pivots, "key").filter("m <> p")
-        met = met.filter(_alike_in_size("p_n", "m_n", similarity)).select("key", "m", "p")
-        met, met_path = written(met)
-        new = compared(met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct(), docs, similarity)
-        links = new if links is None else links.union(new)
-        # Settled in its bucket is a member that is linked to a pivot of it, and a whole small bucket.
-        linked = met.join(new, (F.least("p", "m") == F.col("a")) & (F.greatest("p", "m") == F.col("b"))).select(F.col("key").alias("l_key"), F.col("m").alias("l_doc"))
-        open_ = waiting.filter(F.col("n") > SMALL).drop("n").join(linked, (F.col("key") == F.col("l_key")) & (F.col("doc_id") == F.col("l_doc")), "left_anti")
-        left = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "left_key")
-        after, after_path = written(open_.join(left, F.col("key") == F.col("left_key")).select("key", "doc_id", "n_cells", "n", "typical"))
-        discard(spark, path, met_path)
-        waiting, path = after, after_path
-        if waiting.isEmpty():
+        rows, rows_path = written(mixed(met, links))
+        if rows.isEmpty():
+            discard(spark, rows_path)
             break
-    discard(spark, path)
-    if not large.isEmpty():
-        links = links.union(links_between_classes(large, links, reps.select("doc_id", "fingerprint"), docs, similarity))
-    discard(spark, large_path)
+        small = (F.col("n") <= SMALL) if round_ == ROUNDS - 1 else F.lit(False)
+        first = rows.filter(~small).groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(round_)).alias("hash"), "doc_id", "n_cells", "class")).alias("first"))
+        pivots = first.select(F.col("key").alias("p_key"), F.col("first.doc_id").alias("p"), F.col("first.n_cells").alias("p_n"), F.col("first.class").alias("p_class"))
+        pivots = pivots.union(rows.filter(small).select("key", "doc_id", "n_cells", "class"))
+        pairs = rows.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("class") != F.col("p_class")) & _alike_in_size("p_n", "n_cells", similarity))
+        new = compared(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")), sets, similarity)
+        links = new if links is None else links.union(new)
+        discard(spark, rows_path)
+    if links is not None:
+        links = links.union(links_between_classes(mixed(met, links).filter(F.col("n") > SMALL), sets, similarity))
+    discard(spark, met_path, sets_path)
     return links
 
 
-def links_between_classes(met: DataFrame, links: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all links between members (key, doc_id, n_cells) of a bucket that ``links`` leave in different classes.
+def links_between_classes(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all links between members (doc_id, n_cells, class, head) of a bucket that are of different classes.  sets: doc_id, bits, cells.
 
     Buckets whose members are of several classes, joined up where they share a
     member, are groups.  Let R be the cells that more than half of a group
@@ -137,22 +159,16 @@ def links_between_classes(met: DataFrame, links: DataFrame, prints: DataFrame, d
     other classes by the rarest cells of S; the places at which the first shared
     cell stands bound how many can be shared.
     """
-    spark = docs.sparkSession
-    classes = components(links)
-    met = met.join(classes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_cells", F.coalesce("class_id", "doc_id").alias("class"))
-    mixed = met.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("doc_id").alias("head")).filter("low <> high").select(F.col("key").alias("m_key"), "head")
-    met, met_path = written(met.join(mixed, F.col("key") == F.col("m_key")).select("doc_id", "n_cells", "class", "head"))
+    spark = sets.sparkSession
+    met, met_path = written(met.select("doc_id", "n_cells", "class", "head"))
     if met.isEmpty():
         discard(spark, met_path)
-        return links.limit(0)
+        return met.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
     groups = components(met.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))).select(F.col("node"), F.col("class_id").alias("group"))
-    members = met.select("doc_id", "n_cells", "class").distinct().join(groups, F.col("doc_id") == F.col("node")).drop("node")
-    members, members_path = written(members.join(prints.select(F.col("doc_id").alias("of_print"), F.col("fingerprint").alias("print")), F.col("doc_id") == F.col("of_print")).drop("of_print"))
+    members, members_path = written(met.select("doc_id", "n_cells", "class").distinct().join(groups, F.col("doc_id") == F.col("node")).drop("node"))
     discard(spark, met_path)
-
-    sets = cell_sets(docs.join(members.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id"), "left_semi"), with_print=True)
-    sets = sets.withColumnRenamed("doc_id", "of_doc").join(members, (F.col("of_doc") == F.col("doc_id")) & (F.col("fingerprint") == F.col("print"))).drop("of_doc", "print", "fingerprint")
-    sets, sets_path = written(sets.dropDuplicates(["doc_id"]))
+    every = sets
+    sets = members.join(sets.select(F.col("doc_id").alias("of_doc"), "cells"), F.col("doc_id") == F.col("of_doc")).drop("of_doc")
     sizes, sizes_path = written(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("group", "of_group"))
     held = sets.select("group", F.explode("cells").alias("cell")).groupBy("group", "cell").agg(F.count(F.lit(1)).alias("held"))
     common = held.join(sizes, F.col("group") == F.col("of_group")).filter("2 * held > n").groupBy("of_group").agg(F.collect_list("cell").alias("common"))
@@ -168,7 +184,7 @@ def links_between_classes(met: DataFrame, links: DataFrame, prints: DataFrame, d
     own = dealt.select("doc_id", "group", "class", "n_cells", unlike.alias("unlike")).withColumn("k", F.size("unlike"))
     c = (1 - similarity) / (1 + similarity)
     own, own_path = written(own.withColumn("s", F.col("k") - c * F.col("n_cells")))
-    discard(spark, sets_path, common_path, sizes_path)
+    discard(spark, common_path, sizes_path)
 
     low = own.groupBy("group").agg(F.min(F.struct("s", "doc_id")).alias("low")).select(F.col("group").alias("of_group"), F.col("low.s").alias("low_s"), F.col("low.doc_id").alias("low_doc"))
     own = own.join(low, F.col("group") == F.col("of_group")).drop("of_group")
@@ -192,7 +208,7 @@ def links_between_classes(met: DataFrame, links: DataFrame, prints: DataFrame, d
     found = x.filter("x_far").join(y, both & _alike_in_size("x_n_cells", "y_n_cells", similarity) & enough)
     pairs = found.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
     pairs, pairs_path = written(pairs.union(at_once).distinct())
-    new = compared(pairs, docs, similarity)
+    new = compared(pairs, every, similarity)
     discard(spark, members_path, own_path, placed_path, pairs_path)
     return new
 
@@ -207,12 +223,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id are left out, as nothing could name them in the result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
-    sketch, _ = written(sketches(base))
-    sketch = sketch.groupBy("doc_id").agg(F.min(F.struct("n_cells", "fingerprint", "bands")).alias("s")).select("doc_id", "s.*")
+    sketch, sketch_path = written(sketches(base))
+    sketch = sketch.groupBy("doc_id").agg(F.min(F.struct("n_cells", "fingerprint", "bands", "bits")).alias("s")).select("doc_id", "s.*")
     worded = sketch.filter("n_cells > 0")
-    reps = worded.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n_cells").alias("n_cells"), F.first("bands").alias("bands"))
-    reps, _ = written(reps)
-    links = similar_pairs(reps.select("doc_id", "n_cells", "fingerprint", "bands"), base, similarity)
+    reps = worded.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n_cells").alias("n_cells"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    reps, reps_path = written(reps)
+    links = similar_pairs(reps, base, similarity)
     of_rep = reps.select(F.col("doc_id").alias("rep"), F.col("fingerprint").alias("print"))
     if links is not None:
         classes = components(links)
@@ -222,4 +238,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = sketch.select("doc_id", F.when(F.col("n_cells") > 0, F.col("fingerprint")).alias("fingerprint"))
     members = members.join(of_rep, F.col("fingerprint") == F.col("print"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).withColumnRenamed("class_id", "sized")
-    return members.join(sizes, F.col("class_id") == F.col("sized")).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    result = members.join(sizes, F.col("class_id") == F.col("sized")).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    result, _ = written(result)
+    discard(docs.sparkSession, sketch_path, reps_path)
+    return result

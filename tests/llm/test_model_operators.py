@@ -123,6 +123,10 @@ def jaccard(a, b):
     return both / max(1, len(a) + len(b) - both)
 
 
+def cells(text):
+    return dart_minhash.unit_cells(dart_minhash.shingles([text]))[0]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     for n in (3, 40, 2000):
@@ -130,14 +134,39 @@ def test_signatures_estimate_weighted_similarity():
         other = list(words)
         for i in rng.choice(len(words), max(1, len(words) // 60), replace=False):
             other[i] = "zz"
-        a, b = dart_minhash.cells(" ".join(words)), dart_minhash.cells(" ".join(other))
-        assert abs((dart_minhash.signature(a, 3000) == dart_minhash.signature(b, 3000)).mean() - jaccard(a, b)) < 0.04
+        two = dart_minhash.shingles([" ".join(words), " ".join(other)])
+        a, b = dart_minhash.signatures(two, 3000)
+        assert abs((a == b).mean() - jaccard(cells(" ".join(words)), cells(" ".join(other)))) < 0.04
+
+
+def test_weights_beyond_one_are_regions_of_their_own():
+    weighted = lambda *w: dart_minhash.Shingles(np.arange(1, 5, dtype=np.uint64).repeat(1), np.array(w), np.array([4]))
+    a, b = (dart_minhash.signatures(weighted(*w), 4000)[0] for w in ((1, 2, 7, 40), (3, 2, 5, 30)))
+    assert abs((a == b).mean() - (1 + 2 + 5 + 30) / (3 + 2 + 7 + 40)) < 0.03
+
+
+def test_bits_of_signatures_agree_as_texts_do():
+    words = [f"w{i}" for i in range(500)]
+    two = dart_minhash.shingles([" ".join(words), " ".join("x" if i % 60 == 9 else w for i, w in enumerate(words))])
+    bits = dart_minhash.packed(dart_minhash.signatures(two)).view(np.uint8)
+    agree = 1 - np.unpackbits(bits[0] ^ bits[1]).mean()
+    s = jaccard(*(dart_minhash.unit_cells(dart_minhash.shingles([t]))[0] for t in (" ".join(words), " ".join("x" if i % 60 == 9 else w for i, w in enumerate(words)))))
+    assert abs(agree - (1 + s) / 2) < 0.08
+    assert 0.7 * 640 < near_dedup.least_agreement(0.8) < 0.9 * 640
+
+
+def test_texts_are_sketched_alike_alone_and_together():
+    texts = ["", "a b", "a b c d e f g", "x " * 300, " ".join(f"w{i}" for i in range(4000)), " \n", "a b c d e f g"]
+    together = dart_minhash.signatures(dart_minhash.shingles(texts))
+    prints = dart_minhash.fingerprints(dart_minhash.shingles(texts))
+    for t, own, own_print in zip(texts, together, prints):
+        assert (dart_minhash.signatures(dart_minhash.shingles([t]))[0] == own).all() and dart_minhash.fingerprints(dart_minhash.shingles([t])) == [own_print]
 
 
 def test_cells_count_repeats():
-    assert len(dart_minhash.cells("a b c")) == 1 and len(dart_minhash.cells("A  B\nc")) == 1 and len(dart_minhash.cells(" \n")) == 0
-    assert jaccard(dart_minhash.cells("A b C"), dart_minhash.cells("a B c")) == 1
-    assert len(dart_minhash.cells("a " * 30)) == 26
+    assert len(cells("a b c")) == 1 and len(cells("A  B\nc")) == 1 and len(cells(" \n")) == 0
+    assert jaccard(cells("A b C"), cells("a B c")) == 1
+    assert len(cells("a " * 30)) == 26
 
 
 def near_texts(seed=5):
@@ -158,7 +187,7 @@ def test_near_dedup_is_the_components_of_all_pairs(spark):
     order = list(range(len(texts)))
     random.Random(1).shuffle(order)
     got = near_dedup.near_dedup(docs(spark, [texts[i] for i in order], order).withColumn("class_id", F.lit("clash"))).collect()
-    sets = [dart_minhash.cells(t or "") for t in texts]
+    sets = [cells(t or "") for t in texts]
     parent = list(range(len(texts)))
 
     def root(x):
@@ -175,7 +204,7 @@ def test_near_dedup_is_the_components_of_all_pairs(spark):
 
 
 def components_of_all_pairs(texts):
-    sets = [dart_minhash.cells(t) for t in texts]
+    sets = [cells(t) for t in texts]
     low = list(range(len(texts)))
     for i, j in itertools.combinations(range(len(texts)), 2):
         if low[i] != low[j] and jaccard(sets[i], sets[j]) >= 0.8:
@@ -212,16 +241,16 @@ def starred_texts(n=120, seed=12):
 @pytest.mark.parametrize("texts", [drifting_texts(), starred_texts()], ids=["drifting", "starred"])
 def test_links_that_every_pivot_misses_are_found(spark, monkeypatch, texts):
     monkeypatch.setattr(near_dedup, "SMALL", 2)
-    monkeypatch.setattr(near_dedup, "DRAWN", 0)
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs(spark, texts)).collect()}
     assert got == components_of_all_pairs(texts)
 
 
 def links_of_one_bucket(spark, texts):
-    """The classes of texts that all meet in one bucket, where the last one is the most typical."""
-    sets = [dart_minhash.cells(t) for t in texts]
-    rows = [(i, len(own), bytearray(dart_minhash.fingerprint(own)), [7]) for i, own in enumerate(sets)]
-    reps = spark.createDataFrame(rows, "doc_id long, n_cells long, fingerprint binary, bands array<long>")
+    """The classes of texts that all meet in one bucket."""
+    own = dart_minhash.shingles(texts)
+    bits = dart_minhash.packed(dart_minhash.signatures(own)).tolist()
+    rows = [(i, int(n), bytearray(f), [7], b) for i, (n, f, b) in enumerate(zip(own.sizes(), dart_minhash.fingerprints(own), bits))]
+    reps = spark.createDataFrame(rows, "doc_id long, n_cells long, fingerprint binary, bands array<long>, bits array<long>")
     links = near_dedup.similar_pairs(reps, docs(spark, texts), 0.8)
     classes = {} if links is None else {r.node: r.class_id for r in components(links).collect()}
     return {i: classes.get(i, i) for i in range(len(texts))}
@@ -231,16 +260,14 @@ def edited(words, **at):
     return " ".join(at.get(f"at{i}", w) for i, w in enumerate(words))
 
 
-def test_settled_members_remain_partners(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "DRAWN", 0)
+def test_settled_members_remain_partners(spark):
     origin = [f"w{i}" for i in range(100)]
     texts = [edited(origin, at10="b", at20="b", at30="c", at40="c"), edited(origin, at10="b", at20="b"), *(edited(origin, **{f"at{50 + 4 * i}": "d"}) for i in range(10)), edited(origin)]
     assert components_of_all_pairs(texts) == dict.fromkeys(range(len(texts)), 0)
-    assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts)  # 0 is similar to 1 alone, which the pivot settles
+    assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts)  # 0 is similar to 1 alone
 
 
-def test_a_round_without_links_is_not_the_end(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "DRAWN", 0)
+def test_a_round_without_links_is_not_the_end(spark):
     texts = [" ".join([*(f"p{j}" for j in range(40)), *(f"w{i}x{j}" for j in range(60))]) for i in range(12)]
     texts[3:3] = [texts[2] + " more"]
     assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts) == {i: 2 if i == 3 else i for i in range(13)}
