@@ -353,15 +353,17 @@ def test_the_model_learns_from_long_and_from_late_texts(spark):
     texts = [start, *(np.full(50, 400) for _ in range(30)), np.array([], np.int64)]
     for ids in texts:
         counts += np.bincount(np.append(ids, attention_lm.END), minlength=500)
-    rows = spark.createDataFrame([(bytearray(ids.astype("<u2").tobytes()),) for ids in texts], "ids binary").repartition(3)
-    assert (lm_score.neighbour_counts(rows, counts) == attention_lm.neighbours(texts, attention_lm.columns(counts))).all()
-    first = attention_lm.scorer(attention_lm.initial(counts, (of := attention_lm.classes(texts, counts))), of, counts)
+    rows = spark.createDataFrame([(i % lm_score.ROUNDS, bytearray(ids.astype("<u2").tobytes())) for i, ids in enumerate(texts)], "part int, ids binary").repartition(3)
+    near = attention_lm.neighbours(texts, attention_lm.columns(counts))
+    assert (lm_score.neighbour_counts(rows, counts) == near).all()
+    of = attention_lm.classes(near, counts)
+    first = attention_lm.scorer(attention_lm.initial(counts, of), of, counts)
     model = lm_score.trained(rows, counts)
-    moved = np.abs(model.value - first.value).sum(axis=1) / np.abs(first.value).sum(axis=1)
+    values = slice(2 * attention_lm.DIM, 3 * attention_lm.DIM)
+    moved = np.abs(model.table[:, values] - first.table[:, values]).sum(axis=1) / np.abs(first.table[:, values]).sum(axis=1)
     seen = np.unique(np.concatenate(texts))
     assert (model.class_of == of).all() and (moved[seen] > 0.01).all()
-    for ids in (texts[1], start[:400]):
-        assert model.score(ids) > first.score(ids)
+    assert (model.score([texts[1], start[:400]]) > first.score([texts[1], start[:400]])).all()
 
 
 def test_language_model_trains_on_texts_of_any_length(spark, monkeypatch):
@@ -379,56 +381,101 @@ def test_language_model_trains_on_texts_of_any_length(spark, monkeypatch):
 
 
 def test_windows_score_each_token_once():
-    for n in (0, 1, 15, 16, 17, 100):
-        keys, there, targets = attention_lm.windows(np.arange(10, 10 + n))
-        assert targets[targets >= 0].tolist() == [*range(10, 10 + n), attention_lm.END]
-        assert keys.shape == there.shape == (len(targets), attention_lm.SPAN)
+    texts = [np.arange(10, 10 + n) for n in (0, 1, 15, 16, 17, 100)]
+    tokens, targets, first = attention_lm.windows(texts)
+    assert targets[targets >= 0].tolist() == [x for ids in texts for x in [*ids, attention_lm.END]]
+    assert tokens.shape == targets.shape == (len(first), attention_lm.STEP) and first.sum() == len(texts)
 
 
-def test_class_shares_sum_to_one():
+def sampled_model(passes=1):
     rng = np.random.default_rng(0)
-    samples = [rng.integers(3, 400, 50) for _ in range(30)]
-    counts = np.bincount(np.concatenate(samples), minlength=500).astype(float)
-    model = attention_lm.fit(samples, counts, epochs=1)
+    samples = [rng.integers(3, 1400, n) for n in (50, 0, 3000, 17, 900)]
+    counts = np.bincount(np.concatenate(samples), minlength=1500).astype(float)
+    counts[attention_lm.END] = len(samples)
+    return samples, counts, attention_lm.fit(samples, counts, passes)
+
+
+def test_class_shares_sum_to_one():
+    _, _, model = sampled_model()
     assert np.allclose(np.bincount(model.class_of, weights=10**model.log_share)[np.unique(model.class_of)], 1)
 
 
-def test_the_128_most_frequent_ids_are_classes_of_their_own():
-    samples = [np.random.default_rng(0).integers(3, 400, 4000)]
-    counts = np.bincount(samples[0], minlength=500) * 1000.0 + np.arange(500, 0, -1)
-    top = np.argsort(-counts, kind="stable")
-    class_of = attention_lm.classes(samples, counts)
-    assert sorted(np.bincount(class_of)[class_of[top[:128]]]) == [1] * 128
-    assert attention_lm.N_CLASSES == 128 + 64 + 2  # the clusters, the end and the rest
+def test_the_most_frequent_ids_are_classes_of_their_own():
+    samples, counts, model = sampled_model()
+    top = [i for i in np.argsort(-counts, kind="stable") if i != attention_lm.END][: attention_lm.SINGLES - 1]
+    assert set(np.bincount(model.class_of)[model.class_of[[attention_lm.END, *top]]]) == {1}
+    assert model.class_of.max() < attention_lm.N_CLASSES == 1024
+
+
+def slow_log10(model, ids):
+    """The model's log10 probability, token by token."""
+    m, seq, total = attention_lm, [attention_lm.BEGIN, *ids, attention_lm.END], 0.0
+    for i in range(len(seq) - 1):
+        start = i // m.STEP * m.STEP
+        q, keys = model.table[seq[i]][: m.DIM].astype(float), []
+        for j in range(max(start - m.STEP, 0), i + 1):
+            row = model.table[seq[j]].astype(float)
+            bias = model.own[i - start, j - start] if j >= start else model.before[i - start, j - start + m.STEP]
+            keys.append((math.exp(q @ row[m.DIM : 2 * m.DIM] + bias), row[2 * m.DIM : 3 * m.DIM]))
+        c = sum(a * v for a, v in keys) / sum(a for a, _ in keys)
+        h = np.append(np.maximum(c @ model.context + model.table[seq[i]][3 * m.DIM + 1 :], 0), 1)
+        g, at = divmod(int(model.class_of[seq[i + 1]]), m.FAN)
+        for z, x in ((h @ model.group, g), (h @ model.place[g], at)):
+            total += (z[x] - math.log(np.exp(z).sum())) / math.log(10)
+        total += model.log_share[seq[i + 1]]
+    return total
+
+
+def test_scores_together_are_those_of_each_token_alone(monkeypatch):
+    samples, _, model = sampled_model(3)
+    slow = [slow_log10(model, ids.tolist()) for ids in samples]
+    for together in (1, 3, 512):
+        monkeypatch.setattr(attention_lm, "TOGETHER", together)
+        assert np.allclose(model.score(samples), slow, rtol=1e-4)
 
 
 def test_gradients_are_the_slopes():
     rng = np.random.default_rng(1)
     m = attention_lm
-    w = {"e": rng.normal(size=(30, m.DIM)), "q": rng.normal(size=(m.DIM, m.DIM)) / 4, "k": rng.normal(size=(m.DIM, m.DIM)) / 4, "v": rng.normal(size=(m.DIM, m.DIM)) / 4, "d": rng.normal(size=m.SPAN), "h": rng.normal(size=(2 * m.DIM, m.HIDDEN)) / 4, "hb": rng.normal(size=m.HIDDEN), "o": rng.normal(size=(m.HIDDEN, m.N_CLASSES)) / 4, "ob": rng.normal(size=m.N_CLASSES)}
-    keys, there, targets = m.windows(rng.integers(3, 30, 40))
-    class_of = np.arange(30) % m.N_CLASSES
-    scale = 1 / np.sqrt(m.DIM)
+    tokens, targets, first = m.windows([rng.integers(3, 60, 40), rng.integers(3, 60, 5)])
+    class_of = rng.integers(0, m.N_CLASSES, 60)
+    w = {n: x.astype(float) + rng.normal(0, 0.2, x.shape) for n, x in m.initial(np.ones(60), class_of).items()}
+    at = np.array([1, 4, 9, 15])
 
     def loss():
-        ek = w["e"][keys]
-        eq = ek[:, m.STEP :]
-        s = np.where(m.SEEN[None] & there[:, None], (eq @ w["q"]) @ (ek @ w["k"]).transpose(0, 2, 1) * scale + w["d"][m.DISTANCE], -1e9)
-        c = m._softmax(s) @ (ek @ w["v"])
-        p = m._softmax(np.maximum(np.concatenate([c, eq], axis=2) @ w["h"] + w["hb"], 0) @ w["o"] + w["ob"])
-        n, q = np.nonzero(targets >= 0)
-        return -np.log(p[n, q, class_of[targets[n, q]]]).mean()
-
-    g = m._gradients(w, keys, there, targets, class_of, scale)
+        total, n = 0.0, 0
+        e = w["e"][tokens]
+        for b in range(len(tokens)):
+            for i in at:
+                if targets[b, i] < 0:
+                    continue
+                keys = [(e[b - 1, j], m.STEP + i - j) for j in range(m.STEP)] * (not first[b]) + [(e[b, j], i - j) for j in range(i + 1)]
+                s = np.array([(e[b, i] @ w["q"]) @ (x @ w["k"]) / np.sqrt(m.DIM) + w["d"][far] for x, far in keys])
+                a = np.exp(s - s.max())
+                c = (a / a.sum()) @ np.array([x @ w["v"] for x, _ in keys])
+                h = np.append(np.maximum(c @ w["c"] + e[b, i] @ w["s"] + w["b"], 0), 1)
+                g, x = divmod(int(class_of[targets[b, i]]), m.FAN)
+                for z, y in ((h @ w["group"], g), (h @ w["place"][g], x)):
+                    total -= z[y] - np.log(np.exp(z).sum())
+                n += 1
+        return total / n
+
+    g, ids, rows = m.gradients(w, tokens, targets, first, at, class_of)
+    dense = np.zeros_like(w["e"])
+    dense[ids] = rows
+    g["e"] = dense
+    used = int(class_of[targets[0, 4]])
     for name in w:
-        at = tuple(rng.integers(0, s) for s in w[name].shape) if name != "e" else (int(keys[0, m.STEP + 1]), 3)
-        before = w[name][at]
-        w[name][at] = before + 1e-5
-        up = loss()
-        w[name][at] = before - 1e-5
-        down = loss()
-        w[name][at] = before
-        assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7)
+        for _ in range(3):
+            place = tuple(rng.integers(0, s) for s in w[name].shape)
+            place = (int(tokens[1, rng.integers(16)]), place[1]) if name == "e" else (used // m.FAN, *place[1:]) if name == "place" else place
+            before = w[name][place]
+            w[name][place] = before + 1e-5
+            up = loss()
+            w[name][place] = before - 1e-5
+            down = loss()
+            w[name][place] = before
+            assert g[name][place] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), name
 
 
 def test_pipeline_by_its_parts(spark, sf_dir):
