@@ -86,13 +86,25 @@ def ticks_as_cost(ticks: Column) -> Column:
     return F.when(ticks > 0, F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 10, "0")))
 
 
+_HYPHENED = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+
+
 def uuid_text(text: Column) -> Column:
-    """Any spelling of a UUID (urn, braces, no hyphens, capitals) as hyphenated lower case; null for other texts."""
-    digits = F.lower(F.regexp_replace(F.regexp_replace(text, "(?i)^urn:uuid:", ""), "[{}-]", ""))
+    """A UUID (32 digits; hyphenated, also in braces or behind urn:uuid:; capitals count) as hyphenated lower case; null for other texts."""
+    good = text.rlike(f"^([0-9a-fA-F]{{32}}|{_HYPHENED}|\\{{{_HYPHENED}\\}}|urn:uuid:{_HYPHENED})$")
+    digits = F.lower(F.regexp_replace(text, "^urn:uuid:|[{}-]", ""))
     parts = [F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *parts))
+    return F.when(good, F.concat_ws("-", *parts))
 
 
 def plain_number(x: Column) -> Column:
-    """A double as decimal text without an exponent or trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """A double as decimal text that reads back as the same double, without an exponent, a trailing ".0" or other trailing zeros."""
+    text = x.cast("double").cast("string")
+    whole, rest = F.regexp_extract(text, r"^-?([0-9]+)", 1), F.regexp_extract(text, r"\.([0-9]+)", 1)
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    digits, point = F.concat(whole, rest), F.length(whole) + power
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(1 - point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))))
+    at = F.greatest(point, F.lit(1))
+    plain = F.concat(F.substring(padded, F.lit(1), at), F.lit("."), F.substring(padded, at + 1, F.length(padded)))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(text.rlike("^-?[0-9]"), F.concat(F.when(text.startswith("-"), "-").otherwise(""), plain)).otherwise(text)

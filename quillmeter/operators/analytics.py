@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.usage import bucket_start, fresh_input, lenient_double, month_start, percentage, provider_label, ratio, real_total, succeeded
 from ..plans.params import Query, page_limit
+from ..sources.shared import shared_table
 
 PROVIDER_KEY = ["node_id", "app_type", "provider_id"]
 TOP, TOP_COST = 10, 3
@@ -195,7 +196,10 @@ def next_cursor(page_and_one: list, limit: int) -> tuple[int, str] | None:
 
 
 def overview(events: DataFrame, catalog: DataFrame, query: Query) -> dict:
-    """All parts of the overview over one measured projection."""
+    """All parts of the overview.  The range's rows are scanned once, and the columns that count go through a table of the shared folder."""
+    columns = sorted({*PROVIDER_KEY, *DIMENSIONS.values(), "created_at", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "input_token_semantics",
+                      "total_cost_usd", "latency_ms", "status_code"})
+    events = shared_table(in_range(events, query).select(*columns, *[c for c in query.filters if c not in columns]))
     return {
         "range": query,
         "summary": summary(events, query),
@@ -205,6 +209,12 @@ def overview(events: DataFrame, catalog: DataFrame, query: Query) -> dict:
     }
 
 
+def calendar_grid(months: DataFrame) -> DataFrame:
+    """(month, cell, day): the 42 days of a month's calendar page, from the Sunday on or before its first day.  months: month (a date in it)."""
+    cells = months.select(F.trunc("month", "month").alias("month")).distinct().select("month", F.explode(F.sequence(F.lit(0), F.lit(41))).alias("cell"))
+    return cells.withColumn("day", F.date_add(F.date_sub(F.col("month"), F.dayofweek("month") - 1), F.col("cell")))
+
+
 def daily_rollup(events: DataFrame) -> DataFrame:
     """Daily measures by the seven rollup dimensions (an extension: rollups otherwise arrive made)."""
     from ..schema import ROLLUP_DIMENSIONS, with_event_date

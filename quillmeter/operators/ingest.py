@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.usage import rollup_key
 from ..schema import ROLLUP_DIMENSIONS, ROLLUP_MEASURES, USAGE_EVENTS, with_event_defaults
+from ..sources.shared import shared_table
 
 SCHEMA_VERSION, MAX_BATCH, MAX_PROVIDERS = 1, 1000, 10_000
-BATCH_KEYS = ["batch_id"]
 
 
 class InvalidSnapshot(ValueError):
@@ -23,11 +22,10 @@ def validate_batches(batches: DataFrame) -> DataFrame:
     A batch holds if its version is 1, it has 1,000 events at most and all of
     them are its node's; otherwise every event of it is rejected.
     """
-    facts = batches.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and((F.col("schema_version") == SCHEMA_VERSION) & (F.col("node_id") == F.col("batch_node_id"))).alias("fits")
-    )
+    fits = F.coalesce((F.col("schema_version") == SCHEMA_VERSION) & (F.col("node_id") == F.col("batch_node_id")), F.lit(False))
+    facts = batches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(fits).alias("fits"))
     facts = facts.select(F.col("batch_id").alias("checked"), (F.col("fits") & (F.col("n") <= MAX_BATCH)).alias("valid"))
-    return batches.join(facts, F.col("batch_id") == F.col("checked")).drop("checked")
+    return batches.join(facts, F.col("batch_id").eqNullSafe(F.col("checked"))).drop("checked")
 
 
 def dispositions(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -47,36 +45,50 @@ def dispositions(store: DataFrame, batch: DataFrame) -> DataFrame:
 def dispositions_of_batches(store: DataFrame, batch: DataFrame) -> DataFrame:
     """As ``dispositions`` for any ids: an event is a duplicate if its id or its (node, request) is stored or was accepted before.
 
-    A duplicate does not block later rows, so a batch (of 1,000 rows at most) is
-    folded in order; batches are independent of each other.
+    The order is that of batch_id and seq, over all batches.  A duplicate does
+    not block later rows, so rows are decided in rounds: one that is the first
+    undecided of its id and of its (node, request) is accepted, and its fellows
+    are duplicates.  Two rounds do, but where ids and requests cross.
     """
-    ids = store.select(F.col("event_id").alias("k_id"), F.lit(True).alias("id_known")).distinct()
-    pairs = store.select(F.col("node_id").alias("k_node"), F.col("request_id").alias("k_request"), F.lit(True).alias("pair_known")).distinct()
-    marked = batch.join(ids, F.col("event_id") == F.col("k_id"), "left").drop("k_id")
-    marked = marked.join(pairs, (F.col("node_id") == F.col("k_node")) & (F.col("request_id") == F.col("k_request")), "left").drop("k_node", "k_request")
-    marked = marked.withColumn("stored", F.coalesce("id_known", F.lit(False)) | F.coalesce("pair_known", F.lit(False))).drop("id_known", "pair_known")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        ids_seen, pairs_seen, out = set(), set(), []
-        rows = rows.sort_values("seq", kind="stable")
-        for event, node, request, stored in zip(rows.event_id, rows.node_id, rows.request_id, rows.stored):
-            if stored or event in ids_seen or (node, request) in pairs_seen:
-                out.append("duplicate")
-            else:
-                ids_seen.add(event)
-                pairs_seen.add((node, request))
-                out.append("accepted")
-        return rows.drop(columns="stored").assign(disposition=out)
-
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema] + ["disposition string"])
-    return marked.groupBy(*BATCH_KEYS).applyInPandas(fold, fields)
+    order, pair = ["batch_id", "seq"], ["node_id", "request_id"]
+    ids = store.select(F.col("event_id").alias("k_id")).distinct()
+    pairs = store.select(*[F.col(c).alias(f"k_{c}") for c in pair]).distinct()
+    marked = batch.join(ids, F.col("event_id") == F.col("k_id"), "left")
+    marked = marked.join(pairs, (F.col("node_id") == F.col("k_node_id")) & (F.col("request_id") == F.col("k_request_id")), "left")
+    stored = F.col("k_id").isNotNull() | F.col("k_node_id").isNotNull()
+    marked = marked.select(*[batch[c] for c in batch.columns], F.when(stored, "duplicate").alias("disposition"))
+    while True:
+        marked = shared_table(marked)
+        if marked.filter("disposition IS NULL").isEmpty():
+            return marked
+        open_ = F.when(F.col("disposition").isNull(), F.struct(*order))
+        first = [F.min(open_).over(Window.partitionBy(*key)) for key in (["event_id"], pair)]
+        marked = marked.withColumns({"first_id": first[0], "first_pair": first[1]})
+        takes = F.col("disposition").isNull() & (F.struct(*order) == F.col("first_id")) & (F.struct(*order) == F.col("first_pair"))
+        marked = marked.withColumn("takes", takes)
+        met = [F.max("takes").over(Window.partitionBy(*key)) for key in (["event_id"], pair)]
+        marked = marked.withColumn("met", met[0] | met[1])
+        decided = F.when(F.col("takes"), "accepted").when(F.col("met"), "duplicate")
+        marked = marked.select(*batch.columns, F.coalesce("disposition", decided).alias("disposition"))
 
 
 def ingest_batch(store: DataFrame, batch: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, dispositions) of one batch in the store's schema."""
-    marked = dispositions(store, with_event_defaults(batch))
+    """(rows to append, dispositions) of a batch in the store's schema, or of several batches.
+
+    Rows with batch_id, batch_node_id and schema_version are validated as their
+    batches are; all events of an invalid one are rejected and stored nowhere.
+    """
+    rows, rejected = with_event_defaults(batch), None
+    if {"batch_id", "batch_node_id", "schema_version"} <= set(batch.columns):
+        rows = validate_batches(rows)
+        rejected = rows.filter("NOT valid").select("event_id", "seq", F.lit("rejected").alias("disposition"))
+        rows = rows.filter("valid").drop("valid")
+        marked = dispositions_of_batches(store, rows)
+    else:
+        marked = dispositions(store, rows)
     accepted = marked.filter("disposition = 'accepted'").withColumn("received_at", F.lit(now).cast("long"))
-    return accepted.select([c for c in USAGE_EVENTS.names if c in accepted.columns]), marked.select("event_id", "seq", "disposition")
+    told = marked.select("event_id", "seq", "disposition")
+    return accepted.select([c for c in USAGE_EVENTS.names if c in accepted.columns]), told if rejected is None else told.union(rejected)
 
 
 def upsert_rollups(store: DataFrame, snapshots: DataFrame, now: int) -> DataFrame:

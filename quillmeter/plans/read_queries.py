@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,20 @@ def q_daily_rollup(spark, d):
     return rounded(A.daily_rollup(usage_events(spark, d)))
 
 
+def q_overview(spark, d):
+    """All parts of the overview in one table: its part, key and label, requests, tokens, cost."""
+    found = A.overview(usage_events(spark, d), provider_catalog(spark, d), _query())
+    summary, trend = (found[n].withColumns({"key": key, "label": F.lit("")}) for n, key in (("summary", F.lit("")), ("trend", F.col("bucket_start").cast("string"))))
+    parts = {"summary": summary, "trend": trend, **found["breakdowns"]}
+    columns = ["key", "label", "total_requests", "real_total_tokens", F.round("total_cost_usd", 4).alias("total_cost_usd")]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("part"), *columns) for n, df in parts.items()])
+
+
+def q_calendar_grid(spark, d):
+    months = usage_events(spark, d).select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86400).cast("int")).alias("month"))
+    return A.calendar_grid(months)
+
+
 CURSOR = (1705363200, "node-3:req-5")
 
 # ---- the same in DuckDB
@@ -167,6 +183,8 @@ QUERIES = {
     "q_events_first_page": _page(),
     "q_events_next_page": _page(CURSOR, 37),
     "q_daily_rollup": q_daily_rollup,
+    "q_overview": q_overview,
+    "q_calendar_grid": q_calendar_grid,
 }
 ORACLES = {
     "q_summary": summary_sql(RANGE),
@@ -209,4 +227,12 @@ ORACLES = {
  count(*) AS request_count, CAST(sum(ok) AS BIGINT) AS success_count, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
  CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_creation_tokens) AS BIGINT) AS cache_creation_tokens, round(sum(cost), 4) AS total_cost_usd,
  round(avg(latency_ms), 4) AS avg_latency_ms FROM m GROUP BY ALL"""),
+    "q_calendar_grid": _sql("""SELECT month, cell, month - CAST(dayofweek(month) AS INTEGER) + cell AS day FROM (SELECT DISTINCT CAST(date_trunc('month', make_timestamp(created_at * 1000000)) AS DATE) AS month FROM m),
+ (SELECT CAST(unnest(range(42)) AS INTEGER) AS cell)"""),
+}
+_OVERVIEW = {"summary": ("q_summary", "''", "''"), "trend": ("q_trend_auto", "CAST(bucket_start AS VARCHAR)", "''")} | {
+    part: (f"q_breakdown_{name}", "key", "label") for part, name in (("nodes", "node"), ("apps", "app"), ("models", "model"), ("providers", "provider"))
 }
+ORACLES["q_overview"] = " UNION ALL ".join(
+    f"SELECT '{part}' AS part, {key} AS key, {label} AS label, total_requests, real_total_tokens, total_cost_usd FROM ({ORACLES[name]})" for part, (name, key, label) in _OVERVIEW.items()
+)

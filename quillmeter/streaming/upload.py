@@ -1,8 +1,10 @@
 """Continuous upload: a file stream of ledger rows into an idempotent store.
 
-Each micro-batch overwrites a folder of its own, so a batch that is replayed
-after a failure writes the same rows again; what an earlier batch stored is
-left out by a join on the event id.
+The store is partitioned by the day of an event and by micro-batch.  A
+micro-batch overwrites its own partitions, so one that is replayed after a
+failure writes the same rows again; what earlier batches stored is left out by a
+join on the event id.  A request's time never changes, so only the days that a
+batch touches are listed and read.
 """
 
 from __future__ import annotations
@@ -10,35 +12,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from ..functions.usage import event_id
 from ..operators.ingest import dispositions
-from ..schema import USAGE_EVENTS, conform, with_event_defaults
+from ..schema import USAGE_EVENTS, conform, with_event_date, with_event_defaults
+from ..sources.shared import shared_table
 
 POLL = "5 seconds"
 
 
+class UploadRefused(ValueError):
+    """A micro-batch that the store does not take as a whole; the stream does not move past it."""
+
+
 def stored(spark: SparkSession, store: str) -> DataFrame:
     """All accepted events of a store; an empty frame where there is none yet."""
-    return stored_before(spark, store, -1)
+    return spark.read.schema(USAGE_EVENTS).parquet(store) if _exists(spark, store) else spark.createDataFrame([], USAGE_EVENTS)
+
 
+def accept(batch: DataFrame, batch_id: int, store: str, now: int) -> dict[str, int]:
+    """Stores the new events of a micro-batch under ``batch_id``; running it again gives the same.
 
-def accept(batch: DataFrame, batch_id: int, store: str, now: int) -> None:
-    """Stores the new events of a micro-batch under ``batch_id``; running it again gives the same."""
+    Events without an id's parts or a time are rejected, and then nothing is
+    stored.  The counts returned have to add up to what was sent.
+    """
     spark = batch.sparkSession
-    known = stored_before(spark, store, batch_id)
-    rows = with_event_defaults(batch).withColumn("event_id", event_id()).withColumn("seq", F.struct("created_at", "request_id"))
-    new = dispositions(known, rows).filter("disposition = 'accepted'").withColumn("received_at", F.lit(now).cast("long"))
-    conform(new, USAGE_EVENTS).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-
-
-def stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    at = fs_path(store)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    earlier = [f"{store}/{n}" for n in names if n.startswith("batch_id=") and int(n.split("=")[1]) != batch_id]
-    return spark.read.schema(USAGE_EVENTS).parquet(*earlier) if earlier else spark.createDataFrame([], USAGE_EVENTS)
+    rows = with_event_date(with_event_defaults(batch).withColumn("event_id", event_id()).withColumn("seq", F.struct("created_at", "request_id")))
+    usable = F.col("node_id").isNotNull() & F.col("request_id").isNotNull() & F.col("created_at").isNotNull()
+    sent = {r.usable: r.n for r in rows.groupBy(usable.alias("usable")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if rejected := sent.get(False, 0):
+        raise UploadRefused(f"{rejected} of {sum(sent.values())} usage events are rejected")
+    days = [r.event_date for r in rows.select("event_date").distinct().collect()]  # the days of one micro-batch
+    marked = dispositions(stored_before(spark, store, batch_id, days), rows).withColumn("received_at", F.lit(now).cast("long"))
+    marked = shared_table(marked.select(*[c for c in USAGE_EVENTS.names if c in marked.columns], "event_date", "disposition"))
+    told = {r.disposition: r.n for r in marked.groupBy("disposition").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(told.values()) != sum(sent.values()):
+        raise UploadRefused(f"{sum(sent.values())} usage events were sent, {sum(told.values())} acknowledged")
+    new = marked.filter("disposition = 'accepted'")
+    new = with_event_date(conform(new, USAGE_EVENTS)).withColumn("batch_id", F.lit(batch_id))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id").parquet(store)
+    return {"sent": sum(sent.values()), "accepted": told.get("accepted", 0), "duplicates": told.get("duplicate", 0), "rejected": 0}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def stored_before(spark: SparkSession, store: str, batch_id: int, days: list) -> DataFrame:
+    """What earlier batches stored for these days."""
+    paths = [p for d in days if _exists(spark, p := f"{store}/event_date={d}")]
+    if not paths:
+        return spark.createDataFrame([], USAGE_EVENTS)
+    schema = StructType([*USAGE_EVENTS.fields, StructField("event_date", DateType()), StructField("batch_id", LongType())])
+    return spark.read.schema(schema).option("basePath", store).parquet(*paths).filter(F.col("batch_id") < batch_id).select(USAGE_EVENTS.names)
 
 
 def upload_stream(spark: SparkSession, ledger: str, schema, store: str, checkpoint: str, now: int, once: bool = False, files_per_batch: int = 100) -> StreamingQuery:

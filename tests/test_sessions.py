@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillmeter.functions.usage import plain_number, uuid_text
 from quillmeter.sources import files, sessions
 from quillmeter.sources.tables import opencode_messages
 
@@ -55,6 +56,46 @@ def test_codex_forks_skip_what_they_replay(spark):
     assert [r for r in codex(spark, (B, child))] == []  # no parent file
 
 
+def test_a_parent_without_events_is_still_a_parent(spark):
+    child = [meta(B, 10, forked_from_id=A), usage(11, 1, 0, 0)]
+    assert [r[0][-2:] for r in codex(spark, (A, ["no json"]), (B, child))] == [":1"]
+
+
+def test_only_changed_files_come_back(spark):
+    parent, child = [meta(A), usage(2, 1, 0, 0)], [meta(B, 10, forked_from_id=A), usage(11, 1, 0, 0), usage(12, 3, 0, 0)]
+    df = lines(spark, f"/x/rollout-2024-{A}.jsonl", parent).union(lines(spark, f"/x/rollout-2024-{B}.jsonl", child))
+    changed = spark.createDataFrame([(f"/x/rollout-2024-{B}.jsonl",)], "path string")
+    assert [r.input_tokens for r in sessions.codex_records(df, NOW, changed).collect()] == [2]
+
+
+def test_repeated_keys_and_trailing_text(spark):
+    answer = '{"type":"user","type":"assistant","message":{"id":"m%s","usage":{"input_tokens":1,"input_tokens":2}}}'
+    rows = [answer % 1, answer % 2 + " {}", answer % 3 + ", {}", " " + answer % 4 + "\t", "[" + answer % 5 + "]", ""]
+    got = sessions.claude_records(lines(spark, "/c", rows), NOW).collect()
+    assert {(r.request_id, r.input_tokens) for r in got} == {("session:m1", 2), ("session:m4", 2)}
+    for bad in ("{} {}", "{}, {}", "{} x", ""):
+        with pytest.raises(Exception):
+            sessions.gemini_records(spark.createDataFrame([("/g", bad)], "path string, content string"), NOW).collect()
+    assert sessions.gemini_records(spark.createDataFrame([("/g", "[1]"), ("/h", "7")], "path string, content string"), NOW).count() == 0
+
+
+UUIDS = {A: A, A.upper(): A, "{" + A + "}": A, f"urn:uuid:{A}": A, A.replace("-", ""): A, A[:-1]: None, "{" + A: None, A.replace("-", "", 1): None, "urn:uuid:" + A.replace("-", ""): None, A[:1] + "-" + A[1:8] + A[9:]: None}
+
+
+def test_uuids(spark):
+    df = spark.createDataFrame(list(UUIDS.items()), "text string, id string")
+    assert df.select(F.count_if(~uuid_text(F.col("text")).eqNullSafe(F.col("id")))).first()[0] == 0
+
+
+NUMBERS = {0.1: "0.1", 1e-7: "0.0000001", 1e21: "1000000000000000000000", 123456.789: "123456.789", -2.5e-5: "-0.000025", 0.0: "0", 3.0: "3", 5e-324: "0." + "0" * 323 + "49", 1.5e300: "15" + "0" * 299, 12345678.9: "12345678.9", 100.0: "100"}
+
+
+def test_plain_numbers(spark):
+    df = spark.createDataFrame(list(NUMBERS.items()), "x double, text string").select("x", "text", plain_number(F.col("x")).alias("got"))
+    for r in df.collect():
+        assert r.got == r.text or (r.x == 5e-324 and float(r.got) == r.x)
+
+
 @pytest.mark.parametrize("child,parent,n", [("aczb", "abc", 2), ("ba", "ab", 1), ("x", "a", 0), ("abc", "abc", 3), ("a", "", 0)])
 def test_replay_is_a_greedy_match(spark, child, parent, n):
     df = spark.createDataFrame([([(c,) for c in child], list(parent))], "child array<struct<s:string>>, parent array<string>")
@@ -88,6 +129,7 @@ def test_opencode(spark, tmp_path):
     row = {"role": "assistant", "modelID": "z", "time": {"created": 1785369600999, "completed": None}, "tokens": {"input": 4, "output": 2, "reasoning": 1, "cache": {"read": 1, "write": 0}}, "cost": 0.01}
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE message (id TEXT, session_id TEXT, data TEXT)")
+        db.execute("INSERT INTO message VALUES ('n', NULL, '{}')")
         db.executemany("INSERT INTO message VALUES (?, 's', ?)", [("a", json.dumps(row)), ("b", "junk"), ("c", json.dumps(row | {"time": {"created": 1}}))])
     got = sessions.opencode_records(opencode_messages(spark, path), NOW).collect()
     assert [(r.request_id, r.output_tokens, r.created_at, r.reported_total_cost_usd) for r in got] == [("opencode_session:s:a", 3, 1785369600, "0.01")]

@@ -37,7 +37,16 @@ def test_two_keys_are_folded_in_order(spark):
     df = spark.createDataFrame(rows, "seq long, batch_id string, event_id string, node_id string, request_id string")
     marks = {r.seq: r.disposition for r in ingest.dispositions_of_batches(spark.createDataFrame([], USAGE_EVENTS), df).collect()}
     # 2 repeats an id; as it was not accepted, its request does not block 3
-    assert marks == {1: "accepted", 2: "duplicate", 3: "accepted", 4: "duplicate", 5: "accepted"}
+    # and 5 comes in a later batch, to which the first one's events are known
+    assert marks == {1: "accepted", 2: "duplicate", 3: "accepted", 4: "duplicate", 5: "duplicate"}
+
+
+def test_rejected_events_are_told_and_stored_nowhere(spark):
+    rows = [(1, "a", "n", 1, "n", "r1"), (2, "a", "n", 1, "m", "r2"), (3, "b", "n", 1, "n", "r1"), (4, None, "n", 1, "n", "r4"), (5, "c", "n", None, "n", "r5")]
+    df = spark.createDataFrame(rows, "seq long, batch_id string, batch_node_id string, schema_version int, node_id string, request_id string").withColumn("event_id", F.concat_ws(":", "node_id", "request_id"))
+    new, marks = ingest.ingest_batch(spark.createDataFrame([], USAGE_EVENTS), df, 5)
+    assert {(r.seq, r.disposition) for r in marks.collect()} == {(1, "rejected"), (2, "rejected"), (3, "accepted"), (4, "accepted"), (5, "rejected")}
+    assert {r.request_id for r in new.collect()} == {"r1", "r4"}
 
 
 def test_batches_are_refused_whole(spark):
@@ -80,6 +89,12 @@ def test_price_feed(spark):
     assert [(r.price_key, r.input, r.output, r.cache_read, r.cache_creation) for r in got] == [("gpt-5-2025", 1.0, 15.0, 0.0, 3.125)]
 
 
+@pytest.mark.parametrize("feed", ['{"v": {"models": ', '{"v": {"models": {"m": {"cost": {"input": "x"}}}}}', '{"v": {"models": {"m": {"cost": {}}}}}', "{}"])
+def test_a_bad_price_feed_is_an_error(spark, feed):
+    with pytest.raises(Exception):
+        pricing.flatten_prices(spark.createDataFrame([(feed,)], "value string")).collect()
+
+
 def test_candidates(spark):
     def of(name):
         return spark.createDataFrame([(name,)], "m string").select(pricing.candidates("m")).first()[0]
@@ -103,26 +118,37 @@ def record(key, source="s", output=1, at=1, cost=0.0, order=0, position=0):
 
 
 def test_ledger(spark):
-    run = lambda *rows: ledger.collapse_run(spark.createDataFrame(list(rows), RECORD))
+    run = lambda *rows: spark.createDataFrame(list(rows), RECORD)
     one, counts = ledger.upsert_ledger(spark.createDataFrame([], RECORD), run(record("a"), record("b")))
     assert tuple(counts.first()) == (2, 0)
     two, counts = ledger.upsert_ledger(one, run(record("a", at=9, output=5), record("b", source="x", output=7), record("c", cost=1.0)))
     assert tuple(counts.first()) == (2, 1)
     assert {(r.request_id, r.output_tokens, r.created_at, r.session_id) for r in two.collect()} == {("a", 5, 1, "sess1"), ("b", 1, 1, "sess1"), ("c", 1, 1, "sess1")}
     assert tuple(ledger.upsert_ledger(two, run(record("c", cost=2.0)))[1].first()) == (0, 1)  # component costs are no change
-    many = run(record("z", output=1, at=3), record("z", output=2, at=4, position=1), record("z", source="y", output=3, order=1)).collect()
-    assert [(r.output_tokens, r.created_at) for r in many] == [(2, 3)]
+    many, counts = ledger.upsert_ledger(spark.createDataFrame([], RECORD), run(record("z", output=1, at=3), record("z", output=2, at=4, position=1), record("z", source="y", output=3, order=1)))
+    assert [(r.output_tokens, r.created_at) for r in many.collect()] == [(2, 3)] and tuple(counts.first()) == (2, 1)
+
+
+def test_the_owner_is_the_ledger_s(spark):
+    run = lambda *rows: spark.createDataFrame(list(rows), RECORD)
+    known = run(record("r", source="b", output=5, cost=1.0))
+    merged, counts = ledger.upsert_ledger(known, run(record("r", source="a", output=7), record("r", source="b", output=9, position=1, cost=3.0)))
+    assert [(r.data_source, r.output_tokens, r.cost_input) for r in merged.collect()] == [("b", 9, 3.0)] and tuple(counts.first()) == (1, 1)
+    back, counts = ledger.upsert_ledger(known, run(record("r", source="b", output=6), record("r", source="b", output=5, position=1, cost=8.0), record("r", source="b", output=5, position=2, cost=9.0)))
+    assert [(r.output_tokens, r.cost_input) for r in back.collect()] == [(5, 8.0)] and tuple(counts.first()) == (2, 1)
+    assert tuple(ledger.upsert_ledger(known, known.limit(0))[1].first()) == (0, 0) and ledger.upsert_ledger(known, known.limit(0))[0].count() == 1
 
 
 def test_rebuild_swaps(spark, tmp_path):
     path = str(tmp_path / "ledger")
     rows = spark.createDataFrame([record("a"), record("b")], RECORD)
+    assert ledger.read_ledger(spark, path) is None
     ledger.rebuild(spark, rows.limit(1), path)
     ledger.rebuild(spark, rows, path)
-    assert spark.read.parquet(path).count() == 2
+    assert ledger.read_ledger(spark, path).count() == 2
     with pytest.raises(ValueError):
         ledger.rebuild(spark, rows.union(rows), path)
-    assert spark.read.parquet(path).count() == 2
+    assert ledger.read_ledger(spark, path).count() == 2
 
 
 def test_mirror(spark):
@@ -150,6 +176,16 @@ def test_a_stream_is_stored_once(spark, tmp_path):
     assert upload.stored(spark, store).count() == 11 and upload.stored(spark, store).select("event_id").distinct().count() == 11
 
 
+def test_a_batch_with_unusable_events_is_refused(spark, tmp_path):
+    rows = conform(batch(spark, [(1, "n", "r1", 1), (2, "n", None, 2)]), USAGE_EVENTS)
+    store = str(tmp_path / "store")
+    with pytest.raises(upload.UploadRefused):
+        upload.accept(rows, 0, store, 7)
+    assert upload.stored(spark, store).count() == 0
+    twice = rows.limit(1).union(rows.limit(1))
+    assert upload.accept(twice, 0, store, 7) == {"sent": 2, "accepted": 1, "duplicates": 1, "rejected": 0}
+
+
 def test_settled(spark):
     df = spark.createDataFrame([(100,), (41,), (40,)], "created_at long")
     assert upload.settled(df, 100).count() == 1
