@@ -6,13 +6,16 @@ projected distance, each is verified by its true distance, and the search stops
 once the next projected distance is so large that a point nearer than the k-th
 found would have stayed that far out with a chance below 1 - ``CONFIDENCE``.
 
-A kd-tree fitted on a bounded sample cuts the projected space into cells; every
-row is put in its cell, and a cell beyond ``PART_ROWS`` rows is split into parts
-by hash.  A query first searches its own cell, which bounds its k-th distance;
-then it goes only to the cells whose boxes the stopping test does not rule out.
-Within a part, a kd-tree of leaves yields the projected neighbours
-incrementally.  The driver holds the sample, the tree, and one box and counts a
-cell, all bounded by parameters.
+A kd-tree fitted on a bounded sample cuts the projected space into cells, in
+number as the rows need; every row is put in its cell, and a cell beyond
+``PART_ROWS`` rows is split into parts by hash.  The bound on the k-th distance
+comes down in three steps.  A query searches its own cell; then it verifies the
+first ``PROBE`` projected neighbours in each cell whose box the stopping test
+does not rule out; with the k-th distance over all of these it goes on, in the
+cells that the test still leaves, to all points that the test leaves.  Within a
+part, the leaves of a kd-tree are ruled out by their boxes, and the points of
+the others come in order of projected distance.  The driver holds the sample,
+the tree, and one box and counts a cell, all bounded by parameters.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIMS, CONFIDENCE, NEAREST, SEED = 8, 0.98, 10, 11
-SAMPLE, CELL_ROWS, MOST_CELLS, PART_ROWS, LEAF, QUERY_BLOCK = 8192, 4096, 1024, 8192, 64, 20_000
+from .common import discard, written
+
+DIMS, CONFIDENCE, NEAREST, SEED = 24, 0.9, 10, 11
+SAMPLE, CELL_ROWS, MOST_CELLS, PART_ROWS, LEAF, PROBE, QUERY_BLOCK = 8192, 4096, 1024, 8192, 128, 64, 20_000
 
 
 def chi_square_quantile(p: float, dims: int = DIMS) -> float:
@@ -81,34 +86,51 @@ def leaves(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return leaves(points, rows[order[:half]]) + leaves(points, rows[order[half:]])
 
 
-def search_part(vectors: np.ndarray, ids: np.ndarray, projected: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, q_projected: np.ndarray, bounds: np.ndarray, k: int, stop: float):
-    """(query_id, vec_id, score) lists: each query's k nearest of this part, as far as they can be among the nearest of all."""
+def search_part(vectors: np.ndarray, ids: np.ndarray, projected: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, q_projected: np.ndarray, bounds: np.ndarray, k: int, stop: float, probe: bool = False):
+    """(query_id, vec_id, score, verified) lists: each query's k nearest of this part, as far as they can be among the nearest of all.
+
+    ``verified`` is the number of points whose true distance a query took.  With
+    ``probe`` that is ``PROBE`` at most (the first in projected order).
+    """
     parts = leaves(projected, np.arange(len(ids)))
     low = np.array([projected[p].min(axis=0) for p in parts])
     high = np.array([projected[p].max(axis=0) for p in parts])
-    out: tuple[list, list, list] = ([], [], [])
+    out: tuple[list, list, list, list] = ([], [], [], [])
     for q_id, q, qp, bound in zip(q_ids, q_vectors, q_projected, bounds):
+        slack = 1e-9 * (1 + np.abs(qp).max())  # equal vectors may differ in the last digits of their projections
         gap = np.maximum(np.maximum(low - qp, qp - high), 0)
-        reach = np.sqrt((gap**2).sum(axis=1))
-        best_d, best_i, kth = np.zeros(0), np.zeros(0, np.int64), bound
-        for leaf in np.argsort(reach, kind="stable"):
-            if reach[leaf] > stop * kth:  # the chi-square test, for this leaf and all behind it
-                break
-            rows = parts[leaf]
-            rows = rows[ids[rows] != q_id]
-            d = np.concatenate([best_d, np.sqrt(((vectors[rows] - q) ** 2).sum(axis=1))])
-            i = np.concatenate([best_i, ids[rows]])
-            order = np.lexsort((i, d))
+        near = np.flatnonzero(np.sqrt((gap**2).sum(axis=1)) <= stop * bound + slack)
+        if not len(near):
+            continue
+        rows = np.concatenate([parts[leaf] for leaf in near])
+        rows = rows[ids[rows] != q_id]
+        away = np.sqrt(((projected[rows] - qp) ** 2).sum(axis=1))
+        best_d, best_i, kth, done, step = np.zeros(0), np.zeros(0, np.int64), bound, 0, PROBE
+        while len(rows):
+            # The next points in projected order, as far as the chi-square test for the k-th distance so far lets them.
+            order = np.argpartition(away, step)[:step] if len(rows) > step else np.arange(len(rows))
+            later = np.ones(len(rows), bool)
+            later[order] = False
+            order = order[away[order] <= stop * kth + slack]
+            d = np.concatenate([best_d, np.sqrt(((vectors[rows[order]] - q) ** 2).sum(axis=1))])
+            i = np.concatenate([best_i, ids[rows[order]]])
+            done += len(order)
+            best = np.lexsort((i, d))
             if len(np.unique(i)) < len(i):  # an id that repeats counts at its nearest
-                order = order[np.sort(np.unique(i[order], return_index=True)[1])]
-            order = order[:k]
-            best_d, best_i = d[order], i[order]
+                best = best[np.sort(np.unique(i[best], return_index=True)[1])]
+            best = best[:k]
+            best_d, best_i = d[best], i[best]
             if len(best_d) == k:
                 kth = min(bound, best_d[-1])
-        near = best_d <= bound
-        out[0].extend([q_id] * int(near.sum()))
-        out[1].extend(best_i[near].tolist())
-        out[2].extend(best_d[near].tolist())
+            if probe:
+                break
+            left = later & (away <= stop * kth + slack)
+            rows, away, step = rows[left], away[left], 2 * step
+        found = best_d <= bound
+        out[0].extend([q_id] * int(found.sum()))
+        out[1].extend(best_i[found].tolist())
+        out[2].extend(best_d[found].tolist())
+        out[3].extend([done] * int(found.sum()))
     return out
 
 
@@ -154,7 +176,8 @@ def ann_search(rows: DataFrame, queries: DataFrame | None = None, id_col: str =
             )
 
     schema = "vec_id long, v array<double>, p array<double>, cell long"
-    points, asked = points.mapInArrow(place, schema), asked.mapInArrow(place, schema)
+    points, points_path = written(points.mapInArrow(place, schema))
+    asked = asked.mapInArrow(place, schema)
     ends = [f(F.get("p", F.lit(i))).alias(f"{name}{i}") for i in range(DIMS) for f, name in ((F.min, "low"), (F.max, "high"))]
     boxes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *ends).orderBy("cell").collect()  # at most MOST_CELLS rows
     cells = np.array([b.cell for b in boxes])
@@ -167,7 +190,7 @@ def ann_search(rows: DataFrame, queries: DataFrame | None = None, id_col: str =
 
     dealt = parted(points).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("n_parts")).cast("int")).drop("n_parts")
 
-    def searched(routed: DataFrame) -> DataFrame:
+    def searched(routed: DataFrame, probe: bool = False) -> DataFrame:
         """routed: vec_id, v, p, bound, cell.  Queries of a cell go to all its parts, in blocks."""
         blocks = {r.cell: math.ceil(r.n / QUERY_BLOCK) for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
         by_block = spark.createDataFrame([(int(c), int(m)) for c, m in blocks.items()] or [(-1, 1)], "block_cell long, n_blocks int")
@@ -179,7 +202,7 @@ def ann_search(rows: DataFrame, queries: DataFrame | None = None, id_col: str =
 
         def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             found = ([], [], []) if not len(q) or not len(p) else search_part(
-                np.stack(p.v), p.vec_id.to_numpy(), np.stack(p.p), q.vec_id.to_numpy(), np.stack(q.v), np.stack(q.p), q.bound.to_numpy(), k, stop
+                np.stack(p.v), p.vec_id.to_numpy(), np.stack(p.p), q.vec_id.to_numpy(), np.stack(q.v), np.stack(q.p), q.bound.to_numpy(), k, stop, probe
             )
             return pd.DataFrame({"query_id": found[0], "vec_id": found[1], "score": found[2]}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -191,22 +214,29 @@ def ann_search(rows: DataFrame, queries: DataFrame | None = None, id_col: str =
         near = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
 
-    home = ranked(searched(asked.withColumn("bound", F.lit(float("inf"))))).cache()
-    kth = home.filter(F.col("rank") == k).select(F.col("query_id").alias("bounded"), F.col("score").alias("kth"))
-    asked = asked.join(kth, F.col("vec_id") == F.col("bounded"), "left").select("vec_id", "v", "p", "cell", F.coalesce("kth", F.lit(float("inf"))).alias("bound"))
-
     def route(batches):
         for batch in batches:
             p = np.array(batch.column(2).flatten(), np.float64).reshape(-1, DIMS)
             own, bound = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             gap = np.maximum(np.maximum(low[None] - p[:, None], p[:, None] - high[None]), 0)
             reach = np.sqrt((gap**2).sum(axis=2))
-            at, to = np.nonzero((reach <= stop * bound[:, None]) & (cells[None] != own[:, None]))
+            slack = 1e-9 * (1 + np.abs(p).max(axis=1, initial=0))
+            at, to = np.nonzero((reach <= (stop * bound + slack)[:, None]) & (cells[None] != own[:, None]))
             at = pa.array(at)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(cells[to], pa.int64()), batch.column(4).take(at)], ["vec_id", "v", "p", "cell", "bound"]
             )
 
-    elsewhere = searched(asked.mapInArrow(route, "vec_id long, v array<double>, p array<double>, cell long, bound double"))
-    merged = home.select("query_id", "vec_id", "score").union(elsewhere).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return ranked(merged).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def elsewhere(near: DataFrame, probe: bool) -> DataFrame:
+        """``near`` and what each query finds in the other cells that its k-th distance so far does not rule out."""
+        kth = near.filter(F.col("rank") == k).select(F.col("query_id").alias("bounded"), F.col("score").alias("kth"))
+        told = asked.join(kth, F.col("vec_id") == F.col("bounded"), "left").select("vec_id", "v", "p", "cell", F.coalesce("kth", F.lit(float("inf"))).alias("bound"))
+        found = searched(told.mapInArrow(route, f"{schema}, bound double"), probe)
+        merged = near.select("query_id", "vec_id", "score").union(found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return ranked(merged)
+
+    home, home_path = written(ranked(searched(asked.withColumn("bound", F.lit(float("inf"))))))
+    probed, probed_path = written(elsewhere(home, probe=True))
+    result, _ = written(elsewhere(probed, probe=False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    discard(spark, home_path, probed_path, points_path)
+    return result

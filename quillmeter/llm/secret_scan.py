@@ -9,14 +9,17 @@ be uniform random draws from that alphabet: chi-squared of the symbol counts
 (by the Wilson-Hilferty transformation), the runs test about the middle of the
 alphabet, and lag-1 serial correlation.  Fisher's method joins the p-values.
 
-Length-aware false-discovery control: within each stratum of encoding and
-length class (doubling lengths), the Benjamini-Hochberg step-up at level
-``FDR`` over all candidates of the corpus declares candidates structured; those
-whose randomness stands are reported.  A false discovery is a random key
-declared structured, so in each length class at most that share of the
-declared ones is missed.  The step-up works on counts by p-value bin (each bin
-counted at its upper edge), at most ``BINS`` rows a stratum, so no stratum is
-ever ranked row by row, and its thresholds are at most one row for each of 7
+Length-aware false-discovery control: a false discovery is structured text
+reported as a secret.  How structured text does in the tests comes from the
+corpus itself: each candidate has a decoy, as many characters of its encoding's
+alphabet from the text in front of it.  Within each stratum of encoding and
+length class (doubling lengths), the step-up takes the lowest p-value above
+which there are at most ``FDR`` times as many decoys as candidates; candidates
+above it are reported, if randomness itself stands (``LEAST_P``).  So where a
+length leaves the tests no power against prose, its decoys pass like its
+candidates and nothing is reported.  The step-up works on counts by p-value bin
+(each counted whole), at most ``BINS`` rows a stratum, so no stratum is ever
+ranked row by row, and its thresholds are at most one row for each of 7
 encodings and 32 length classes: that table is broadcast.
 
 Only built-in functions are used.
@@ -38,12 +41,14 @@ PATTERNS = {
     "random": r"[A-Za-z0-9+/_-]{20,}",
 }
 MIN_SECRET, MIN_ACCESS, MIN_RUN = 6, 20, 20
-FDR, BINS_PER_DECADE, BINS = 0.01, 20, 400
+FDR, LEAST_P, BINS_PER_DECADE, BINS = 0.05, 1e-3, 20, 400
+#: Code points in front of a candidate that its decoy is made of.
+CONTEXT = 2000
 
 HEX, B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: encoding, what a run in it looks like, alphabet in order; the first that fits holds.
-ENCODINGS = (
+ENCODINGS = (  # and below, how prose is brought into each alphabet
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", HEX),
     ("base32", "^[A-Z2-7]+$", B32),
     ("base36 lower", "^[a-z0-9]+$", DIGITS + LOWER),
@@ -52,10 +57,12 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
+PROSE = {"hex": ("lower", "[^0-9a-f]"), "base32": ("upper", "[^A-Z2-7]"), "base36 lower": ("lower", "[^a-z0-9]"), "base36 upper": ("upper", "[^A-Z0-9]")}
+ANY_CASE = "[^A-Za-z0-9]"
 
 
 def found(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(doc_id, version, kind, start, end, match, secret): all matches of these kinds' patterns, by code points.
+    """(doc_id, version, kind, start, end, match, secret, before): all matches of these kinds' patterns, by code points.
 
     Between the matches lie the pieces of a split at the same pattern; a match
     starts behind all pieces and matches before it.
@@ -71,17 +78,18 @@ def found(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
             F.col(kind).alias("matches"),
             (F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(2)) if kind == "assign" else F.col(kind)).alias("secrets"),
             F.transform(F.split("text", PATTERNS[kind], -1), lambda p: F.length(p)).alias("gaps"),
+            (F.transform(F.split("text", PATTERNS[kind], -1), lambda p: F.right(p, F.lit(CONTEXT))) if kind == "random" else F.lit(None).cast("array<string>")).alias("before"),
         )
         for kind in kinds
     ]
     rows = rows.select("doc_id", "version", F.explode(F.array(*per_kind)).alias("k")).filter(F.size("k.matches") > 0)
-    rows = rows.select("doc_id", "version", "k.kind", F.posexplode(F.arrays_zip("k.matches", "k.secrets", "k.gaps")).alias("place", "m"))
+    rows = rows.select("doc_id", "version", "k.kind", F.posexplode(F.arrays_zip("k.matches", "k.secrets", "k.gaps", F.coalesce("k.before", F.array().cast("array<string>")).alias("before"))).alias("place", "m"))
     rows = rows.filter(F.col("m.matches").isNotNull())  # the last piece has no match behind it
-    rows = rows.select("doc_id", "version", "kind", "place", F.col("m.matches").alias("match"), F.col("m.secrets").alias("secret"), F.col("m.gaps").alias("gap"))
+    rows = rows.select("doc_id", "version", "kind", "place", F.col("m.matches").alias("match"), F.col("m.secrets").alias("secret"), F.col("m.gaps").alias("gap"), F.col("m.before").alias("before"))
     rows = rows.dropDuplicates(["doc_id", "version", "kind", "place"])
     so_far = Window.partitionBy("doc_id", "version", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(so_far))
-    return rows.withColumn("start", F.col("end") - F.length("match")).select("doc_id", "version", "kind", "start", "end", "match", "secret")
+    return rows.withColumn("start", F.col("end") - F.length("match")).select("doc_id", "version", "kind", "start", "end", "match", "secret", "before")
 
 
 def pieces(runs: DataFrame) -> DataFrame:
@@ -119,17 +127,26 @@ def with_tails(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumns({f"{n}_p": tail(n) for n in names}).drop(*[f"{n}_{c}" for n in names for c in "xt"])
 
 
-def tested(candidates: DataFrame) -> DataFrame:
-    """Candidates (with a column match) that fit an encoding, with encoding, n and p: the joint p-value of uniform randomness."""
-    encoding = alphabet = None
+def with_decoys(candidates: DataFrame) -> DataFrame:
+    """Candidates (match, before) that have a letter and a digit, with encoding, alphabet, token and decoy = false; and their decoys, where the text in front suffices."""
+    encoding = alphabet = prose = None
     for name, shape, symbols in ENCODINGS:
         fits = F.col("match").rlike(shape)
-        encoding = F.when(fits, F.lit(name)) if encoding is None else encoding.when(fits, F.lit(name))
-        alphabet = F.when(fits, F.lit(symbols)) if alphabet is None else alphabet.when(fits, F.lit(symbols))
+        case, others = PROSE.get(name, ("", ANY_CASE))
+        text = {"lower": F.lower("before"), "upper": F.upper("before")}.get(case, F.col("before"))
+        told = (F.lit(name), F.lit(symbols), F.regexp_replace(text, others, ""))
+        encoding, alphabet, prose = (F.when(fits, t) if c is None else c.when(fits, t) for c, t in zip((encoding, alphabet, prose), told))
     rows = candidates.filter(F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
-    rows = rows.withColumns({"encoding": encoding, "alphabet": alphabet}).filter(F.col("encoding").isNotNull())
-    token = F.when(F.col("encoding") == "hex", F.lower("match")).otherwise(F.col("match"))
-    rows = rows.withColumn("token", token).withColumn("n", F.length("token").cast("double")).withColumn("a", F.length("alphabet").cast("double"))
+    rows = rows.withColumns({"encoding": encoding, "alphabet": alphabet, "prose": prose}).filter(F.col("encoding").isNotNull())
+    own = F.when(F.col("encoding") == "hex", F.lower("match")).otherwise(F.col("match"))
+    like = F.when(F.length("prose") >= F.length("match"), F.right("prose", F.length("match")))
+    both = F.array(F.struct(own.alias("token"), F.lit(False).alias("decoy")), F.struct(like.alias("token"), F.lit(True).alias("decoy")))
+    return rows.withColumn("t", F.explode(both)).select(*candidates.columns, "encoding", "alphabet", "t.token", "t.decoy").filter("token IS NOT NULL")
+
+
+def tested(candidates: DataFrame) -> DataFrame:
+    """``with_decoys`` with n and p: the joint p-value of uniform randomness."""
+    rows = with_decoys(candidates).withColumn("n", F.length("token").cast("double")).withColumn("a", F.length("alphabet").cast("double"))
     codes = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - (F.col("a") + 1) / 2)
     rows = rows.withColumn("x", codes)
     squares = F.aggregate(
@@ -155,21 +172,20 @@ def tested(candidates: DataFrame) -> DataFrame:
     uneven = F.greatest(F.when(F.col("chi_z") >= 0, F.col("chi_z_p") / 2).otherwise(1 - F.col("chi_z_p") / 2), F.lit(1e-12))
     half = -(F.ln(uneven) + F.ln("runs_z_p") + F.ln("serial_z_p"))  # half of Fisher's statistic, 6 degrees of freedom
     rows = rows.withColumn("half", half).withColumn("p", F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2))
-    return rows.select(*candidates.columns, "encoding", "n", "p")
+    return rows.select(*candidates.columns, "encoding", "decoy", "n", "p")
 
 
 def still_random(rows: DataFrame, fdr: float = FDR) -> DataFrame:
-    """The rows of ``tested`` that the step-up of their stratum does not declare structured."""
+    """The candidates among the rows of ``tested`` that the step-up of their stratum reports."""
     rows = rows.withColumn("length_class", F.floor(F.log2("n")))
     p_bin = F.least(F.floor(-F.log10(F.greatest(F.col("p"), F.lit(1e-300))) * BINS_PER_DECADE), F.lit(BINS))
     rows = rows.withColumn("p_bin", p_bin)
     stratum = ["encoding", "length_class"]
-    bins = rows.groupBy(*stratum, "p_bin").agg(F.count(F.lit(1)).alias("in_bin"))
-    lower = Window.partitionBy(*stratum).orderBy(F.desc("p_bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = F.pow(F.lit(10.0), -F.col("p_bin") / BINS_PER_DECADE)
-    bins = bins.withColumn("m", F.sum("in_bin").over(Window.partitionBy(*stratum))).withColumn("rank", F.sum("in_bin").over(lower))
-    cut = bins.filter(edge <= fdr * F.col("rank") / F.col("m")).groupBy(*stratum).agg(F.min("p_bin").alias("cut"))
-    return rows.join(F.broadcast(cut), stratum, "left").filter(F.col("cut").isNull() | (F.col("p_bin") < F.col("cut")))
+    bins = rows.groupBy(*stratum, "p_bin").agg(F.count_if(~F.col("decoy")).alias("candidates"), F.count_if("decoy").alias("decoys"))
+    above = Window.partitionBy(*stratum).orderBy("p_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = bins.withColumns({c: F.sum(c).over(above) for c in ("candidates", "decoys")})
+    cut = bins.filter(F.col("decoys") <= fdr * F.col("candidates")).groupBy(*stratum).agg(F.max("p_bin").alias("cut"))
+    return rows.filter(~F.col("decoy") & (F.col("p") >= LEAST_P)).join(F.broadcast(cut), stratum).filter(F.col("p_bin") <= F.col("cut"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
