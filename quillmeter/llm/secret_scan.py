@@ -11,16 +11,18 @@ alphabet, and lag-1 serial correlation.  Fisher's method joins the p-values.
 
 Length-aware false-discovery control: a false discovery is structured text
 reported as a secret.  How structured text does in the tests comes from the
-corpus itself: each candidate has a decoy, as many characters of its encoding's
-alphabet from the text in front of it.  Within each stratum of encoding and
-length class (doubling lengths), the step-up takes the lowest p-value above
+corpus itself: each candidate has a decoy, the words in front of it run together
+to as many letters (capitals at their starts, where the encoding has both cases)
+and the candidate's own digits and signs behind them; to hex, digits are letters
+like others, and the decoy has none.  Within each stratum of encoding and
+length class (two to each doubling), the step-up takes the lowest p-value above
 which there are at most ``FDR`` times as many decoys as candidates; candidates
 above it are reported, if randomness itself stands (``LEAST_P``).  So where a
 length leaves the tests no power against prose, its decoys pass like its
 candidates and nothing is reported.  The step-up works on counts by p-value bin
 (each counted whole), at most ``BINS`` rows a stratum, so no stratum is ever
 ranked row by row, and its thresholds are at most one row for each of 7
-encodings and 32 length classes: that table is broadcast.
+encodings and 64 length classes: that table is broadcast.
 
 Only built-in functions are used.
 """
@@ -57,8 +59,8 @@ ENCODINGS = (  # and below, how prose is brought into each alphabet
     ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
-PROSE = {"hex": ("lower", "[^0-9a-f]"), "base32": ("upper", "[^A-Z2-7]"), "base36 lower": ("lower", "[^a-z0-9]"), "base36 upper": ("upper", "[^A-Z0-9]")}
-ANY_CASE = "[^A-Za-z0-9]"
+PROSE = {"hex": ("lower", "[^a-f]"), "base32": ("upper", "[^A-Z]"), "base36 lower": ("lower", "[^a-z]"), "base36 upper": ("upper", "[^A-Z]")}
+ANY_CASE = ("initcap", "[^A-Za-z]")
 
 
 def found(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -132,14 +134,16 @@ def with_decoys(candidates: DataFrame) -> DataFrame:
     encoding = alphabet = prose = None
     for name, shape, symbols in ENCODINGS:
         fits = F.col("match").rlike(shape)
-        case, others = PROSE.get(name, ("", ANY_CASE))
-        text = {"lower": F.lower("before"), "upper": F.upper("before")}.get(case, F.col("before"))
+        case, others = PROSE.get(name, ANY_CASE)
+        text = {"lower": F.lower("before"), "upper": F.upper("before"), "initcap": F.initcap("before")}[case]
         told = (F.lit(name), F.lit(symbols), F.regexp_replace(text, others, ""))
         encoding, alphabet, prose = (F.when(fits, t) if c is None else c.when(fits, t) for c, t in zip((encoding, alphabet, prose), told))
     rows = candidates.filter(F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
     rows = rows.withColumns({"encoding": encoding, "alphabet": alphabet, "prose": prose}).filter(F.col("encoding").isNotNull())
     own = F.when(F.col("encoding") == "hex", F.lower("match")).otherwise(F.col("match"))
-    like = F.when(F.length("prose") >= F.length("match"), F.right("prose", F.length("match")))
+    signs = F.when(F.col("encoding") == "hex", F.lit("")).otherwise(F.regexp_replace("match", "[A-Za-z]", ""))
+    letters = F.length("match") - F.length(signs)
+    like = F.when(F.length("prose") >= letters, F.concat(F.right("prose", letters), signs))
     both = F.array(F.struct(own.alias("token"), F.lit(False).alias("decoy")), F.struct(like.alias("token"), F.lit(True).alias("decoy")))
     return rows.withColumn("t", F.explode(both)).select(*candidates.columns, "encoding", "alphabet", "t.token", "t.decoy").filter("token IS NOT NULL")
 
@@ -177,7 +181,7 @@ def tested(candidates: DataFrame) -> DataFrame:
 
 def still_random(rows: DataFrame, fdr: float = FDR) -> DataFrame:
     """The candidates among the rows of ``tested`` that the step-up of their stratum reports."""
-    rows = rows.withColumn("length_class", F.floor(F.log2("n")))
+    rows = rows.withColumn("length_class", F.floor(2 * F.log2("n")))
     p_bin = F.least(F.floor(-F.log10(F.greatest(F.col("p"), F.lit(1e-300))) * BINS_PER_DECADE), F.lit(BINS))
     rows = rows.withColumn("p_bin", p_bin)
     stratum = ["encoding", "length_class"]
