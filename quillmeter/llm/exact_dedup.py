@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 MIN_CHUNK, MAX_CHUNK = 512, 2048
-#: Ends a chunk: three characters of context, met in running text once in some dozens of characters.
-BOUNDARY = "[aeioudnst][nst.,] [a-m]"
+#: Ends a chunk: some characters of context, met once in some dozens of characters, whatever the script: Latin words, ends of words of other
+#: scripts, some characters of scripts without spaces, and letters and digits of unbroken strings.
+BOUNDARY = r"(?:[aeioudnst][nst.,] [a-m]|\P{ASCII}[ \p{P}]|[\u4E00-\u53FF\u3040-\u3057\uAC00-\uB1FF\u0E01-\u0E0F]|[0-9][A-M][0-9A-Za-z]|[AEIOUaeiou][b-dB-D][a-eA-E][f-pF-P0-9])"
 CHUNK = f"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 4}}}?{BOUNDARY}|.{{1,{MAX_CHUNK}}}"
 
 
@@ -50,9 +51,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Null and empty texts are equal to each other and to no text with content.
-    Of equal texts the smallest id stays.  Rows that repeat an id with an equal
-    text are one document; an id that returns with another text is a document
-    for each text.  A null id sorts after all others, so it stays only where
+    Of equal texts the smallest id stays.  Every row counts and comes back, also
+    one that repeats another; rows that repeat the id that stays all stay.
+    A null id sorts after all others, so it stays only where
     every id of its group is null.  Other columns are ignored.
     """
     text = normalised(text_col)
@@ -64,11 +65,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dictionary = dictionary.select(F.col("chunk_id").alias("known_id"), verified(F.col("low"), F.col("high"), F.col("chunk_id")).alias("verified_id"))
     placed = pieces.select("doc_id", "text_sha256", "pos", "chunk_id").join(dictionary, F.col("chunk_id") == F.col("known_id"))
     recipes = placed.groupBy("doc_id", "text_sha256").agg(
-        F.transform(F.array_sort(F.collect_set(F.struct("pos", "verified_id"))), lambda p: p["verified_id"]).alias("recipe")
+        F.transform(F.array_sort(F.collect_set(F.struct("pos", "verified_id"))), lambda p: p["verified_id"]).alias("recipe"), F.count_if(F.col("pos") == 0).alias("times")
     )
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
     groups = groups.withColumnRenamed("recipe", "group_recipe")
-    return recipes.join(groups, F.col("recipe") == F.col("group_recipe")).select(
+    recipes = recipes.join(groups, F.col("recipe") == F.col("group_recipe"))
+    recipes = recipes.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return recipes.select(
         F.col("doc_id"),
         "keep_id",
         "group_size",

@@ -40,7 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,8 @@ WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5('mix-1' || coalesce(':' || CAST(doc_id AS VARCHAR), '')) AS key,
          CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src FROM documents),
-dealt AS (SELECT *, CAST('0x' || substr(key, 1, 7) AS BIGINT) % 256 AS shard FROM sized),
+shards AS (SELECT CAST(256 * pow(2, greatest(0, ceil(log2(greatest(coalesce(sum(size), 0), 1) / (256 * 4194304.0))))) AS BIGINT) AS n FROM sized),
+dealt AS (SELECT sized.*, CAST('0x' || substr(key, 1, 7) AS BIGINT) % shards.n AS shard FROM sized, shards),
 parts AS (SELECT src, source, shard, CAST(sum(size) AS BIGINT) AS words FROM dealt GROUP BY ALL),
 sources AS (
   SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS src_rank

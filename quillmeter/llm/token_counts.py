@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import in_slices, whole_text
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 #: Broadcast table: so many pre-tokens, from so many documents.  Worker cache, each of two generations: so many more; longer pre-tokens are not kept.
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             _workers.clear()
             _workers[key] = Lengths(model_path, table.value)
         lengths = _workers[key]
-        for batch in batches:
+        for batch in in_slices(batches, 2):
             n = pa.array([lengths.of(t) for t in batch.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -9,7 +9,8 @@ very long text are not averaged away.
 
 Embeddings and softmax are trained jointly in numpy (Adagrad on the largest
 window of each text) on a bounded sample of labelled rows: at most
-``TRAIN_ROWS`` of at most ``TRAIN_CHARS`` characters, in hash order.  For
+``TRAIN_ROWS`` in hash order, whole texts, those up to ``TRAIN_CHARS`` characters
+together.  For
 scoring, the trained model comes down to one number an n-gram bucket, 1 MB that
 is broadcast, and every whole text is scored where it lies.
 """
@@ -20,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import in_slices, whole_text
 
 WINDOW, STRIDE = 12, 6
 SIZES, BITS, DIM = (3, 4, 5, 6), 18, 8
-TRAIN_ROWS, TRAIN_CHARS = 8000, 40_000
+TRAIN_ROWS, TRAIN_CHARS = 8000, 64_000_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 3, 32, 0.1, 1e-5, 7
 #: Buckets met in fewer training texts keep a zero embedding.
 MIN_TEXTS = 5
@@ -180,13 +181,17 @@ def remainder(id_col: str | Column, n: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learns: Column, rows: int, chars: int) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts of at most ``chars`` characters for which ``learns`` holds, in hash order."""
+    """The first ``rows`` labelled texts, in hash order, for which ``learns`` holds, those of them that have ``chars`` characters together."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    texts = docs.filter(learns).select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(F.length("text") <= chars)
-    chosen = texts.select("doc_id").join(marked, F.col("doc_id") == F.col("id")).select("doc_id", "label")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # the documented bound: small enough to broadcast
-    rows_ = texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "label").collect()
-    rows_.sort(key=lambda r: (str(r.doc_id), r.text))
+    texts = docs.filter(learns).select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    digest = F.xxhash64("doc_id", "text")
+    chosen = texts.select("doc_id", digest.alias("digest"), F.length("text").alias("n")).join(marked, F.col("doc_id") == F.col("id")).select("doc_id", "digest", "n", "label")
+    chosen = chosen.dropDuplicates(["doc_id", "digest"]).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(rows)  # the documented bound: small enough to broadcast
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = chosen.withColumn("so_far", F.sum("n").over(so_far)).filter(F.col("so_far") <= chars).select(F.col("doc_id").alias("c_id"), F.col("digest").alias("c_digest"), "label")
+    hit = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_id")) & (digest == F.col("c_digest")))
+    hit = hit.groupBy("doc_id", "c_digest").agg(F.first("text").alias("text"), F.first("label").alias("label"))  # rows that repeat teach once
+    rows_ = sorted(hit.collect(), key=lambda r: (str(r.doc_id), r.text))
     return [r.text for r in rows_], [int(r.label == 1) for r in rows_]
 
 
@@ -198,7 +203,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> Data
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in in_slices(batches, at):
             scores = [model.score(t or "") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*carried, "score"])
 

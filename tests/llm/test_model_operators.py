@@ -478,6 +478,27 @@ def test_gradients_are_the_slopes():
             assert g[name][place] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), name
 
 
+def test_pipeline_stages_of_awkward_rows(spark, sf_dir):
+    import corpus_pipeline as C
+
+    line = "this very line is held by several documents"
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, f"one\n{line}", "en", "a", 9), (4, f"two\n{line}", "en", "a", 9), (5, f"three\n{line}", None, "b", None), (6, "w " * 30_000, "en", "b", 7),
+            (7, "same words here and there", "en", "a", 5), (8, "Same words here  and there", "en", "a", 5), (None, "no id", "en", "a", 2), (9, "twice", "en", "c", 1), (9, "twice", "en", "c", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"kept": F.lit(1), "copies": F.lit(2), "predicted": F.lit(3)})
+    for case in (df, df.drop("n_chars", "lang"), df.limit(0)):
+        kept = C.drop_toxic(spark, case, sf_dir)
+        lined = C.drop_common_lines(spark, kept, sf_dir)
+        single = C.keep_one_of_near_copies(spark, lined, sf_dir)
+        mixed = C.mix_to_targets(spark, single, sf_dir)
+        coded = C.encode(spark, mixed, sf_dir)
+        assert kept.columns == lined.columns == single.columns == mixed.columns == case.columns
+        n = case.count()
+        assert kept.count() == n and lined.filter(F.col("text").contains(line)).count() == min(n, 1)
+        left = [r.doc_id for r in single.select("doc_id").collect()]
+        assert len(left) == max(n - 1, 0) and not (n and 8 in left) and (not n or None in left)
+        assert coded.filter("NOT restored").count() == 0 and coded.count() == mixed.count()
+
+
 def test_pipeline_by_its_parts(spark, sf_dir):
     import corpus_pipeline as C
 

@@ -52,11 +52,22 @@ def test_chunks_are_the_text_and_resynchronise(spark):
     assert len(set(rows[0].c) & set(rows[1].c)) > 0.8 * len(rows[0].c)
 
 
+def test_chunks_resynchronise_in_every_script(spark):
+    rng = random.Random(5)
+    of = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    cjk, kana = "".join(map(chr, range(0x4E00, 0x9000, 7))), "".join(map(chr, range(0x3041, 0x3090)))
+    cyrillic = " ".join(of("абвгдежзиклмнопрст", 6) for _ in range(4000))
+    texts = [of(cjk, 20_000), of(kana, 20_000), cyrillic, of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20_000), of("abcdefghijklmnopqrstuvwxyz", 20_000)]
+    df = spark.createDataFrame([(t, "??" + t) for t in texts], "a string, b string").select(E.chunks(F.col("a")).alias("a"), E.chunks(F.col("b")).alias("b"))
+    for r in df.collect():
+        assert len(set(r.a) & set(r.b)) > 0.8 * len(r.a)
+
+
 def test_exact_dedup_of_repeated_and_null_ids(spark):
     rows = docs(spark, [(1, "a", None), (1, "a", None), (1, "b", None), (None, "b", None), (None, None, None)]).withColumns({"keep_id": F.lit(7), "recipe": F.lit("x"), "chunk": F.lit(0)})
-    got = {(r.doc_id, r.text_sha256[:4]): (r.keep_id, r.group_size, r.kept) for r in E.exact_dedup(rows).collect()}
+    got = Counter(((r.doc_id, r.text_sha256[:4]), (r.keep_id, r.group_size, r.kept)) for r in E.exact_dedup(rows).collect())
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
-    assert got == {(1, sha("a")): (1, 1, True), (1, sha("b")): (1, 2, True), (None, sha("b")): (1, 2, False), (None, sha("")): (None, 1, True)}
+    assert got == {((1, sha("a")), (1, 2, True)): 2, ((1, sha("b")), (1, 2, True)): 1, ((None, sha("b")), (1, 2, False)): 1, ((None, sha("")), (None, 1, True)): 1}
     assert E.exact_dedup(rows.limit(0)).count() == 0
 
 
@@ -142,6 +153,38 @@ def test_quotas_are_the_highest_quotients(spark):
         assert {r.src: r.quota for r in own} == {s: n for s in votes for n in [sum(x[2] == s for x in seats)]}
 
 
+def test_mix_of_whole_documents_keeps_the_targets(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 3, 50, 400, 2000]))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)]
+    rows += [(400, "x " * 30_000, "a"), (401, "x " * 20_000, "c"), (402, None, "b")]
+    df = docs(spark, rows).withColumns({"copies": F.lit("clash"), "group": F.lit(1), "share": F.lit(2)})
+    got = M.mix_documents(df).collect()
+    taken = {r.source: r.taken for r in M.mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    words, longest = Counter(), Counter()
+    for r in got:
+        n = len((r.text or "").split())
+        assert 0 <= r.copies <= 2 and (n > 0 or r.copies == 1) and (r.group, r.share) == (1, 2)
+        words[r.source] += n * r.copies
+        longest[r.source] = max(longest[r.source], n)
+    assert len(got) == len(rows) and all(abs(words[s] - taken[s]) <= longest[s] + 10 for s in taken)
+    assert sorted(map(str, got)) == sorted(map(str, M.mix_documents(df).collect()))
+    assert M.mix_documents(df.limit(0)).count() == 0
+
+
+def test_shards_grow_with_the_corpus():
+    assert [M.shard_count(n) for n in (0, 1 << 30, (1 << 30) + 1, 10**13)] == [256, 256, 512, 1 << 22]
+
+
+def test_running_sums_do_not_depend_on_partitions(spark):
+    rng = random.Random(1)
+    rows = [(f"k{rng.randrange(10**6)}", rng.randrange(100)) for _ in range(500)]
+    got, _ = M.running(spark.createDataFrame(rows, "k string, n long").repartition(7), [F.col("k"), F.col("n")], before="n")
+    total = 0
+    for r in sorted(got.collect(), key=lambda r: (r.k, r.n)):
+        assert r.before == total
+        total += r.n
+
+
 def test_mix_of_nothing(spark):
     assert M.mix_sources(docs(spark, []).limit(0)).count() == 0
     got = M.mix_sources(docs(spark, [(None, None, None), (1, "", "a"), (1, "", "a")])).collect()
