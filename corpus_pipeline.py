@@ -13,7 +13,7 @@ from quillmeter.llm import byte_bpe as bpe
 from quillmeter.llm.common import discard, table, vocabulary_path, written
 from quillmeter.llm.line_dedup import line_dedup
 from quillmeter.llm.near_dedup import near_dedup
-from quillmeter.llm.source_mix import mix_sources
+from quillmeter.llm.source_mix import mix_documents
 from quillmeter.llm.toxicity import toxicity
 
 SEED = "pipeline-1"
@@ -39,16 +39,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, left out or repeated so that each source comes near its target.
-
-    A document's number of copies is what the mix takes of it over its size,
-    rounded up or down by a seeded draw with the fraction's chance, so sources
-    keep their targets in the mean.  Documents without a word have no size to
-    mix and stay.
-    """
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))), 1, 7), 16, 10).cast("double") / float(1 << 28)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int")
-    mixed = mix_sources(docs).withColumn("copies", copies).filter("copies > 0")
+    """Whole documents, left out or repeated so that each source comes near its target; those without a word stay."""
+    mixed = mix_documents(docs, seed=SEED).filter("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
