@@ -29,6 +29,8 @@ Only built-in functions are used.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,15 +133,16 @@ def with_tails(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def with_decoys(candidates: DataFrame) -> DataFrame:
     """Candidates (match, before) that have a letter and a digit, with encoding, alphabet, token and decoy = false; and their decoys, where the text in front suffices."""
-    encoding = alphabet = prose = None
-    for name, shape, symbols in ENCODINGS:
-        fits = F.col("match").rlike(shape)
-        case, others = PROSE.get(name, ANY_CASE)
-        text = {"lower": F.lower("before"), "upper": F.upper("before"), "initcap": F.initcap("before")}[case]
-        told = (F.lit(name), F.lit(symbols), F.regexp_replace(text, others, ""))
-        encoding, alphabet, prose = (F.when(fits, t) if c is None else c.when(fits, t) for c, t in zip((encoding, alphabet, prose), told))
+    fits = F.lit(None).cast("int")
+    for i, (_, shape, _) in reversed(list(enumerate(ENCODINGS))):
+        fits = F.when(F.col("match").rlike(shape), i).otherwise(fits)
+    told = {"encoding": [n for n, _, _ in ENCODINGS], "alphabet": [a for _, _, a in ENCODINGS], "case": [PROSE.get(n, ANY_CASE)[0] for n, _, _ in ENCODINGS], "others": [PROSE.get(n, ANY_CASE)[1] for n, _, _ in ENCODINGS]}
+    facts = F.array(*[F.struct(*[F.lit(values[i]).alias(n) for n, values in told.items()]) for i in range(len(ENCODINGS))])
     rows = candidates.filter(F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
-    rows = rows.withColumns({"encoding": encoding, "alphabet": alphabet, "prose": prose}).filter(F.col("encoding").isNotNull())
+    # An explode of one element keeps what follows from repeating the tests of the encodings.
+    rows = rows.withColumn("f", F.explode(F.array(F.get(facts, fits)))).filter("f IS NOT NULL")
+    text = F.when(F.col("f.case") == "lower", F.lower("before")).when(F.col("f.case") == "upper", F.upper("before")).otherwise(F.initcap("before"))
+    rows = rows.withColumns({"encoding": F.col("f.encoding"), "alphabet": F.col("f.alphabet"), "prose": F.regexp_replace(text, F.col("f.others"), F.lit(""))})
     own = F.when(F.col("encoding") == "hex", F.lower("match")).otherwise(F.col("match"))
     signs = F.when(F.col("encoding") == "hex", F.lit("")).otherwise(F.regexp_replace("match", "[A-Za-z]", ""))
     letters = F.length("match") - F.length(signs)
@@ -188,8 +191,10 @@ def still_random(rows: DataFrame, fdr: float = FDR) -> DataFrame:
     bins = rows.groupBy(*stratum, "p_bin").agg(F.count_if(~F.col("decoy")).alias("candidates"), F.count_if("decoy").alias("decoys"))
     above = Window.partitionBy(*stratum).orderBy("p_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumns({c: F.sum(c).over(above) for c in ("candidates", "decoys")})
-    cut = bins.filter(F.col("decoys") <= fdr * F.col("candidates")).groupBy(*stratum).agg(F.max("p_bin").alias("cut"))
-    return rows.filter(~F.col("decoy") & (F.col("p") >= LEAST_P)).join(F.broadcast(cut), stratum).filter(F.col("p_bin") <= F.col("cut"))
+    # A filter on p would be moved below the steps that make p, and repeat them; so its least value is a bound of the cut.
+    least = math.floor(-math.log10(LEAST_P) * BINS_PER_DECADE)
+    cut = bins.filter(F.col("decoys") <= fdr * F.col("candidates")).groupBy(*stratum).agg(F.least(F.max("p_bin"), F.lit(least)).alias("cut"))
+    return rows.filter(~F.col("decoy")).join(F.broadcast(cut), stratum).filter(F.col("p_bin") <= F.col("cut"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
