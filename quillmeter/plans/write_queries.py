@@ -300,13 +300,21 @@ def q_plain_number(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", back.alias("same"), text.contains("E").alias("exponent"), F.length(F.regexp_extract(text, r"^-?([0-9]+)", 1)).cast("long").alias("whole_digits"))
 
 
-def q_codex_meta(spark: SparkSession, d: str) -> DataFrame:
+def _odd_metas(spark: SparkSession, d: str) -> DataFrame:
     """Of some files the first session_meta names another thread; only a later one fits."""
     lines = codex_lines(spark, d)
     odd = (F.col("line_no") == 0) & F.col("path").rlike("[13]\\.jsonl$")
     wrong = lines.filter(odd).withColumn("line", F.regexp_replace("line", r'"id":"0{8}', '"id":"00000001'))
     later = lines.filter(odd).withColumn("line_no", F.lit(2))
-    return sessions.codex_records(lines.filter(~odd).union(wrong).union(later), NOW).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return lines.filter(~odd).union(wrong).union(later)
+
+
+def q_codex_meta(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.codex_records(_odd_metas(spark, d), NOW).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_codex_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.codex_import(_odd_metas(spark, d), NOW)[1]
 
 
 QUERIES = {
@@ -314,7 +322,7 @@ QUERIES = {
     for f in (
         q_cursor_scan, q_ingest_disposition, q_late_overlap, q_rollup_upsert, q_catalog_upsert, q_pricing_candidates, q_price_match, q_cost, q_ledger_upsert, q_ledger_counts,
         q_lenient_cost, q_model_normalize, q_codex_delta, q_codex_replay, q_claude_dedup, q_gemini, q_opencode, q_grok_explode, q_stream_dedup,
-        q_ingest_batches, q_mirror, q_provider_scan, q_changed_files, q_price_feed, q_null_defaults, q_plain_number, q_codex_meta,
+        q_ingest_batches, q_mirror, q_provider_scan, q_changed_files, q_price_feed, q_null_defaults, q_plain_number, q_codex_meta, q_codex_counts,
     )
 }
 
@@ -418,6 +426,7 @@ ORACLES = {
  FROM x WHERE u % 2 = 0 AND i BETWEEN 11 AND 19""",
     "q_codex_meta": CODEX_SQL.split(" SELECT 'codex_session")[0] + """ SELECT '00000000-0000-0000-0000-' || lpad(CAST(u AS VARCHAR), 12, '0') AS session_id, count(*) AS n
  FROM x WHERE di + dc + d_o <> 0 AND u % 10 NOT IN (1, 3) GROUP BY u""",
+    "q_codex_counts": f"{E_SQL} SELECT count(DISTINCT u) AS files_scanned, count(DISTINCT CASE WHEN u % 10 IN (1, 3) THEN u END) AS skipped FROM ev",
     "q_ingest_batches": _usage(f""", r AS (SELECT event_id, node_id, request_id, {N} AS n FROM usage_events),
  b AS (SELECT *, n // 50 AS batch_id, n AS seq FROM r UNION ALL SELECT *, n // 50 + 1000000, n + 1 FROM r WHERE n % 3 = 0
  UNION ALL SELECT event_id || 'x', node_id, request_id, n, n // 50 + 2000000, n FROM r WHERE n % 7 = 0 UNION ALL SELECT event_id || 'x', node_id, request_id || 'y', n, n // 50 + 3000000, n FROM r WHERE n % 11 = 0),

@@ -61,6 +61,16 @@ def test_a_parent_without_events_is_still_a_parent(spark):
     assert [r[0][-2:] for r in codex(spark, (A, ["no json"]), (B, child))] == [":1"]
 
 
+def test_import_counts(spark):
+    parent, replay, orphan = [meta(A), usage(2, 1, 0, 0)], [meta(B, 10, forked_from_id=A), usage(11, 1, 0, 0)], [meta("c" + A[1:], 9, forked_from_id="d" + A[1:]), usage(11, 1, 0, 0)]
+    df = lines(spark, f"/x/rollout-2024-{A}.jsonl", parent).union(lines(spark, f"/x/rollout-2024-{B}.jsonl", replay)).union(lines(spark, f"/x/rollout-2024-c{A[1:]}.jsonl", orphan))
+    records, counts = sessions.codex_import(df, NOW)
+    assert records.count() == 1 and tuple(counts.first()) == (3, 2)
+    turn = {"method": "_x.ai/session/update", "params": {"update": {"usage": {"inputTokens": 1}}}}
+    df = lines(spark, "/a/s/updates.jsonl", [turn, turn | {"timestamp": 5}, {}, "junk"]).union(lines(spark, "/a/t/updates.jsonl", [{}]))
+    assert tuple(sessions.grok_counts(df).first()) == (2, 1)
+
+
 def test_only_changed_files_come_back(spark):
     parent, child = [meta(A), usage(2, 1, 0, 0)], [meta(B, 10, forked_from_id=A), usage(11, 1, 0, 0), usage(12, 3, 0, 0)]
     df = lines(spark, f"/x/rollout-2024-{A}.jsonl", parent).union(lines(spark, f"/x/rollout-2024-{B}.jsonl", child))
