@@ -219,8 +219,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Shingles are five words (white-space separated, A-Z as a-z) with their
     multiplicities; a text of fewer words is one shingle.  A null text, an empty
     one and one without words is alone in its class.  Rows that repeat an id
-    are one document, and the text that sorts first counts; rows with a null
-    id are left out, as nothing could name them in the result.
+    are one document, and of their texts the one with fewest shingles counts;
+    rows with a null id are left out, as nothing could name them in the result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
     sketch, sketch_path = written(sketches(base))

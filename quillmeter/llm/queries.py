@@ -73,16 +73,16 @@ FROM t
 
 OP4_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, line, pos,
+  SELECT doc_id, rid, line, pos,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+  FROM (SELECT doc_id, rid, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+        FROM (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
 common AS (
   SELECT key, max(doc_id) AS last_doc FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 marked AS (SELECT lines.*, common.key IS NOT NULL AND doc_id <> last_doc AS dropped FROM lines LEFT JOIN common USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid, doc_id
 """
 
 OP10_SQL = r"""

@@ -112,6 +112,19 @@ def test_toxicity_holds_out_and_generalises(spark):
     assert 0 <= got[9001].score == got[9002].score <= 1
 
 
+def test_toxicity_of_odd_labels_and_long_texts(spark):
+    df, labels, words = labelled(spark, 200)
+    odd = spark.createDataFrame([(0, 0), (0, 1), (1, None), (None, 1), (77_777, 1)], "doc_id long, toxic int")
+    long = spark.createDataFrame([(9001, " ".join(words * 200)), (9002, " ".join(words * 200 + ["worthless", "pathetic", "disgusting"] * 3))], "doc_id long, text string")
+    rows = df.union(long).union(df.filter("doc_id = 4"))
+    got = toxicity.toxicity(rows, labels.union(odd)).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == rows.count() and by[9001].predicted == 0 and by[9002].predicted == 1
+    assert len({r.score for r in got if r.doc_id == 4}) == 1
+    texts, _ = toxicity.training_sample(rows, labels, "doc_id", "text", "toxic", F.lit(True), 50, 10_000)
+    assert 0 < len(texts) <= 50 and sum(map(len, texts)) <= 10_000 and texts == toxicity.training_sample(rows, labels, "doc_id", "text", "toxic", F.lit(True), 50, 10_000)[0]
+
+
 def test_toxicity_without_labels(spark):
     df, labels, _ = labelled(spark, 8)
     assert {r.predicted for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0}
@@ -279,6 +292,19 @@ def test_near_dedup_of_repeats_and_nothing(spark):
     assert near_dedup.near_dedup(rows.limit(0)).count() == 0
 
 
+def test_near_dedup_of_long_texts_ties_and_ids_with_two_texts(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]
+    texts = [" ".join(long), " ".join(long[:-50]), "a b c d e f", "g h i j k l m n", "x " * 20_000, "X " * 20_000, "a b c d e f"]
+    got = near_dedup.near_dedup(docs(spark, texts, [4, 3, 1, 1, 9, 8, 2])).collect()
+    assert {tuple(r) for r in got} == {(3, 3, 2, True), (4, 3, 2, False), (1, 1, 2, True), (2, 1, 2, False), (8, 8, 2, True), (9, 8, 2, False)}
+
+
+def test_bpe_of_repeated_and_null_ids(spark):
+    got = byte_bpe.byte_bpe(docs(spark, ["a b", "a b", "c", None], [1, 1, 1, None]), vocabulary_path(byte_bpe.VOCABULARY), byte_bpe.default_pattern()).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in got) == [("1", b"a b"), ("1", b"a b"), ("1", b"c"), ("None", b"")]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(100, 100)]
     got = {r.node: r.class_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -380,6 +406,22 @@ def test_language_model_trains_on_texts_of_any_length(spark, monkeypatch):
     assert len(lengths) == len(fold) and (2 not in fold or max(lengths) >= 10_000)
 
 
+def test_language_model_of_repeated_rows(spark):
+    texts = ["alpha beta gamma"] * 3 + ["delta " * 9000]
+    got = lm_score.lm_score(docs(spark, texts, [2, 2, 3, 4]), vocabulary_path(lm_score.MODEL)).collect()
+    learnt = [t for i, t in zip([2, 2, 3, 4], texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(got) == 4 and {r.train_tokens for r in got} == {sum(len(t.split()) + 1 for t in learnt)}
+    assert len({(r.score, r.base_score) for r in got if r.n_tokens == 4}) == 1
+
+
+def test_frequent_words_are_all_from_some_count_on(spark):
+    counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), i + 1) for i in range(300)], "word binary, n long")
+    for most in (0, 1, 50, 299, 1000):
+        found = lm_score.frequent_words(counts, most)
+        assert len(found) <= most and (not found or len(found) == sum(math.log10(i + 1.5) >= min(found.values()) for i in range(300)))
+    assert len(lm_score.frequent_words(counts, 1000)) == 300
+
+
 def test_windows_score_each_token_once():
     texts = [np.arange(10, 10 + n) for n in (0, 1, 15, 16, 17, 100)]
     tokens, targets, first = attention_lm.windows(texts)
