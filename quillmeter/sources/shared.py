@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,46 @@ def shared_table(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/quillmeter-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_pointer(spark: SparkSession, pointer: str) -> str | None:
+    """What ``write_pointer`` wrote last; None if nothing."""
+    fs, at = _file(spark, pointer)
+    return spark.read.text(pointer, wholetext=True).first().value if fs.exists(at) else None
+
+
+def write_pointer(spark: SparkSession, pointer: str, value: str) -> None:
+    """Writes a small file aside and renames it over ``pointer`` in one step."""
+    fs, aside = _file(spark, f"{pointer}.next")
+    out = fs.create(aside, True)
+    out.write(bytearray(value.encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(aside, jvm.org.apache.hadoop.fs.Path(pointer), overwrite)
+
+
+def replace_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] = lambda written: None) -> None:
+    """Makes ``df`` the current version of the table at ``path``, once it is written and ``check`` has not raised; the version before goes then."""
+    spark = df.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    check(spark.read.parquet(f"{path}/{version}"))
+    before = read_pointer(spark, f"{path}/CURRENT")
+    write_pointer(spark, f"{path}/CURRENT", version)
+    if before:
+        fs, at = _file(spark, f"{path}/{before}")
+        fs.delete(at, True)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of the table at ``path``; None before the first."""
+    version = read_pointer(spark, f"{path}/CURRENT")
+    return spark.read.parquet(f"{path}/{version}") if version else None

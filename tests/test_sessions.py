@@ -171,6 +171,18 @@ def test_files_are_found_and_skipped_once_seen(spark, tmp_path):
     assert files.session_files(spark, str(tmp_path / "none"), "grok").count() == 0
 
 
+def test_state_and_cursor_are_kept(spark, tmp_path):
+    at, cursor = str(tmp_path / "state"), str(tmp_path / "cursor.json")
+    assert files.load_state(spark, at) is None and files.load_cursor(spark, cursor) == (0, "")
+    state = spark.createDataFrame([("/f", 5, 6)], "file_path string, last_modified long, last_synced_at long")
+    files.save_state(state.limit(0), at)
+    files.save_state(files.load_state(spark, at).union(state), at)  # read while it is replaced
+    assert files.load_state(spark, at).count() == 1
+    for c in ((5, 'r"1\n'), (7, "é")):
+        files.save_cursor(spark, cursor, c)
+        assert files.load_cursor(spark, cursor) == c
+
+
 def test_sources_in_order(spark):
     one = sessions.codex_records(lines(spark, f"/x/rollout-1-{A}.jsonl", [meta(A), usage(2, 1, 0, 0)]), NOW)
     assert sessions.all_records(one, one).select(F.max("source_order")).first()[0] == 1
