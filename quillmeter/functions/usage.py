@@ -69,15 +69,29 @@ def rollup_key(parts: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
 
 
+#: The characters of Unicode's White_Space.
+WHITE_SPACE = "\\t\\n\\x0B\\f\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
+def trimmed(text: str | Column) -> Column:
+    """The text without white space of any kind at its ends, where ``trim`` takes spaces only."""
+    return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\\z", "")
+
+
+def ascii_lower(text: str | Column) -> Column:
+    """A-Z in lower case and nothing else, where ``lower`` folds every script."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def normalised_codex_model(model: str | Column) -> Column:
     """Lower case, behind the last slash, without a trailing -YYYY-MM-DD and then -YYYYMMDD."""
-    name = F.regexp_replace(F.lower(model), "^.*/", "")
-    return F.regexp_replace(F.regexp_replace(name, "-[0-9]{4}-[0-9]{2}-[0-9]{2}$", ""), "-[0-9]{8}$", "")
+    name = F.regexp_replace(ascii_lower(model), "(?s)^.*/", "")
+    return F.regexp_replace(F.regexp_replace(name, r"-[0-9]{4}-[0-9]{2}-[0-9]{2}\z", ""), r"-[0-9]{8}\z", "")
 
 
 def is_placeholder(model: str | Column) -> Column:
     c = F.col(model) if isinstance(model, str) else model
-    return F.coalesce(F.lower(F.trim(c)), F.lit("")).isin("", "unknown", "null", "none")
+    return F.coalesce(ascii_lower(trimmed(c)), F.lit("")).isin("", "unknown", "null", "none")
 
 
 def ticks_as_cost(ticks: Column) -> Column:

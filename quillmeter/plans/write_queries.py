@@ -82,20 +82,35 @@ def _prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRICE_LIST, PRICE_SCHEMA)
 
 
+def _varied(names: list[str]) -> str:
+    """SQL of texts t made of fixed ones and columns of the parts, with white space that trims have to know."""
+    listed = ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+    return f"""SELECT DISTINCT element_at(FIRST({listed}), CAST(p_partkey % {len(names)} AS INT) + 1) || CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN ':' || p_brand WHEN 2 THEN '-' || CAST(20250000 + p_size AS STRING)
+      WHEN 3 THEN chr(9) || chr(10) ELSE ' É' END AS t FROM part"""
+
+
+def _texts(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
+    return spark.sql(_varied(names).replace("FIRST", "array").replace("FROM part", "FROM {part}").replace("{part}", "{p}"), p=spark.read.parquet(f"{d}/part.parquet"))
+
+
+def texts_sql(names: list[str]) -> str:
+    return _varied(names).replace("element_at(FIRST(", "list_extract(list_value(").replace("STRING", "VARCHAR")
+
+
 def q_pricing_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    rows = _texts(spark, d, MODELS).withColumnRenamed("t", "model")
     return rows.select("model", F.posexplode(pricing.candidates("model")).alias("pos", "candidate"))
 
 
 def q_price_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    rows = _texts(spark, d, MODELS).withColumnRenamed("t", "model")
     return pricing.match_prices(rows, _prices(spark))
 
 
 def _record_costs(spark: SparkSession, d: str) -> DataFrame:
     n = F.regexp_extract("request_id", "[0-9]+", 0).cast("long")
     rows = usage_events(spark, d).withColumns({
-        "pricing_model": F.when(n % 5 == 0, F.lit(" Unknown ")).otherwise(F.lit("")),
+        "pricing_model": F.when(n % 5 == 0, F.lit("\tUnknown \n")).otherwise(F.lit("")),
         "model": F.when(n % 7 == 0, F.lit("none")).otherwise(F.col("model")),
         "reported_total_cost_usd": F.when(n % 11 == 0, F.col("total_cost_usd")),
     }).drop("total_cost_usd")
@@ -140,14 +155,14 @@ LENIENT = ["1.5xyz", "", "abc", " 1.5", "1e-7", "inf", "NaN", "0x10", "-3.", ".5
 
 
 def q_lenient_cost(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in LENIENT], "t string").select("t", U.lenient_double("t").alias("value"))
+    return _texts(spark, d, LENIENT).select("t", U.lenient_double("t").alias("value"))
 
 
-NAMES = ["OpenAI/GPT-5-Codex-2025-08-07", "gpt-5-20250807", "a/b/C", "x-2025-08-07-20250807", "x-20250807-2025-08-07", "plain", "-20250807"]
+NAMES = ["OpenAI/GPT-5-Codex-2025-08-07", "gpt-5-20250807", "a/b/C", "x-2025-08-07-20250807", "x-20250807-2025-08-07", "plain", "-20250807", " NULL", "none", ""]
 
 
 def q_model_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in NAMES + [" NULL", "none", ""]], "t string")
+    rows = _texts(spark, d, NAMES)
     return rows.select("t", U.normalised_codex_model("t").alias("model"), U.is_placeholder("t").alias("placeholder"))
 
 
@@ -184,25 +199,31 @@ def q_codex_delta(spark: SparkSession, d: str) -> DataFrame:
     return sessions.codex_records(codex_lines(spark, d), NOW).select(*RECORD)
 
 
-def q_codex_replay(spark: SparkSession, d: str) -> DataFrame:
+def fork_lines(lines: DataFrame) -> DataFrame:
     """Each even user's session again as a fork: a child that replays ten events of its parent and goes on."""
-    lines = codex_lines(spark, d)
     child = lambda c: F.regexp_replace(c, "00000000-0000-0000-0000-0000", "00000000-0000-0000-0000-9999")
     fork = lines.filter(F.col("path").rlike("[02468].jsonl$") & (F.col("line_no") < 60))
     meta = F.regexp_replace(child(F.col("line")), r"\"id\":\"([^\"]+)\"", "\"id\":\"$1\",\"forked_from_id\":\"XX\"")
     parent = F.regexp_extract("path", r"rollout-2024-(.*)\.jsonl", 1)
     fork = fork.withColumn("line", F.when(F.col("line_no") == 0, F.replace(F.regexp_replace(meta, "1704000000", "1735600000"), F.lit("XX"), parent)).otherwise(F.col("line")))
     changed = F.regexp_replace("line", r"\"output_tokens\":", "\"output_tokens\":7")
-    fork = fork.withColumn("line", F.when(F.col("line_no") > 31, changed).otherwise(F.col("line"))).withColumn("path", child(F.col("path")))
-    return sessions.codex_records(lines.union(fork), NOW).select(*RECORD)
+    return fork.withColumn("line", F.when(F.col("line_no") > 31, changed).otherwise(F.col("line"))).withColumn("path", child(F.col("path")))
 
 
-def q_claude_dedup(spark: SparkSession, d: str) -> DataFrame:
+def q_codex_replay(spark: SparkSession, d: str) -> DataFrame:
+    lines = codex_lines(spark, d)
+    return sessions.codex_records(lines.union(fork_lines(lines)), NOW).select(*RECORD)
+
+
+def claude_lines(spark: SparkSession, d: str) -> DataFrame:
     """Messages of a file come several times; some lines have a stop reason, some are no answers."""
-    lines = spark.sql("""SELECT concat('/p/', u, '.jsonl') AS path, CAST(n AS INT) AS line_no, concat('{{"type":"', CASE WHEN k % 13 = 0 THEN 'user' ELSE 'assistant' END, '","sessionId":"s', u,
+    return spark.sql("""SELECT concat('/p/', u, '.jsonl') AS path, CAST(n AS INT) AS line_no, concat('{{"type":"', CASE WHEN k % 13 = 0 THEN 'user' ELSE 'assistant' END, '","sessionId":"s', u,
       '","timestamp":', t, ',"message":{{"id":"m', u, '-', n % 40, '","model":"c-', et, '"', CASE WHEN k % 4 = 0 THEN ',"stop_reason":null' ELSE '' END,
       ',"usage":{{"input_tokens":', k, ',"output_tokens":', k % 7, ',"cache_read_tokens":"3","cache_creation_tokens":1.5}}}}}}') AS line FROM {e}""", e=_events(spark, d))
-    return sessions.claude_records(lines, NOW).select(*RECORD)
+
+
+def q_claude_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.claude_records(claude_lines(spark, d), NOW).select(*RECORD)
 
 
 def q_gemini(spark: SparkSession, d: str) -> DataFrame:
@@ -337,10 +358,6 @@ def _usage(body: str) -> str:
     return f"WITH {DUCKDB} {body}"
 
 
-def _values(rows: list[str]) -> str:
-    return ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
-
-
 CODEX_SQL = f"""{E_SQL}, r AS (SELECT *, row_number() OVER w AS i, sum(k) OVER w AS total FROM ev WINDOW w AS (PARTITION BY u ORDER BY n)),
  x AS (SELECT *, total - coalesce(lag(total) OVER w, 0) AS di, total // 2 - coalesce(lag(total // 2) OVER w, 0) AS dc, i - coalesce(lag(i) OVER w, 0) AS d_o,
  last_value(CASE WHEN i % 10 = 1 THEN 'm-' || et END IGNORE NULLS) OVER (PARTITION BY u ORDER BY n) AS model FROM r WINDOW w AS (PARTITION BY u ORDER BY n))
@@ -349,6 +366,10 @@ CODEX_SQL = f"""{E_SQL}, r AS (SELECT *, row_number() OVER w AS i, sum(k) OVER w
  CAST(di AS BIGINT) AS input_tokens, CAST(d_o AS BIGINT) AS output_tokens, CAST(least(dc, di) AS BIGINT) AS cache_read_tokens, CAST(0 AS BIGINT) AS cache_creation_tokens,
  CAST(0 AS BIGINT) AS latency_ms, {NONE} FROM x WHERE di + dc + d_o <> 0"""
 
+FORK_SQL = """ UNION ALL SELECT 'codex_session:thread-v1:00000000-0000-0000-0000-9999' || right(lpad(CAST(u AS VARCHAR), 12, '0'), 8) || ':' || CAST(i AS VARCHAR),
+ '00000000-0000-0000-0000-9999' || right(lpad(CAST(u AS VARCHAR), 12, '0'), 8), t, 'codex', model, CAST(di AS BIGINT), CAST(CASE WHEN i = 11 THEN 701 ELSE 1 END AS BIGINT), CAST(least(dc, di) AS BIGINT), 0, 0, NULL
+ FROM x WHERE u % 2 = 0 AND i BETWEEN 11 AND 19"""
+
 ROLLUP_DAY = "strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d')"
 
 
@@ -363,9 +384,18 @@ PREFIX_SQL = " ".join(
 )
 
 
+def lower_sql(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def trim_sql(text: str) -> str:
+    return f"trim({text}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
 def candidates_sql(models: str) -> str:
     """CTEs up to c(model, pos, candidate), from a CTE or table that has a column model."""
-    return f"""b AS (SELECT DISTINCT model, lower(replace(trim(split_part(regexp_replace(model, '^.*/', ''), ':', 1)), '@', '-')) AS base FROM {models}),
+    base = lower_sql(f"replace({trim_sql("split_part(regexp_replace(model, '^.*/', '', 's'), ':', 1)")}, '@', '-')")
+    return f"""b AS (SELECT DISTINCT model, {base} AS base FROM {models}),
  a AS (SELECT model, 0 AS o, base AS candidate FROM b
  UNION ALL SELECT model, 1, CASE WHEN regexp_matches(base, '^.+claude-') THEN 'claude-' || list_last(string_split(base, 'claude-')) END FROM b {PREFIX_SQL}
  UNION ALL SELECT model, 7, CASE WHEN regexp_matches(base, '-[0-9]{{8}}$') THEN regexp_replace(base, '-[0-9]{{8}}$', '') END FROM b
@@ -401,8 +431,8 @@ ORACLES = {
     "q_catalog_upsert": _usage(f"""SELECT node_id, app_type, provider_id, name || CASE WHEN app_type = 'codex' THEN ' 2' || CASE WHEN node_id = 'node-2' THEN 'b' ELSE '' END ELSE '' END AS name,
  CAST(CASE WHEN app_type = 'codex' THEN {NOW} ELSE {BEGIN} END AS BIGINT) AS updated_at FROM provider_catalog
  UNION ALL SELECT 'node-9', app_type, provider_id, name, {NOW} FROM provider_catalog WHERE node_id = 'node-1'"""),
-    "q_pricing_candidates": f"WITH m(model) AS (VALUES {_values(MODELS)}), {candidates_sql('m')} SELECT model, pos, candidate FROM c",
-    "q_price_match": f"WITH m(model) AS (VALUES {_values(MODELS)}), {candidates_sql('m')} SELECT model, input, output, cache_read, cache_creation FROM h WHERE turn = 1",
+    "q_pricing_candidates": f"WITH m AS (SELECT t AS model FROM ({texts_sql(MODELS)})), {candidates_sql('m')} SELECT model, pos, candidate FROM c",
+    "q_price_match": f"WITH m AS (SELECT t AS model FROM ({texts_sql(MODELS)})), {candidates_sql('m')} SELECT model, input, output, cache_read, cache_creation FROM h WHERE turn = 1",
     "q_cost": _usage(f""", r AS (SELECT * REPLACE (CASE WHEN {N} % 7 = 0 THEN 'none' ELSE model END AS model), CASE WHEN {N} % 11 = 0 THEN total_cost_usd END AS reported FROM usage_events),
  k AS (SELECT *, CASE WHEN lower(trim(model)) NOT IN ('', 'unknown', 'null', 'none') THEN model ELSE request_model END AS priced_as,
  input_tokens - CASE WHEN app_type IN ('codex','gemini','grokbuild') THEN cache_read_tokens + cache_creation_tokens ELSE 0 END AS fresh FROM r),
@@ -417,13 +447,11 @@ ORACLES = {
     "q_ledger_counts": _usage(LEDGER_SQL + """, c AS (SELECT CASE WHEN len(own) = 0 THEN 0 ELSE CASE WHEN known THEN CASE WHEN own[1] <> output_tokens THEN 1 ELSE 0 END ELSE 1 END
  + len(list_filter(range(2, len(own) + 1), lambda i: own[i] <> own[i - 1])) END AS imported, sent FROM z)
  SELECT CAST(sum(imported) AS BIGINT) AS imported, CAST(sum(sent - imported) AS BIGINT) AS skipped FROM c"""),
-    "q_lenient_cost": f"""SELECT t, coalesce(TRY_CAST(nullif(regexp_extract(t, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)', 1), '') AS DOUBLE), 0.0) AS value FROM (VALUES {_values(LENIENT)}) v(t)""",
-    "q_model_normalize": f"""SELECT t, regexp_replace(regexp_replace(regexp_replace(lower(t), '^.*/', ''), '-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', ''), '-[0-9]{{8}}$', '') AS model,
- lower(trim(t)) IN ('', 'unknown', 'null', 'none') AS placeholder FROM (VALUES {_values(NAMES + [' NULL', 'none', ''])}) v(t)""",
+    "q_lenient_cost": f"""SELECT t, coalesce(TRY_CAST(nullif(regexp_extract(t, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)', 1), '') AS DOUBLE), 0.0) AS value FROM ({texts_sql(LENIENT)})""",
+    "q_model_normalize": f"""SELECT t, regexp_replace(regexp_replace(regexp_replace({lower_sql('t')}, '^.*/', '', 's'), '-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', ''), '-[0-9]{{8}}$', '') AS model,
+ {lower_sql(trim_sql('t'))} IN ('', 'unknown', 'null', 'none') AS placeholder FROM ({texts_sql(NAMES)})""",
     "q_codex_delta": CODEX_SQL,
-    "q_codex_replay": CODEX_SQL + """ UNION ALL SELECT 'codex_session:thread-v1:00000000-0000-0000-0000-9999' || right(lpad(CAST(u AS VARCHAR), 12, '0'), 8) || ':' || CAST(i AS VARCHAR),
- '00000000-0000-0000-0000-9999' || right(lpad(CAST(u AS VARCHAR), 12, '0'), 8), t, 'codex', model, CAST(di AS BIGINT), CAST(CASE WHEN i = 11 THEN 701 ELSE 1 END AS BIGINT), CAST(least(dc, di) AS BIGINT), 0, 0, NULL
- FROM x WHERE u % 2 = 0 AND i BETWEEN 11 AND 19""",
+    "q_codex_replay": CODEX_SQL + FORK_SQL,
     "q_codex_meta": CODEX_SQL.split(" SELECT 'codex_session")[0] + """ SELECT '00000000-0000-0000-0000-' || lpad(CAST(u AS VARCHAR), 12, '0') AS session_id, count(*) AS n
  FROM x WHERE di + dc + d_o <> 0 AND u % 10 NOT IN (1, 3) GROUP BY u""",
     "q_codex_counts": f"{E_SQL} SELECT count(DISTINCT u) AS files_scanned, count(DISTINCT CASE WHEN u % 10 IN (1, 3) THEN u END) AS skipped FROM ev",

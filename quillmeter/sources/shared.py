@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,8 +29,12 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fs_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def _file(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at = fs_path(spark, path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
@@ -39,17 +44,47 @@ def read_pointer(spark: SparkSession, pointer: str) -> str | None:
     return spark.read.text(pointer, wholetext=True).first().value if fs.exists(at) else None
 
 
-def write_pointer(spark: SparkSession, pointer: str, value: str) -> None:
-    """Writes a small file aside and renames it over ``pointer`` in one step."""
-    fs, aside = _file(spark, f"{pointer}.next")
-    out = fs.create(aside, True)
-    out.write(bytearray(value.encode()))
-    out.close()
+def _put(spark: SparkSession, path: str, value: str, overwrite: bool) -> None:
+    """Writes a small file aside and renames it to ``path`` in one step."""
+    fs, aside = _file(spark, f"{path}.{uuid.uuid4().hex}")
     jvm = spark.sparkContext._jvm
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(aside, jvm.org.apache.hadoop.fs.Path(pointer), overwrite)
+    try:
+        out = fs.create(aside, True)
+        out.write(bytearray(value.encode()))
+        out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = rename.OVERWRITE if overwrite else rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(aside, jvm.org.apache.hadoop.fs.Path(path), options)
+    finally:
+        fs.delete(aside, False)
+
+
+def write_pointer(spark: SparkSession, pointer: str, value: str) -> None:
+    """Makes ``value`` the content of a small file in one step."""
+    _put(spark, pointer, value, True)
+
+
+def create_file(spark: SparkSession, path: str, value: str) -> None:
+    """Writes a small file that must not be there yet, or raises FileExistsError."""
+    try:
+        _put(spark, path, value, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            raise FileExistsError(path) from e
+        raise
+
+
+def folder_entries(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """(name, time of last change in seconds) of what a folder has; nothing where there is none."""
+    fs, at = _file(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
 
 
 def replace_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] = lambda written: None) -> None:
@@ -61,8 +96,7 @@ def replace_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] =
     before = read_pointer(spark, f"{path}/CURRENT")
     write_pointer(spark, f"{path}/CURRENT", version)
     if before:
-        fs, at = _file(spark, f"{path}/{before}")
-        fs.delete(at, True)
+        remove_folder(spark, f"{path}/{before}")
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
