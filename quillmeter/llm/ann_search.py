@@ -140,8 +140,8 @@ def ann_search(rows: DataFrame, queries: DataFrame | None = None, id_col: str =
     ``queries`` (by default the rows whose id is divisible by 100) has the same
     columns.  Scores are Euclidean distances of the given vectors in double
     precision.  Null vectors, zero ones, ones with null or non-finite
-    components, ones of another length than the first row's, and null ids take
-    no part; an id that repeats counts once, at its nearest vector.  A table
+    components, ones of another length than most have (of equally frequent
+    lengths the larger counts), and null ids take no part; other columns are ignored; an id that repeats counts once, at its nearest vector.  A table
     without vectors has no result; with k others or fewer, all are returned.
     """
     spark = rows.sparkSession
@@ -155,10 +155,10 @@ def ann_search(rows: DataFrame, queries: DataFrame | None = None, id_col: str =
 
     points = valid(rows)
     asked = valid(queries) if queries is not None else points.filter(F.col("vec_id") % 100 == 0)
-    first = points.orderBy("vec_id").limit(1).collect()
-    if not first:
+    lengths = points.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    if not lengths:
         return empty
-    dim = len(first[0].v)
+    dim = lengths[0].dim
     points, asked = points.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     directions = np.random.default_rng(SEED).normal(size=(dim, DIMS))
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()

@@ -4,19 +4,24 @@ Beside the patterns, every run of at least ``MIN_RUN`` encoding characters with
 a letter and a digit is a candidate.  A run that mixes signs of base64 with
 those of base64url fits no encoding: its pieces between '+' and '/', and those
 between '_' and '-', are the candidates instead.  A candidate's encoding is inferred (hex, base32,
-base36, base62, base64, base64url) and three tests ask whether its symbols can
-be uniform random draws from that alphabet: chi-squared of the symbol counts
-(by the Wilson-Hilferty transformation), the runs test about the middle of the
-alphabet, and lag-1 serial correlation.  Fisher's method joins the p-values.
+base36, base62, base64, base64url) and four tests ask whether its symbols can
+be uniform random draws from that alphabet: chi-squared of the symbol counts and
+of the counts by class (capitals, small letters, digits, signs), which has power
+where a short string leaves the symbols none (both by the Wilson-Hilferty
+transformation), the runs test about the middle of the alphabet, and lag-1 serial
+correlation.  Fisher's method joins the p-values.
 
 Length-aware false-discovery control: a false discovery is structured text
 reported as a secret.  How structured text does in the tests comes from the
 corpus itself: each candidate has a decoy, the words in front of it run together
-to as many letters (capitals at their starts, where the encoding has both cases)
-and the candidate's own digits and signs behind them; to hex, digits are letters
-like others, and the decoy has none.  Within each stratum of encoding and
+to as many letters (capitals at their starts, where the encoding has both cases;
+from ``LEAST_PROSE`` letters on repeated as needed) and the candidate's own digits
+and signs behind them; to hex, digits are letters like others, and the decoy has
+none.  A candidate without enough prose in front has no decoy: it does not count
+in the estimate and is judged by the threshold of its stratum; in a stratum
+without any decoy only ``LEAST_P`` decides.  Within each stratum of encoding and
 length class (two to each doubling), the step-up takes the lowest p-value above
-which there are at most ``FDR`` times as many decoys as candidates; candidates
+which there are at most ``FDR`` times as many decoys as candidates that have one; candidates
 above it are reported, if randomness itself stands (``LEAST_P``).  So where a
 length leaves the tests no power against prose, its decoys pass like its
 candidates and nothing is reported.  The step-up works on counts by p-value bin
@@ -30,6 +35,7 @@ Only built-in functions are used.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,8 +52,8 @@ PATTERNS = {
 }
 MIN_SECRET, MIN_ACCESS, MIN_RUN = 6, 20, 20
 FDR, LEAST_P, BINS_PER_DECADE, BINS = 0.05, 1e-3, 20, 400
-#: Code points in front of a candidate that its decoy is made of.
-CONTEXT = 2000
+#: Code points in front of a candidate that its decoy is made of, and letters from which on they are repeated for a longer one.
+CONTEXT, LEAST_PROSE = 2000, 500
 
 HEX, B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -61,6 +67,8 @@ ENCODINGS = (  # and below, how prose is brought into each alphabet
     ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
+#: Classes of symbols, and how many of each an alphabet has.
+CLASSES = ("[A-Z]", "[a-z]", "[0-9]", "[+/_-]")
 PROSE = {"hex": ("lower", "[^a-f]"), "base32": ("upper", "[^A-Z]"), "base36 lower": ("lower", "[^a-z]"), "base36 upper": ("upper", "[^A-Z]")}
 ANY_CASE = ("initcap", "[^A-Za-z]")
 
@@ -137,18 +145,21 @@ def with_decoys(candidates: DataFrame) -> DataFrame:
     for i, (_, shape, _) in reversed(list(enumerate(ENCODINGS))):
         fits = F.when(F.col("match").rlike(shape), i).otherwise(fits)
     told = {"encoding": [n for n, _, _ in ENCODINGS], "alphabet": [a for _, _, a in ENCODINGS], "case": [PROSE.get(n, ANY_CASE)[0] for n, _, _ in ENCODINGS], "others": [PROSE.get(n, ANY_CASE)[1] for n, _, _ in ENCODINGS]}
+    told["classes"] = [[len(re.findall(c, a)) for c in CLASSES] for _, _, a in ENCODINGS]
     facts = F.array(*[F.struct(*[F.lit(values[i]).alias(n) for n, values in told.items()]) for i in range(len(ENCODINGS))])
     rows = candidates.filter(F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
     # An explode of one element keeps what follows from repeating the tests of the encodings.
     rows = rows.withColumn("f", F.explode(F.array(F.get(facts, fits)))).filter("f IS NOT NULL")
     text = F.when(F.col("f.case") == "lower", F.lower("before")).when(F.col("f.case") == "upper", F.upper("before")).otherwise(F.initcap("before"))
-    rows = rows.withColumns({"encoding": F.col("f.encoding"), "alphabet": F.col("f.alphabet"), "prose": F.regexp_replace(text, F.col("f.others"), F.lit(""))})
+    rows = rows.withColumns({"encoding": F.col("f.encoding"), "alphabet": F.col("f.alphabet"), "classes": F.col("f.classes"), "prose": F.regexp_replace(text, F.col("f.others"), F.lit(""))})
     own = F.when(F.col("encoding") == "hex", F.lower("match")).otherwise(F.col("match"))
     signs = F.when(F.col("encoding") == "hex", F.lit("")).otherwise(F.regexp_replace("match", "[A-Za-z]", ""))
     letters = F.length("match") - F.length(signs)
-    like = F.when(F.length("prose") >= letters, F.concat(F.right("prose", letters), signs))
-    both = F.array(F.struct(own.alias("token"), F.lit(False).alias("decoy")), F.struct(like.alias("token"), F.lit(True).alias("decoy")))
-    return rows.withColumn("t", F.explode(both)).select(*candidates.columns, "encoding", "alphabet", "t.token", "t.decoy").filter("token IS NOT NULL")
+    prose = F.length("prose")
+    longer = F.repeat("prose", F.ceil(letters / F.greatest(prose, F.lit(1))).cast("int"))
+    like = F.when(prose >= letters, F.concat(F.right("prose", letters), signs)).when(prose >= LEAST_PROSE, F.concat(F.right(longer, letters), signs))
+    told = [F.struct(token.alias("token"), F.lit(decoy).alias("decoy"), (prose >= F.least(letters, F.lit(LEAST_PROSE))).alias("paired")) for token, decoy in ((own, False), (like, True))]
+    return rows.withColumn("t", F.explode(F.array(*told))).select(*candidates.columns, "encoding", "alphabet", "classes", "t.*").filter("token IS NOT NULL")
 
 
 def tested(candidates: DataFrame) -> DataFrame:
@@ -162,8 +173,15 @@ def tested(candidates: DataFrame) -> DataFrame:
         lambda s, c: s + F.pow(F.col("n") - F.length(F.replace(F.col("token"), c)), F.lit(2.0)),
     )
     rows = rows.withColumn("chi", F.col("a") / F.col("n") * squares - F.col("n"))
-    k = F.col("a") - 1
-    chi_z = (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+
+    def normal(chi: Column, k: Column) -> Column:
+        return (F.pow(F.greatest(chi, F.lit(0.0)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+
+    seen = F.array(*[F.length(F.regexp_replace("token", c.replace("[", "[^", 1), "")).cast("double") for c in CLASSES])
+    rows = rows.withColumns({"of_class": seen, "degrees": F.size(F.filter("classes", lambda c: c > 0)).cast("double") - 1})
+    expected = F.transform("classes", lambda c: F.col("n") * c / F.col("a"))
+    by_class = F.aggregate(F.zip_with("of_class", expected, lambda o, e: F.when(e > 0, (o - e) * (o - e) / e).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
+    chi_z, class_z = normal(F.col("chi"), F.col("a") - 1), normal(by_class, F.col("degrees"))
     high = F.aggregate("x", F.lit(0.0), lambda s, v: s + F.when(v > 0, 1.0).otherwise(0.0))
     pairs = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
     mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.col("n")
@@ -175,11 +193,15 @@ def tested(candidates: DataFrame) -> DataFrame:
     both, n = F.col("both"), F.col("n")
     runs_z = F.when(both == 0, F.lit(9.0)).otherwise((F.col("runs") - 1 - both / n) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9))))
     serial_z = F.when(F.col("spread") == 0, F.lit(9.0)).otherwise((F.col("lagged") / F.col("spread") + 1 / (n - 1)) * F.sqrt(n))
-    rows = with_tails(rows.withColumns({"chi_z": chi_z, "runs_z": runs_z, "serial_z": serial_z}), ["chi_z", "runs_z", "serial_z"])
-    uneven = F.greatest(F.when(F.col("chi_z") >= 0, F.col("chi_z_p") / 2).otherwise(1 - F.col("chi_z_p") / 2), F.lit(1e-12))
-    half = -(F.ln(uneven) + F.ln("runs_z_p") + F.ln("serial_z_p"))  # half of Fisher's statistic, 6 degrees of freedom
-    rows = rows.withColumn("half", half).withColumn("p", F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2))
-    return rows.select(*candidates.columns, "encoding", "decoy", "n", "p")
+    rows = with_tails(rows.withColumns({"chi_z": chi_z, "class_z": class_z, "runs_z": runs_z, "serial_z": serial_z}), ["chi_z", "class_z", "runs_z", "serial_z"])
+
+    def above(name: str) -> Column:
+        return F.greatest(F.when(F.col(name) >= 0, F.col(f"{name}_p") / 2).otherwise(1 - F.col(f"{name}_p") / 2), F.lit(1e-12))
+
+    half = -(F.ln(above("chi_z")) + F.ln(above("class_z")) + F.ln("runs_z_p") + F.ln("serial_z_p"))  # half of Fisher's statistic, 8 degrees of freedom
+    h = F.col("half")
+    rows = rows.withColumn("half", half).withColumn("p", F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
+    return rows.select(*candidates.columns, "encoding", "decoy", "paired", "n", "p")
 
 
 def still_random(rows: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -188,7 +210,7 @@ def still_random(rows: DataFrame, fdr: float = FDR) -> DataFrame:
     p_bin = F.least(F.floor(-F.log10(F.greatest(F.col("p"), F.lit(1e-300))) * BINS_PER_DECADE), F.lit(BINS))
     rows = rows.withColumn("p_bin", p_bin)
     stratum = ["encoding", "length_class"]
-    bins = rows.groupBy(*stratum, "p_bin").agg(F.count_if(~F.col("decoy")).alias("candidates"), F.count_if("decoy").alias("decoys"))
+    bins = rows.groupBy(*stratum, "p_bin").agg(F.count_if(~F.col("decoy") & F.col("paired")).alias("candidates"), F.count_if("decoy").alias("decoys"))
     above = Window.partitionBy(*stratum).orderBy("p_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumns({c: F.sum(c).over(above) for c in ("candidates", "decoys")})
     # A filter on p would be moved below the steps that make p, and repeat them; so its least value is a bound of the cut.

@@ -9,20 +9,21 @@ very long text are not averaged away.
 
 Embeddings and softmax are trained jointly in numpy (Adagrad on the largest
 window of each text) on a bounded sample of labelled rows: at most
-``TRAIN_ROWS`` in hash order, whole texts, those up to ``TRAIN_CHARS`` characters
-together.  For
-scoring, the trained model comes down to one number an n-gram bucket, 1 MB that
+``TRAIN_ROWS`` in hash order, whole texts, of ``TRAIN_CHARS`` characters together:
+only a text that does not fit with those before it is left out.  For scoring, the trained model comes down to one number an n-gram bucket, 1 MB that
 is broadcast, and every whole text is scored where it lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import in_slices, whole_text
 
@@ -37,14 +38,14 @@ SMOOTH, START = 1.0, 6.0
 THRESHOLD = 0.3
 
 
-def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, words): for each n-gram length and byte of the text's words, its bucket (0: none); the words' first bytes, and the end."""
-    data = np.frombuffer(b" " + b" ".join(text.lower().encode().split()) + b" ", np.uint8)
-    blank = data == 32
-    words = np.flatnonzero(blank)
-    if len(data) < 3:
-        return np.zeros((len(SIZES), 0), np.int32), words[:1]
+#: Words of a text that are scored together (a multiple of the stride), and bytes of them that are hashed together.
+BLOCK_WORDS, BLOCK_BYTES = 60_000, 1 << 20
+
+
+def buckets_of(data: np.ndarray) -> np.ndarray:
+    """The bucket (0: none) of the n-gram of each length that starts at each byte of words between blanks."""
     n = len(data)
+    blank = data == 32
     blanks = np.cumsum(blank, dtype=np.int32)
     out = np.zeros((len(SIZES), n), np.int32)
     h = np.zeros(n, np.uint32)
@@ -60,7 +61,31 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
             inner = blanks[size - 2 : n - 1] - blanks[:m]  # blanks between the n-gram's ends
             bucket[(inner > 0) | (bucket == 0)] = 0
             out[SIZES.index(size), :m] = bucket
-    return out, words
+    return out
+
+
+def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, words): for each n-gram length and byte of the text's words, its bucket (0: none); the words' first bytes, and the end."""
+    data = np.frombuffer(b" " + b" ".join(text.lower().encode().split()) + b" ", np.uint8)
+    words = np.flatnonzero(data == 32)
+    if len(data) < 3:
+        return np.zeros((len(SIZES), 0), np.int32), words[:1]
+    return buckets_of(data), words
+
+
+def word_blocks(text: str, size: int = BLOCK_WORDS, read: int = 4 << 20) -> Iterator[list[bytes]]:
+    """A text's words in blocks, of which each has the windows that start among its first ``size`` words, and only these."""
+    data, start, held = text.lower().encode(), 0, []
+    while start < len(data):
+        stop = min(start + read, len(data))
+        while stop < len(data) and data[stop] not in b" \t\n\r\x0b\x0c":
+            stop += 1
+        held += data[start:stop].split()
+        start = stop
+        while len(held) > size + STRIDE:
+            yield held[: size + STRIDE]
+            held = held[size:]
+    yield held
 
 
 def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +127,28 @@ class Scorer:
         n = np.maximum(count[b] - count[a], 1)
         return (total[b] - total[a]) / n, n, a, b
 
-    def window_logits(self, text: str) -> np.ndarray:
-        buckets, words = ngrams(text)
-        if buckets.shape[1] == 0:
-            return np.array([self.bias])
-        return self.bias + self.window_means(buckets, words)[0]
+    def word_means(self, words: list[bytes], together: int = BLOCK_BYTES) -> np.ndarray:
+        """The averaged logit of each window of these words, from sums up to each word; bytes are hashed a block at a time, with those behind it that its n-grams reach."""
+        data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+        edges = np.flatnonzero(data == 32)
+        total, count = np.zeros(len(edges)), np.zeros(len(edges), np.int64)
+        for start in range(0, len(data), together):
+            buckets = buckets_of(data[start : start + together + SIZES[-1] - 1])[:, :together]
+            sums, found = np.cumsum(self.logits[buckets].sum(axis=0, dtype=np.float64)), np.cumsum(np.count_nonzero(buckets, axis=0))
+            first = int(np.searchsorted(edges, start, "right"))
+            last = int(np.searchsorted(edges, start + buckets.shape[1], "right"))
+            at = edges[first:last] - start - 1
+            total[first:last] += sums[at]
+            count[first:last] += found[at]
+            total[last:] += sums[-1]
+            count[last:] += found[-1]
+        a, b = windows(np.arange(len(edges)))
+        return (total[b] - total[a]) / np.maximum(count[b] - count[a], 1)
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.window_logits(text).max(), -60, 60))))
+        """Of the most toxic window; what is held at a time does not grow with the text."""
+        logit = max((self.word_means(words).max() for words in word_blocks(text) if words), default=0.0) + self.bias
+        return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
 def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -181,14 +220,19 @@ def remainder(id_col: str | Column, n: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learns: Column, rows: int, chars: int) -> tuple[list[str], list[int]]:
-    """The first ``rows`` labelled texts, in hash order, for which ``learns`` holds, those of them that have ``chars`` characters together."""
+    """The first ``rows`` labelled texts, in hash order, for which ``learns`` holds, but those that do not fit into ``chars`` characters with the ones before."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     texts = docs.filter(learns).select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     digest = F.xxhash64("doc_id", "text")
     chosen = texts.select("doc_id", digest.alias("digest"), F.length("text").alias("n")).join(marked, F.col("doc_id") == F.col("id")).select("doc_id", "digest", "n", "label")
-    chosen = chosen.dropDuplicates(["doc_id", "digest"]).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(rows)  # the documented bound: small enough to broadcast
-    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = chosen.withColumn("so_far", F.sum("n").over(so_far)).filter(F.col("so_far") <= chars).select(F.col("doc_id").alias("c_id"), F.col("digest").alias("c_digest"), "label")
+    first = chosen.dropDuplicates(["doc_id", "digest"]).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(rows).collect()  # the documented bound
+    kept, so_far = [], 0
+    for r in first:
+        if so_far + r.n <= chars:
+            so_far += r.n
+            kept.append((r.doc_id, r.digest, r.label))
+    kind = chosen.schema
+    chosen = docs.sparkSession.createDataFrame(kept, StructType([StructField("c_id", kind["doc_id"].dataType), StructField("c_digest", kind["digest"].dataType), StructField("label", kind["label"].dataType)]))
     hit = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_id")) & (digest == F.col("c_digest")))
     hit = hit.groupBy("doc_id", "c_digest").agg(F.first("text").alias("text"), F.first("label").alias("label"))  # rows that repeat teach once
     rows_ = sorted(hit.collect(), key=lambda r: (str(r.doc_id), r.text))
@@ -219,7 +263,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ``held_out``.  A null label teaches nothing; an id with two labels counts as
     toxic if one is.  Without labels of both classes every text gets the share
     of toxic ones (0.000001 without any label).  Rows come back one by one,
-    repeated ones too; a null id is in the fold of the empty text.
+    repeated ones too; a null id is in the fold of the empty text.  A text of any
+    length is scored whole, a block of words at a time.
     """
     texts, toxic = training_sample(docs, labels, id_col, text_col, label_col, remainder(id_col, folds) != held_out, TRAIN_ROWS, TRAIN_CHARS)
     docs = docs.drop("score", "held_out", "predicted")
