@@ -41,21 +41,25 @@ def _sum(column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
+#: What the groups of a question add up; each is a sum of the same over finer groups, apart from the first and last time.
+SUMS = ["ok", "fresh", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "real_total", "cost", "latency_ms"]
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in SUMS], F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")]
+
+
 def summary(events: DataFrame, query: Query) -> DataFrame:
     """One row, also without events: requests, successes, tokens, rates, cost, mean latency, first and last time."""
-    row = measured(in_range(events, query)).agg(
-        F.count(F.lit(1)).alias("total_requests"),
-        _sum("ok").alias("success_requests"),
-        _sum("fresh").alias("input_tokens"),
-        _sum("output_tokens").alias("output_tokens"),
-        _sum("cache_read_tokens").alias("cache_read_tokens"),
-        _sum("cache_creation_tokens").alias("cache_creation_tokens"),
-        _sum("real_total").alias("real_total_tokens"),
-        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost_usd"),
-        F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("avg_latency_ms"),
-        F.min("created_at").alias("first_at"),
-        F.max("created_at").alias("last_at"),
-    )
+    return _summary_of(measured(in_range(events, query)).agg(*_sums()))
+
+
+def _summary_of(sums: DataFrame) -> DataFrame:
+    whole = {"total_requests": "n", "success_requests": "ok", "input_tokens": "fresh", "real_total_tokens": "real_total"} | {c: c for c in ("output_tokens", "cache_read_tokens", "cache_creation_tokens")}
+    row = sums.select(
+        *[F.coalesce(F.col(c), F.lit(0)).alias(name) for name, c in whole.items()],
+        F.coalesce("cost", F.lit(0.0)).alias("total_cost_usd"), ratio(F.coalesce("latency_ms", F.lit(0)), F.coalesce("n", F.lit(0))).alias("avg_latency_ms"), "first_at", "last_at",
+    )
     cacheable = F.col("input_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")
     return row.withColumns({"success_rate": percentage(F.col("success_requests"), F.col("total_requests")), "cache_hit_rate": ratio(F.col("cache_read_tokens"), cacheable)})
 
@@ -91,12 +95,18 @@ def _spine(events: DataFrame, query: Query) -> DataFrame:
     return ends.select(F.explode(F.expr(f"sequence(((a + {o}) div {s}) * {s} - {o}, ((b + {o}) div {s}) * {s} - {o}, {s}L)")).alias("bucket_start"))
 
 
+def _bucket(query: Query) -> Column:
+    return month_start() if query.bucket.seconds is None else bucket_start(query.bucket.seconds, query.offset)
+
+
 def trend(events: DataFrame, query: Query) -> DataFrame:
     """One row a bucket, empty buckets included, in order."""
-    start = month_start() if query.bucket.seconds is None else bucket_start(query.bucket.seconds, query.offset)
+    return _trend_of(measured(in_range(events, query)).groupBy(_bucket(query).alias("bucket_start")).agg(*_sums()), query)
+
+
+def _trend_of(found: DataFrame, query: Query) -> DataFrame:
     sums = ["ok", "fresh", "cache_creation_tokens", "cache_read_tokens", "output_tokens", "cost", "latency_ms"]
-    found = measured(in_range(events, query)).groupBy(start.alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
-    rows = _spine(events, query).join(found, "bucket_start", "left")
+    rows = _spine(found, query).join(found.select("bucket_start", "n", *sums), "bucket_start", "left")
     value = {c: F.coalesce(F.col(c), F.lit(0.0 if c == "cost" else 0)) for c in ["n", *sums]}
     used = value["fresh"] + value["cache_creation_tokens"] + value["cache_read_tokens"]
     return rows.select(
@@ -132,28 +142,30 @@ def heatmap_levels(days: DataFrame, metric: str = "real_total_tokens") -> DataFr
 
 def _breakdown_columns(key: Column, label: Column) -> list[Column]:
     return [
-        key.alias("key"), label.alias("label"), F.col("total_requests"), percentage(F.col("ok"), F.col("total_requests")).alias("success_rate"),
-        F.col("real_total_tokens"), F.col("total_cost_usd"),
+        key.alias("key"), label.alias("label"), F.col("n").alias("total_requests"), percentage(F.col("ok"), F.col("n")).alias("success_rate"),
+        F.col("real_total").alias("real_total_tokens"), F.col("cost").alias("total_cost_usd"),
     ]
 
 
-def _measures() -> list[Column]:
-    return [F.count(F.lit(1)).alias("total_requests"), F.sum("ok").alias("ok"), F.sum("real_total").alias("real_total_tokens"), F.sum("cost").alias("total_cost_usd")]
-
-
 def breakdown(events: DataFrame, query: Query, dimension: str) -> DataFrame:
     """The ten largest values of node_id, app_type or model by real tokens."""
-    groups = measured(in_range(events, query)).groupBy(dimension).agg(*_measures())
-    return groups.orderBy(F.desc("real_total_tokens"), dimension).limit(TOP).select(*_breakdown_columns(F.col(dimension), F.col(dimension)))
+    return _breakdown_of(measured(in_range(events, query)).groupBy(dimension).agg(*_sums()), dimension)
+
+
+def _breakdown_of(groups: DataFrame, dimension: str) -> DataFrame:
+    return groups.orderBy(F.desc("real_total"), dimension).limit(TOP).select(*_breakdown_columns(F.col(dimension), F.col(dimension)))
 
 
 def provider_breakdown(events: DataFrame, catalog: DataFrame, query: Query) -> DataFrame:
     """The ten largest (provider, catalogue name) groups; a missing name and an empty one are different groups."""
-    by_key = measured(in_range(events, query)).groupBy(*PROVIDER_KEY).agg(*_measures())
+    return _provider_breakdown_of(measured(in_range(events, query)).groupBy(*PROVIDER_KEY).agg(*_sums()), catalog)
+
+
+def _provider_breakdown_of(by_key: DataFrame, catalog: DataFrame) -> DataFrame:
     named = by_key.join(catalog.select(*PROVIDER_KEY, "name"), PROVIDER_KEY, "left")
-    groups = named.groupBy("provider_id", "name").agg(*[F.sum(c).alias(c) for c in ("total_requests", "ok", "real_total_tokens", "total_cost_usd")])
+    groups = named.groupBy("provider_id", "name").agg(*[F.sum(c).alias(c) for c in ("n", "ok", "real_total", "cost")])
     groups = groups.withColumn("label", provider_label())
-    return groups.orderBy(F.desc("real_total_tokens"), "provider_id", "label").limit(TOP).select(*_breakdown_columns(F.col("provider_id"), F.col("label")))
+    return groups.orderBy(F.desc("real_total"), "provider_id", "label").limit(TOP).select(*_breakdown_columns(F.col("provider_id"), F.col("label")))
 
 
 def top_cost_models(models: DataFrame) -> DataFrame:
@@ -175,13 +187,16 @@ def facets(events: DataFrame, catalog: DataFrame, query: Query) -> DataFrame:
     return plain.union(providers).orderBy("facet", "value")
 
 
+def _behind(rows: DataFrame, before: tuple[int, str] | None) -> DataFrame:
+    if before is None:
+        return rows
+    at, key = F.lit(before[0]), F.lit(before[1])
+    return rows.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("event_id") < key)))
+
+
 def events_page(events: DataFrame, catalog: DataFrame, query: Query, limit: int | None = None, before: tuple[int, str] | None = None) -> DataFrame:
     """The newest events before the cursor, newest first: a top-k, so only ``limit`` rows are ever sorted together."""
-    rows = in_range(events, query)
-    if before:
-        at, key = F.lit(before[0]), F.lit(before[1])
-        rows = rows.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("event_id") < key)))
-    page = rows.orderBy(F.desc("created_at"), F.desc("event_id")).limit(page_limit(limit))
+    page = _behind(in_range(events, query), before).orderBy(F.desc("created_at"), F.desc("event_id")).limit(page_limit(limit))
     page = measured(page).join(catalog.select(*PROVIDER_KEY, "name"), PROVIDER_KEY, "left")
     return page.select(
         "event_id", "node_id", "request_id", "created_at", "app_type", "provider_id", provider_label().alias("provider_name"), "model", "request_model", "pricing_model",
@@ -190,25 +205,69 @@ def events_page(events: DataFrame, catalog: DataFrame, query: Query, limit: int
     ).orderBy(F.desc("created_at"), F.desc("event_id"))
 
 
+def newest_page(events: DataFrame, catalog: DataFrame, query: Query, limit: int | None = None, before: tuple[int, str] | None = None) -> DataFrame:
+    """``events_page`` of facts partitioned by event_date that opens few days: the newest one, then four times as many, until the page is full.
+
+    Each step counts no more rows than the page has; the range bounds the steps
+    to six.  Facts without the partition column are paged as a whole.
+    """
+    if "event_date" not in events.columns:
+        return events_page(events, catalog, query, limit, before)
+    first, last = query.begin // 86400, min(query.end - 1, before[0] if before else query.end) // 86400
+    span = 1
+    while last - span >= first:
+        near = events.filter(F.col("event_date") > date(1970, 1, 1) + timedelta(days=last - span))
+        if _behind(in_range(near, query), before).limit(page_limit(limit)).count() == page_limit(limit):
+            return events_page(near, catalog, query, limit, before)
+        span *= 4
+    return events_page(events, catalog, query, limit, before)
+
+
 def next_cursor(page_and_one: list, limit: int) -> tuple[int, str] | None:
     """The cursor behind a page, from its rows and one more if there is one."""
     return (page_and_one[limit - 1]["created_at"], page_and_one[limit - 1]["event_id"]) if len(page_and_one) > limit else None
 
 
+#: The groupings of the overview and the columns of each; all of them come from one pass.
+GROUPINGS = {"trend": ["bucket_start"], **{name: [column] for name, column in DIMENSIONS.items()}, "providers": PROVIDER_KEY, "summary": []}
+
+
+def grouped(events: DataFrame, query: Query) -> DataFrame:
+    """The sums of all groupings of the overview, with grouping: its name.
+
+    The range's rows are read once; each is put into every grouping in the task
+    that reads it and added up there, so one exchange moves partial sums only.
+    """
+    rows = measured(in_range(events, query)).withColumn("bucket_start", _bucket(query))
+    by = ["bucket_start", *dict.fromkeys([*DIMENSIONS.values(), *PROVIDER_KEY])]
+    numbers = {sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in columns): name for name, columns in GROUPINGS.items()}
+    sums = rows.groupingSets([[F.col(c) for c in columns] for columns in GROUPINGS.values()], *by).agg(F.grouping_id().alias("number"), *_sums())
+    names = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    return sums.withColumn("grouping", names[F.col("number").cast("int")]).drop("number")
+
+
 def overview(events: DataFrame, catalog: DataFrame, query: Query) -> dict:
-    """All parts of the overview.  The range's rows are scanned once, and the columns that count go through a table of the shared folder."""
-    columns = sorted({*PROVIDER_KEY, *DIMENSIONS.values(), "created_at", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "input_token_semantics",
-                      "total_cost_usd", "latency_ms", "status_code"})
-    events = shared_table(in_range(events, query).select(*columns, *[c for c in query.filters if c not in columns]))
+    """All parts of the overview, from one table of the shared folder that has a row a group."""
+    sums = shared_table(grouped(events, query))
+    part = {name: sums.filter(F.col("grouping") == name) for name in GROUPINGS}
+    whole = part["summary"].agg(*[F.sum(c).alias(c) for c in ("n", *SUMS)], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))  # a row, also of none
     return {
         "range": query,
-        "summary": summary(events, query),
-        "trend": trend(events, query),
-        "breakdowns": {name: breakdown(events, query, column) for name, column in DIMENSIONS.items()} | {"providers": provider_breakdown(events, catalog, query)},
+        "summary": _summary_of(whole),
+        "trend": _trend_of(part["trend"], query),
+        "breakdowns": {name: _breakdown_of(part[name], column) for name, column in DIMENSIONS.items()} | {"providers": _provider_breakdown_of(part["providers"], catalog)},
         "data_scope": "detailOnly",
     }
 
 
+def week_grid(days: DataFrame) -> DataFrame:
+    """(week, weekday, day): whole weeks from the Sunday on or before the first day to the Saturday on or after the last; nothing without days.  days: day."""
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a IS NOT NULL")
+    start, stop = F.date_sub("a", F.dayofweek("a") - 1), F.date_add("b", 7 - F.dayofweek("b"))
+    cells = ends.select(F.posexplode(F.sequence(start, stop)).alias("cell", "day"))
+    return cells.select(F.floor(F.col("cell") / 7).alias("week"), (F.col("cell") % 7).alias("weekday"), "day")
+
+
 def calendar_grid(months: DataFrame) -> DataFrame:
     """(month, cell, day): the 42 days of a month's calendar page, from the Sunday on or before its first day.  months: month (a date in it)."""
     cells = months.select(F.trunc("month", "month").alias("month")).distinct().select("month", F.explode(F.sequence(F.lit(0), F.lit(41))).alias("cell"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +59,20 @@ def dispositions_of_batches(store: DataFrame, batch: DataFrame) -> DataFrame:
     marked = marked.join(pairs, (F.col("node_id") == F.col("k_node_id")) & (F.col("request_id") == F.col("k_request_id")), "left")
     stored = F.col("k_id").isNotNull() | F.col("k_node_id").isNotNull()
     marked = marked.select(*[batch[c] for c in batch.columns], F.when(stored, "duplicate").alias("disposition"))
+    # Only rows that are still open go into the next round; the table of a round keeps those it decided.
+    decided = []
     while True:
         marked = shared_table(marked)
-        if marked.filter("disposition IS NULL").isEmpty():
-            return marked
-        open_ = F.when(F.col("disposition").isNull(), F.struct(*order))
-        first = [F.min(open_).over(Window.partitionBy(*key)) for key in (["event_id"], pair)]
+        decided.append(marked.filter("disposition IS NOT NULL"))
+        marked = marked.filter("disposition IS NULL")
+        if marked.isEmpty():
+            return reduce(DataFrame.unionAll, decided)
+        first = [F.min(F.struct(*order)).over(Window.partitionBy(*key)) for key in (["event_id"], pair)]
         marked = marked.withColumns({"first_id": first[0], "first_pair": first[1]})
-        takes = F.col("disposition").isNull() & (F.struct(*order) == F.col("first_id")) & (F.struct(*order) == F.col("first_pair"))
-        marked = marked.withColumn("takes", takes)
+        marked = marked.withColumn("takes", (F.struct(*order) == F.col("first_id")) & (F.struct(*order) == F.col("first_pair")))
         met = [F.max("takes").over(Window.partitionBy(*key)) for key in (["event_id"], pair)]
         marked = marked.withColumn("met", met[0] | met[1])
-        decided = F.when(F.col("takes"), "accepted").when(F.col("met"), "duplicate")
-        marked = marked.select(*batch.columns, F.coalesce("disposition", decided).alias("disposition"))
+        marked = marked.select(*batch.columns, F.when(F.col("takes"), "accepted").when(F.col("met"), "duplicate").alias("disposition"))
 
 
 def ingest_batch(store: DataFrame, batch: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:

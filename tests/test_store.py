@@ -7,8 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillmeter.operators import analytics
 from quillmeter.operators import key_index as K
 from quillmeter.operators import sync as S
+from quillmeter.plans.params import resolve_query
 from quillmeter.schema import USAGE_EVENTS, conform
 from quillmeter.sources import files, tables
 from quillmeter.sources.snapshots import Conflict, Snapshots, merged_run
@@ -260,3 +262,66 @@ def test_text_rules(spark):
     assert [g[0] for g in got] == [True, True, False, False, False]
     assert got[2][1] == "nonÉ" and got[3][1:] == ("gpt-5", ["gpt-5"]) and got[4][1:] == ("b", ["b"])
     assert got[0][2] == ["unknown"] and got[1][2] == ["null"]
+
+
+
+# ---- reads that follow the layout
+
+
+def stored_days(spark, store, n=40):
+    rows = [(f"n{i % 3}", f"r{i}", NOW + i % n * DAY + i) for i in range(20 * n)]
+    df = events(spark, rows).withColumns({"app_type": F.lit("codex"), "provider_id": F.lit("p"), "model": F.concat(F.lit("m"), F.col("created_at") % 4), "input_tokens": F.lit(3).cast("long"), "output_tokens": F.col("created_at") % 5})
+    df = df.withColumns({c: F.lit(0).cast("long") for c in ("cache_read_tokens", "cache_creation_tokens", "latency_ms", "input_token_semantics")} | {"status_code": F.lit(200).cast("long"), "total_cost_usd": F.lit("0.5")})
+    upload.accept(df, 0, store, 1)
+    return upload.stored(spark, store)
+
+
+def test_the_newest_page_opens_few_days(spark, tmp_path, monkeypatch):
+    whole, paged = analytics.events_page, []
+    monkeypatch.setattr(analytics, "events_page", lambda near, *a: paged.append(near) or whole(near, *a))
+    rows, catalog = stored_days(spark, str(tmp_path / "s")), spark.createDataFrame([], "node_id string, app_type string, provider_id string, name string")
+    query = resolve_query(NOW + 41 * DAY, NOW, NOW + 41 * DAY)
+    for limit, days in ((5, 4), (60, 16), (200, 16)):
+        page = analytics.newest_page(rows, catalog, query, limit)
+        assert paged[-1].select("event_date").distinct().count() <= days and "PartitionFilters: [isnotnull(event_date" in page._jdf.queryExecution().toString()
+        want = whole(rows, catalog, query, limit).collect()
+        assert page.collect() == want and len(want) == limit
+    before = (want[-1].created_at, want[-1].event_id)
+    assert analytics.newest_page(rows, catalog, query, 50, before).collect() == whole(rows, catalog, query, 50, before).collect()
+    none = resolve_query(NOW, NOW - 9 * DAY, NOW - 8 * DAY)
+    assert analytics.newest_page(rows, catalog, none, 5).count() == 0 and analytics.newest_page(rows.drop("event_date"), catalog, query, 5).count() == 5
+
+
+def test_the_overview_moves_rows_once(spark, tmp_path):
+    rows = stored_days(spark, str(tmp_path / "s"))
+    query = resolve_query(NOW + 41 * DAY, NOW, NOW + 41 * DAY)
+    plan = analytics.grouped(rows, query)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "keys" in plan
+    found = analytics.overview(rows, spark.createDataFrame([], "node_id string, app_type string, provider_id string, name string"), query)
+    assert found["summary"].collect() == analytics.summary(rows, query).collect()
+    assert found["trend"].collect() == analytics.trend(rows, query).collect()
+    for name, column in analytics.DIMENSIONS.items():
+        assert found["breakdowns"][name].collect() == analytics.breakdown(rows, query, column).collect()
+    empty = analytics.overview(rows.limit(0), spark.createDataFrame([], "node_id string, app_type string, provider_id string, name string"), query)
+    assert empty["summary"].first().total_requests == 0 and empty["trend"].count() == found["trend"].count()
+
+
+def test_week_grids_are_whole_weeks(spark):
+    days = spark.sql("SELECT DATE'2024-05-01' AS day UNION ALL SELECT DATE'2024-05-11'")
+    got = analytics.week_grid(days).orderBy("day").collect()
+    assert [str(got[0].day), str(got[-1].day)] == ["2024-04-28", "2024-05-11"] and len(got) == 14
+    assert [(r.week, r.weekday) for r in got] == [(i // 7, i % 7) for i in range(14)]
+    assert analytics.week_grid(days.limit(0)).count() == 0
+
+
+def test_streams_drop_what_comes_late_and_count_by_window(spark, tmp_path):
+    rows = [("a", 0), ("a", 60), ("b", 3600), ("c", 7200), ("a", 30), ("d", 20_000)]
+    source = str(tmp_path / "in")
+    for i, (key, at) in enumerate(rows):
+        spark.createDataFrame([(key, NOW + at)], "event_id string, t long").coalesce(1).write.mode("append").parquet(f"{source}/{i}")
+    stream = lambda: spark.readStream.schema("event_id string, t long").option("maxFilesPerTrigger", 1).parquet(f"{source}/*").withColumn("ts", F.timestamp_seconds("t"))
+    for name, df in (("once", upload.deduplicated(stream(), "2 hours")), ("hours", upload.streaming_trend(stream(), late="10 minutes"))):
+        df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    once = sorted(r.event_id for r in spark.table("once").collect())
+    assert once[-3:] == ["b", "c", "d"] and 1 <= once.count("a") <= 2  # one that comes after its state has gone is new, or too late
+    assert all(r.total_requests >= 1 for r in spark.table("hours").collect())
