@@ -8,10 +8,11 @@ share a byte with it extends the phrase; popcounts are its occurrences.  Phrases
 are extended depth-first, the phrases of a few first words at a time, and the
 popcounts of a phrase are summed over all shards.
 
-Three passes over the texts count words, pairs of frequent words, and triples of
-frequent pairs, since no phrase is more frequent than its parts.  What is
-frequent comes to the tasks as a hash bitmap of fixed size: a hit that is none
-costs a row of shuffle and is dropped by its exact count.
+Three passes over the texts, since no phrase is more frequent than its parts: the
+first counts words; the second adds up pairs of frequent words by their hash, two
+numbers a row; the third counts the pairs whose hash is frequent and the triples
+of two such pairs.  What is frequent comes to the tasks as a hash bitmap of fixed
+size: a hit that is none costs a row of shuffle and is dropped by its exact count.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_slices, whole_text, written
@@ -36,23 +37,36 @@ _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", GAP * 10)
 
 
 class Filter:
-    """Which phrases may be frequent: bits by the hash of language and phrase, of a size that the corpus does not change."""
+    """Which words or pairs may be frequent: bits at the hash of a word, or at the joined hashes of two, of a size that the corpus does not change."""
 
     def __init__(self, bits: np.ndarray | None = None):
         self.bits = bits
 
-    def has(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
+    def has(self, hashes: np.ndarray) -> np.ndarray:
         if self.bits is None:
-            return np.ones(len(phrases), bool)
-        digest, before = xxhash.xxh64_intdigest, lang + b" "
-        at = np.array([digest(before + p, 42) for p in phrases], np.uint64) & np.uint64(8 * len(self.bits) - 1)
+            return np.ones(len(hashes), bool)
+        at = hashes & np.uint64(8 * len(self.bits) - 1)
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def frequent_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """The filter of (lang, phrase) rows, put together by Spark in bitmaps of 4,096 bytes."""
-    at = F.xxhash64(F.concat_ws(" ", "lang", "phrase")).bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    parts = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+def word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    digest, before = xxhash.xxh64_intdigest, lang + b" "
+    return np.array([digest(before + w, 42) for w in words], np.uint64)
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first ^ second >> np.uint64(20)
+
+
+def word_hash() -> Column:
+    """``word_hashes`` of the columns lang and phrase."""
+    return F.xxhash64(F.concat_ws(" ", "lang", "phrase"))
+
+
+def frequent_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Filter:
+    """The filter of rows with a column hash, put together by Spark in bitmaps of 4,096 bytes."""
+    at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
     filled = np.zeros(1 << (bits - 3), np.uint8)
     for r in parts.collect():  # 2^bits / 32,768 rows at most
         filled[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bitmap), np.uint8)
@@ -84,7 +98,8 @@ class Shard:
         ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
         self.counts = np.bincount(ids[carried:][ids[carried:] >= 0], minlength=len(self.names))
         if frequent.bits is not None and self.names:
-            kept = np.append(frequent.has(lang, self.names), False)
+            self.hashes = word_hashes(lang, self.names)
+            kept = np.append(frequent.has(self.hashes), False)
             ids[~kept[ids]] = -1
         at = np.flatnonzero(ids >= 0)
         keys = ids[at] << 32 | at >> 3
@@ -128,72 +143,72 @@ class Shard:
             yield slice(first, last)
             first = last
 
-    def pairs(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes and occurrences of all pairs."""
+        n = len(self.names)
         for run in self.runs():
             keys, counts = self.popcounts(*self.extend(self.words[run], self.bytes_at[run], self.bits[run]))
             keys, counts = keys[counts > 0], counts[counts > 0]
-            yield self.phrases(keys), counts
-
-    def triples(self, lang: bytes, frequent: Filter) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        """Occurrences of triples whose two pairs may be frequent; ``frequent`` is asked once for each pair of the shard."""
-        n, known = len(self.names), {}
-
-        def may_be(keys: np.ndarray) -> np.ndarray:
-            distinct, of = np.unique(keys, return_inverse=True)
-            new = [k for k in distinct.tolist() if k not in known]
-            if new:
-                known.update(zip(new, frequent.has(lang, self.phrases(np.array(new))).tolist()))
-            return np.array([known[k] for k in distinct.tolist()], bool)[of] if len(keys) else np.zeros(0, bool)
+            yield pair_hashes(self.hashes[keys // n], self.hashes[keys % n]), counts
 
+    def longer(self, frequent: Filter) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """Occurrences of the pairs that may be frequent, and of the triples of two such pairs."""
+        n = len(self.names)
         for run in self.runs():
             keys, bytes_at, bits = self.extend(self.words[run], self.bytes_at[run], self.bits[run])
-            good = may_be(keys)
+            good = frequent.has(pair_hashes(self.hashes[keys // n], self.hashes[keys % n]))
             keys, bytes_at, bits = keys[good], bytes_at[good], bits[good]
+            pairs, counts = self.popcounts(keys, bytes_at, bits)
+            names = self.phrases(pairs)
+            yield names, counts
             # Pairs are numbered within the run, so that a pair and a word fit one key.
-            distinct, of = np.unique(keys, return_inverse=True)
-            longer, counts = self.popcounts(*self.extend(of, bytes_at, bits))
-            first, last = distinct[longer // n], longer % n
-            good = (counts > 0) & may_be(first % n * n + last)
-            first, last, counts = first[good], last[good], counts[good]
-            yield [a + b" " + self.names[w] for a, w in zip(self.phrases(first), last.tolist())], counts
+            found, counts = self.popcounts(*self.extend(np.cumsum(np.diff(keys, prepend=-1) != 0) - 1, bytes_at, bits))
+            first, last = found // n, found % n
+            good = (counts > 0) & frequent.has(pair_hashes(self.hashes[pairs[first] % n], self.hashes[last]))
+            yield [names[a] + b" " + self.names[w] for a, w in zip(first[good].tolist(), last[good].tolist())], counts[good]
 
     def phrases(self, pairs: np.ndarray) -> list[bytes]:
         names = self.names
         return [names[a] + b" " + names[b] for a, b in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist())]
 
 
-def shard_counts(docs: DataFrame, words: int, frequent_words=None, frequent_pairs=None, shard_bytes: int = SHARD, extended: int = EXTENDED) -> DataFrame:
-    """(lang, phrase, f): all occurrences of the phrases of so many words whose words and pairs the broadcast filters let pass."""
+WORDS, PAIRS, LONGER = "words", "pairs", "longer"
+
+
+def shard_counts(docs: DataFrame, what: str, frequent_words=None, frequent_pairs=None, shard_bytes: int = SHARD, extended: int = EXTENDED) -> DataFrame:
+    """(lang, phrase, f): all occurrences of words or of longer phrases that the broadcast filters let pass; of ``PAIRS``, (hash, f)."""
+    schema = pa.schema([("hash", pa.int64()), ("f", pa.int64())] if what == PAIRS else [("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def count(batches):
         of_words = frequent_words.value if frequent_words else Filter()
         of_pairs = frequent_pairs.value if frequent_pairs else None
-        waiting, held = defaultdict(list), 0
+        waiting, held = defaultdict(list), defaultdict(int)
 
         def counted(lang: str):
+            held.pop(lang)
             for tokens, carried in token_blocks(waiting.pop(lang), shard_bytes):
                 shard = Shard(tokens, carried, lang.encode(), of_words, extended)
-                if words == 1:
-                    found = [(shard.names, shard.counts)]
-                else:
-                    found = shard.pairs() if words == 2 else shard.triples(lang.encode(), of_pairs)
-                for phrases, counts in found:
+                if what == PAIRS:
+                    for hashes, counts in shard.pairs():
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], schema=schema)
+                    continue
+                for phrases, counts in [(shard.names, shard.counts)] if what == WORDS else shard.longer(of_pairs):
                     langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), [lang]).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(counts)], ["lang", "phrase", "f"]).filter(pa.array(counts > 0))
+                    yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(counts)], schema=schema).filter(pa.array(counts > 0))
 
         for batch in in_slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 waiting[lang].append(text)
-                held += len(text) + 1
-            while held >= shard_bytes:  # the language with most text goes first
-                lang = max(waiting, key=lambda k: sum(map(len, waiting[k])))
-                held -= sum(len(t) + 1 for t in waiting[lang])
-                yield from counted(lang)
+                held[lang] += len(text)
+                if held[lang] >= shard_bytes:
+                    yield from counted(lang)
+            while sum(held.values()) >= 3 * shard_bytes:  # of many languages the one with most text goes first
+                yield from counted(max(held, key=held.get))
         for lang in list(waiting):
             yield from counted(lang)
 
-    rows = docs.mapInArrow(count, "lang string, phrase string, f long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    by = schema.names[:-1]
+    return docs.mapInArrow(count, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema)).groupBy(*by).agg(F.sum("f").alias("f"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained: int = CONTAINED, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -209,14 +224,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained:
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
-    words, _ = written(shard_counts(texts, 1))
+    words, _ = written(shard_counts(texts, WORDS))
     size = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.filter(F.col("f") >= least)
-    in_words = spark.sparkContext.broadcast(frequent_filter(frequent))
-    pairs, _ = written(shard_counts(texts, 2, in_words).filter(F.col("f") >= least))
-    in_pairs = spark.sparkContext.broadcast(frequent_filter(pairs))
-    triples, _ = written(shard_counts(texts, 3, in_words, in_pairs).filter(F.col("f") >= least))
-    return ranked(frequent, pairs, triples, size, top, contained)
+    in_words = spark.sparkContext.broadcast(frequent_filter(frequent.select(word_hash().alias("hash"))))
+    in_pairs = spark.sparkContext.broadcast(frequent_filter(shard_counts(texts, PAIRS, in_words).filter(F.col("f") >= least)))
+    longer = shard_counts(texts, LONGER, in_words, in_pairs).filter(F.col("f") >= least)
+    longer, _ = written(longer.withColumn("words", F.size(F.split("phrase", " "))))
+    return ranked(frequent, longer.filter("words = 2"), longer.filter("words = 3"), size, top, contained)
 
 
 def ranked(words: DataFrame, pairs: DataFrame, triples: DataFrame, size: DataFrame, top: int, contained: int) -> DataFrame:

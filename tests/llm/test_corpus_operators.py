@@ -66,17 +66,20 @@ def test_collocations_are_those_of_brute_force(spark, monkeypatch, extended, sha
 
 def test_blocks_of_a_text_count_each_phrase_once():
     text = " ".join(random.Random(2).choice("abc") + random.Random(i).choice([".", "", ""]) for i in range(3000))
+    every = C.Filter(np.full(16, 255, np.uint8))
     for most in (1, 7, 64):
-        found = [Counter(), Counter(), Counter()]
+        words, longer, hashes = Counter(), Counter(), Counter()
         for tokens, carried in C.token_blocks([text, "q r s"], most):
-            shard = C.Shard(tokens, carried, b"en", C.Filter())
-            found[0].update(dict(zip(shard.names, shard.counts.tolist())))
-            for g, counted in ((1, shard.pairs()), (2, shard.triples(b"en", C.Filter()))):
-                for phrases, counts in counted:
-                    found[g].update(dict(zip(phrases, counts.tolist())))
-        for g in (1, 2, 3):
-            want = Counter(" ".join(w[i : i + g]).encode() for piece in [*text.split("."), "q r s"] if (w := piece.split()) for i in range(len(w) - g + 1))
-            assert +found[g - 1] == want
+            shard = C.Shard(tokens, carried, b"en", every)
+            words.update(dict(zip(shard.names, shard.counts.tolist())))
+            for phrases, counts in shard.longer(every):
+                longer.update(dict(zip(phrases, counts.tolist())))
+            for pairs, counts in shard.pairs():
+                hashes.update(dict(zip(pairs.tolist(), counts.tolist())))
+        want = Counter(b" ".join(w[i : i + g]) for g in (1, 2, 3) for piece in [*text.encode().split(b"."), b"q r s"] if (w := piece.split()) for i in range(len(w) - g + 1))
+        assert +words == Counter({p: n for p, n in want.items() if b" " not in p}) and +longer == Counter({p: n for p, n in want.items() if b" " in p})
+        hash_of = lambda p: C.pair_hashes(*C.word_hashes(b"en", p.split(b" ")).reshape(2, 1))[0]
+        assert hashes == Counter({int(hash_of(p)): n for p, n in want.items() if p.count(b" ") == 1})
 
 
 def test_scores_beyond_64_bits(spark):
@@ -88,8 +91,19 @@ def test_scores_beyond_64_bits(spark):
     assert row.score == 1_000_000 * (a - 1) ** 2 // (4 * a * a)
 
 
+def test_the_filters_hold_what_is_frequent(spark):
+    """Spark and the tasks hash alike: what is in the table is in the filter, and little else."""
+    words = [f"w{i}é" for i in range(300)]
+    table = spark.createDataFrame([("en", w) for w in words[:200]], "lang string, phrase string")
+    hashes = C.word_hashes(b"en", [w.encode() for w in words])
+    assert C.frequent_filter(table.select(C.word_hash().alias("hash"))).has(hashes).tolist() == [True] * 200 + [False] * 100
+    joined = C.pair_hashes(hashes[:-1], hashes[1:])
+    found = C.frequent_filter(spark.createDataFrame([(h,) for h in joined.view(np.int64).tolist()], "hash long"))
+    assert found.has(joined).all() and not found.has(C.pair_hashes(hashes[1:], hashes[:-1])).any()
+
+
 def test_a_full_filter_only_costs_rows(spark, monkeypatch):
-    """With eight bits nearly all hits are false; the counts drop them."""
+    """A filter that lets all pass: the counts drop what is not frequent."""
     rows = [("en", t) for t in sentences(3, 60)]
     whole = C.frequent_filter
     monkeypatch.setattr(C, "frequent_filter", lambda df: C.Filter(whole(df, 15).bits | 0xFF))
