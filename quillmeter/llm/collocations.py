@@ -9,8 +9,8 @@ are extended depth-first, the phrases of a few first words at a time, and the
 popcounts of a phrase are summed over all shards.
 
 Three passes over the texts, since no phrase is more frequent than its parts: the
-first counts words; the second adds up pairs of frequent words by their hash, two
-numbers a row; the third counts the pairs whose hash is frequent and the triples
+first counts words; the second adds up pairs of frequent words by their cell of
+the hash bitmap, two small numbers a row; the third counts the pairs whose hash is frequent and the triples
 of two such pairs.  What is frequent comes to the tasks as a hash bitmap of fixed
 size: a hit that is none costs a row of shuffle and is dropped by its exact count.
 """
@@ -176,7 +176,7 @@ WORDS, PAIRS, LONGER = "words", "pairs", "longer"
 
 
 def shard_counts(docs: DataFrame, what: str, frequent_words=None, frequent_pairs=None, shard_bytes: int = SHARD, extended: int = EXTENDED) -> DataFrame:
-    """(lang, phrase, f): all occurrences of words or of longer phrases that the broadcast filters let pass; of ``PAIRS``, (hash, f)."""
+    """(lang, phrase, f): all occurrences of words or of longer phrases that the broadcast filters let pass; of ``PAIRS``, (hash, f) by the bits of the hash that the filter has."""
     schema = pa.schema([("hash", pa.int64()), ("f", pa.int64())] if what == PAIRS else [("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def count(batches):
@@ -190,7 +190,8 @@ def shard_counts(docs: DataFrame, what: str, frequent_words=None, frequent_pairs
                 shard = Shard(tokens, carried, lang.encode(), of_words, extended)
                 if what == PAIRS:
                     for hashes, counts in shard.pairs():
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], schema=schema)
+                        cells = (hashes & np.uint64((1 << FILTER_BITS) - 1)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], schema=schema)
                     continue
                 for phrases, counts in [(shard.names, shard.counts)] if what == WORDS else shard.longer(of_pairs):
                     langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), [lang]).cast(pa.string())
