@@ -13,8 +13,8 @@ token is scored once.  As nothing but the id enters a token's query, key and
 value, these are tables for scoring: blocks of many texts go through a few
 gathers and batched products under the causal mask together.
 
-Training goes through all windows of all texts it is given.  A window's loss is
-taken at ``TARGETS`` of its positions, other ones in each batch.
+Training goes through all windows of all texts it is given, and takes the loss at
+every position of a window.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BEGIN, END = 1, 2
 DIM, HIDDEN, STEP, FAN = 16, 32, 16, 32
 SINGLES, NEAR = 512, 32
 N_CLASSES = FAN * FAN
-TARGETS, BATCH, RATE, EMBED_RATE, SEED = 4, 1024, 1e-2, 0.1, 5
+BATCH, RATE, EMBED_RATE, SEED = 256, 1e-2, 0.1, 5
 SPAN = 2 * STEP
 TOGETHER = 512  # windows that are scored in one go
 _i, _j = np.arange(STEP)[:, None], np.arange(STEP)[None, :]
@@ -244,7 +244,7 @@ class Trainer:
     def go(self, tokens: np.ndarray, targets: np.ndarray, first: np.ndarray, rng: np.random.Generator, rate_of) -> None:
         """Once through these windows, runs of neighbouring ones in random order; ``rate_of`` gives a step's share of the rate by its number."""
         for at in (rng.permutation(-(-len(tokens) // BATCH)) * BATCH).tolist():
-            g, ids, ge = gradients(self.w, tokens[at : at + BATCH], targets[at : at + BATCH], first[at : at + BATCH], np.sort(rng.choice(STEP, TARGETS, replace=False)), self.class_of)
+            g, ids, ge = gradients(self.w, tokens[at : at + BATCH], targets[at : at + BATCH], first[at : at + BATCH], self.class_of)
             self.done += 1
             rate = rate_of(self.done)
             for n, x in g.items():
@@ -274,31 +274,29 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gradients(w: dict, tokens: np.ndarray, targets: np.ndarray, first: np.ndarray, at: np.ndarray, class_of: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
-    """The gradient of the mean cross-entropy at positions ``at`` of neighbouring windows: of all weights but e, then (ids, rows) of e.
+def gradients(w: dict, tokens: np.ndarray, targets: np.ndarray, first: np.ndarray, class_of: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The gradient of the mean cross-entropy at all positions of neighbouring windows: of all weights but e, then (ids, rows) of e.
 
     A window whose predecessor is not in the batch attends to its own block.
     """
     n, scale = len(tokens), np.float32(1 / np.sqrt(DIM))
     e = w["e"].take(tokens, axis=0)
     flat = e.reshape(-1, DIM)
-    k, v = (flat @ w["k"]).reshape(e.shape), (flat @ w["v"]).reshape(e.shape)
-    eq = np.ascontiguousarray(e[:, at]).reshape(-1, DIM)
-    q = (eq @ w["q"] * scale).reshape(n, -1, DIM)
+    k, v, q = (flat @ w["k"]).reshape(e.shape), (flat @ w["v"]).reshape(e.shape), (flat @ w["q"] * scale).reshape(e.shape)
     old_k, old_v = np.concatenate([k[:1] * 0, k[:-1]]), np.concatenate([v[:1] * 0, v[:-1]])
     there = ~first
     there[0] = False
-    s = np.empty((n, len(at), SPAN), k.dtype)
-    s[:, :, :STEP] = q @ old_k.transpose(0, 2, 1) + w["d"][BEFORE[at]]
-    s[:, :, STEP:] = q @ k.transpose(0, 2, 1) + w["d"][OWN[at]]
+    s = np.empty((n, STEP, SPAN), k.dtype)
+    s[:, :, :STEP] = q @ old_k.transpose(0, 2, 1) + w["d"][BEFORE]
+    s[:, :, STEP:] = q @ k.transpose(0, 2, 1) + w["d"][OWN]
     s[~there, :, :STEP] = -1e9
-    s[:, :, STEP:][:, ~SEEN[at]] = -1e9
+    s[:, :, STEP:][:, ~SEEN] = -1e9
     a = _softmax(s)
     c = (a[:, :, :STEP] @ old_v + a[:, :, STEP:] @ v).reshape(-1, DIM)
     h = np.ones((len(c), HIDDEN + 1), k.dtype)
-    np.maximum(c @ w["c"] + eq @ w["s"] + w["b"], 0, out=h[:, :HIDDEN])
+    np.maximum(c @ w["c"] + flat @ w["s"] + w["b"], 0, out=h[:, :HIDDEN])
 
-    goal = targets[:, at].ravel()
+    goal = targets.ravel()
     live = np.flatnonzero(goal >= 0)
     code = class_of[goal[live]]
     order, runs = _by_group(code // FAN)
@@ -318,22 +316,21 @@ def gradients(w: dict, tokens: np.ndarray, targets: np.ndarray, first: np.ndarra
     dz = np.zeros((len(c), HIDDEN), k.dtype)
     dz[live] = dl[:, :HIDDEN]
     dz *= h[:, :HIDDEN] > 0
-    g["c"], g["s"], g["b"] = c.T @ dz, eq.T @ dz, dz.sum(axis=0)
-    dc, deq = (dz @ w["c"].T).reshape(n, -1, DIM), dz @ w["s"].T
+    g["c"], g["s"], g["b"] = c.T @ dz, flat.T @ dz, dz.sum(axis=0)
+    dc = (dz @ w["c"].T).reshape(n, -1, DIM)
 
     da = np.concatenate([dc @ old_v.transpose(0, 2, 1), dc @ v.transpose(0, 2, 1)], axis=2)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     summed = ds.sum(axis=0)
-    g["d"] = np.bincount(np.concatenate([BEFORE[at], OWN[at]], axis=1).ravel(), weights=summed.ravel(), minlength=SPAN).astype(k.dtype)
+    g["d"] = np.bincount(np.concatenate([BEFORE, OWN], axis=1).ravel(), weights=summed.ravel(), minlength=SPAN).astype(k.dtype)
     dq = ((ds[:, :, :STEP] @ old_k + ds[:, :, STEP:] @ k) * scale).reshape(-1, DIM)
     dk, dv = ds[:, :, STEP:].transpose(0, 2, 1) @ q, a[:, :, STEP:].transpose(0, 2, 1) @ dc
     dk[:-1] += (ds[:, :, :STEP].transpose(0, 2, 1) @ q)[1:]
     dv[:-1] += (a[:, :, :STEP].transpose(0, 2, 1) @ dc)[1:]
     dk, dv = dk.reshape(-1, DIM), dv.reshape(-1, DIM)
-    g["q"], g["k"], g["v"] = eq.T @ dq, flat.T @ dk, flat.T @ dv
-    de = (dk @ w["k"].T + dv @ w["v"].T).reshape(e.shape)
-    de[:, at] += (deq + dq @ w["q"].T).reshape(n, -1, DIM)
+    g["q"], g["k"], g["v"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
+    de = dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T + dz @ w["s"].T
     order = np.argsort(tokens.ravel().astype(np.uint16), kind="stable")
     ids = tokens.ravel()[order]
     start = np.flatnonzero(np.diff(ids, prepend=-1))
-    return g, ids[start], np.add.reduceat(de.reshape(-1, DIM)[order], start, axis=0)
+    return g, ids[start], np.add.reduceat(de[order], start, axis=0)

@@ -6,10 +6,12 @@
    training corpus' count of every id: a row for each id of the vocabulary.
 3. The ids' neighbours are counted in all training texts, and the attention
    weights are trained on all of them, as ids in a table of the shared folder.
-   The texts are dealt over ``ROUNDS`` parts.  In each round, the partitions go
-   through all windows of their texts of one part (of all parts, where the corpus
-   has fewer than ``LEAST_STEPS`` steps), each from the same weights, and the
-   results are averaged by what each has seen (``trained``).
+   The texts are dealt over parts of about ``PART_IDS`` ids by the hash of their
+   id and text, and the parts over ``ROUNDS`` rounds.  In a round, each of its
+   parts (all parts, where the corpus has fewer than ``LEAST_STEPS`` steps) is
+   gone through in the order of those hashes, from the same weights, and the
+   results are averaged by what each part has seen (``trained``).  So the model
+   depends on the texts alone, and not on files, partitions or executors.
 4. One pass over all texts scores them.  Words among the ``FREQUENT`` most
    frequent are looked up in a broadcast table; the others leave the pass as
    (document, word, number) rows and meet their counts in a join.
@@ -21,10 +23,12 @@ weights as the model has, and the frequent words.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_lm as lm
@@ -33,9 +37,9 @@ from .toxicity import remainder
 
 MODEL = "piece_bpe_32k.model"
 FREQUENT, CACHED_WORDS, CACHED_IDS = 1 << 17, 400_000, 4_000_000
-#: Parts of the training texts; a small corpus is gone through more often, until there are so many steps.
-ROUNDS, LEAST_STEPS = 4, 400
-#: Windows that a partition trains on at a time, in random order; fixed-point digits of averaged weights; weights in a row of their sums.
+#: Rounds of training, and ids in a part of the texts; a small corpus is gone through more often, until there are so many steps.
+ROUNDS, PART_IDS, LEAST_STEPS = 4, 1 << 20, 400
+#: Windows of a part that are trained on at a time, in random order; fixed-point digits of averaged weights; weights in a row of their sums.
 WINDOWS, FIXED, ROW = 1 << 15, 1 << 20, 16
 FLUSH = 300_000
 
@@ -141,26 +145,40 @@ class Words:
 
 
 def coded(texts: DataFrame, model_path: str) -> DataFrame:
-    """(part, ids) of (text): all texts as little-endian 16-bit subword ids, dealt over ``ROUNDS`` parts by their hash."""
+    """(key, ids) of (doc_id, text): all texts as little-endian 16-bit subword ids, and the hash that deals them out and orders them."""
 
     def run(batches):
         words = Words(model_path, {})
         for batch in in_slices(batches, 1):
             found = [words.ids_of(words.slots(words_of(text))).astype("<u2").tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["part", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "ids"])
 
-    return texts.select(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).cast("int").alias("part"), "text").mapInArrow(run, "part int, ids binary")
+    return texts.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _ids(batches):
     return (np.frombuffer(ids, "<u2").astype(np.int64) for batch in batches for ids in batch.column(0).to_pylist())
 
 
+def _by_part(batches):
+    """(part, its texts' ids) of rows (ids, part) that have the rows of a part one behind the other."""
+    rows = ((part, np.frombuffer(ids, "<u2").astype(np.int64)) for batch in batches for ids, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    return ((part, (ids for _, ids in own)) for part, own in groupby(rows, itemgetter(0)))
+
+
 def _summed(totals: DataFrame, size: int) -> np.ndarray:
-    """The sums of whole numbers that partitions have in rows of ``ROW`` (at, n): a fixed number of rows reaches the driver."""
-    out = np.zeros((-(-size // ROW), ROW), np.int64)
-    for r in totals.groupBy("at").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(ROW)]).collect():
-        out[r.at] = r[1:]
+    """The sums of whole numbers that tasks have in rows of ``ROW`` (at, n): a fixed number of rows reaches the driver.
+
+    Upper and lower halves are summed apart, so that no sum passes 64 bits.
+    """
+    n, out = [F.get("n", F.lit(i)) for i in range(ROW)], np.zeros((-(-size // ROW), ROW))
+    halves = [F.sum(F.shiftright(x, 32)).alias(f"u{i}") for i, x in enumerate(n)] + [F.sum(x.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"l{i}") for i, x in enumerate(n)]
+    for r in totals.groupBy("at").agg(*halves).collect():
+        out[r.at] = np.array(r[1 : ROW + 1], float) * 2.0**32 + np.array(r[ROW + 1 :], float)
     return out.ravel()[:size]
 
 
@@ -171,21 +189,21 @@ def _rows_of(total: np.ndarray) -> pa.RecordBatch:
 
 
 def neighbour_counts(texts: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """``lm.neighbours`` of all texts (ids)."""
+    """``lm.neighbours`` of all texts (ids), in no more tasks than a shuffle has, as each may give a row for every id."""
     column, wide = lm.columns(counts), 2 * (lm.NEAR + 1)
 
     def run(batches):
         yield _rows_of(lm.neighbours(_ids(batches), column).ravel())
 
-    return _summed(texts.select("ids").mapInArrow(run, "at long, n array<long>"), len(counts) * wide).reshape(-1, wide)
+    return _summed(texts.select("ids").coalesce(_tasks(texts.sparkSession)).mapInArrow(run, "at long, n array<long>"), len(counts) * wide).reshape(-1, wide)
 
 
 def trained(texts: DataFrame, counts: np.ndarray) -> lm.Scorer:
-    """The model of all texts (part, ids).
+    """The model of all texts (key, ids).
 
-    An embedding is averaged over the partitions by how often each has seen the
-    id, other weights by windows.  Sums are of fixed-point integers, so their
-    order does not matter.
+    An embedding is averaged over the parts by how often each has seen the id,
+    other weights by windows.  Sums are of fixed-point integers, so their order
+    does not matter, and a task that has several parts adds them up itself.
     """
     spark = texts.sparkSession
     class_of = lm.classes(neighbour_counts(texts, counts), counts)
@@ -194,28 +212,33 @@ def trained(texts: DataFrame, counts: np.ndarray) -> lm.Scorer:
     steps = max(1, int(counts.sum()) // (lm.STEP * lm.BATCH))
     epochs = max(1, -(-LEAST_STEPS // steps))
     passes = -(-epochs // ROUNDS)
+    parts = max(ROUNDS if epochs == 1 else 1, -(-int(counts.sum()) // PART_IDS))
+    texts = texts.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
+    length = size * (1 + lm.DIM) + sum(w[k].size for k in rest) + 1
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((w, class_of))
         rate = 1 - 0.9 * round_ / ROUNDS
 
         def run(batches, shared=shared, round_=round_, rate=rate):
             start, of = shared.value
-            own = {n: x.copy() for n, x in start.items()}
-            trainer, rng = lm.Trainer(own, of), np.random.default_rng((lm.SEED, round_))
-            seen, n = np.zeros(size, np.int64), 0
-            for part in lm.batched(_ids(batches), WINDOWS * lm.STEP):
-                tokens, targets, first = lm.windows(part)
-                for _ in range(passes):
-                    trainer.go(tokens, targets, first, rng, lambda done: rate)
-                seen += np.bincount(tokens[targets >= 0], minlength=size)
-                n += len(tokens)
-            if n:
+            total = np.zeros(length, np.int64)
+            for part, own_texts in _by_part(batches):
+                own = {n: x.copy() for n, x in start.items()}
+                trainer, rng = lm.Trainer(own, of), np.random.default_rng((lm.SEED, round_, part))
+                seen, n = np.zeros(size, np.int64), 0
+                for some in lm.batched(own_texts, WINDOWS * lm.STEP):
+                    tokens, targets, first = lm.windows(some)
+                    for _ in range(passes):
+                        trainer.go(tokens, targets, first, rng, lambda done: rate)
+                    seen += np.bincount(tokens[targets >= 0], minlength=size)
+                    n += len(tokens)
                 fixed = {k: np.rint(x.astype(np.float64) * FIXED).astype(np.int64) for k, x in own.items()}
-                yield _rows_of(np.concatenate([seen, (fixed["e"] * seen[:, None]).ravel(), *(fixed[k].ravel() * n for k in rest), [n]]))
+                total += np.concatenate([seen, (fixed["e"] * seen[:, None]).ravel(), *(fixed[k].ravel() * n for k in rest), [n]])
+            yield _rows_of(total)
 
-        length = size * (1 + lm.DIM) + sum(w[k].size for k in rest) + 1
-        own_texts = texts.filter(F.col("part") == round_) if epochs == 1 else texts
-        total = _summed(own_texts.select("ids").mapInArrow(run, "at long, n array<long>"), length)
+        own_texts = texts.filter(F.col("part") % ROUNDS == round_) if epochs == 1 else texts
+        own_texts = own_texts.repartition(min(_tasks(spark), parts), "part").sortWithinPartitions("part", "key", "ids")
+        total = _summed(own_texts.select("ids", "part").mapInArrow(run, "at long, n array<long>"), length)
         shared.unpersist()
         if not total[-1]:
             continue

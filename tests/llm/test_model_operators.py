@@ -379,7 +379,7 @@ def test_the_model_learns_from_long_and_from_late_texts(spark):
     texts = [start, *(np.full(50, 400) for _ in range(30)), np.array([], np.int64)]
     for ids in texts:
         counts += np.bincount(np.append(ids, attention_lm.END), minlength=500)
-    rows = spark.createDataFrame([(i % lm_score.ROUNDS, bytearray(ids.astype("<u2").tobytes())) for i, ids in enumerate(texts)], "part int, ids binary").repartition(3)
+    rows = spark.createDataFrame([(7 * i, bytearray(ids.astype("<u2").tobytes())) for i, ids in enumerate(texts)], "key long, ids binary").repartition(3)
     near = attention_lm.neighbours(texts, attention_lm.columns(counts))
     assert (lm_score.neighbour_counts(rows, counts) == near).all()
     of = attention_lm.classes(near, counts)
@@ -392,6 +392,24 @@ def test_the_model_learns_from_long_and_from_late_texts(spark):
     assert (model.score([texts[1], start[:400]]) > first.score([texts[1], start[:400]])).all()
 
 
+def test_the_model_depends_on_the_texts_alone(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_IDS", 700)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(3, 200, n) for n in rng.integers(0, 90, 60)] * 2
+    counts = np.bincount(np.concatenate(texts), minlength=300).astype(float)
+    counts[attention_lm.END] = len(texts)
+    rows = [(int(k), bytearray(ids.astype("<u2").tobytes())) for k, ids in zip(rng.integers(-(10**15), 10**15, len(texts)), texts)]
+    for least in (400, 1):  # all parts in each round, and a part of them
+        monkeypatch.setattr(lm_score, "LEAST_STEPS", least)
+        one, other = (lm_score.trained(spark.createDataFrame(r, "key long, ids binary").repartition(n), counts) for n, r in ((3, rows), (11, rows[::-1])))
+        assert (one.score(texts) == other.score(texts)).all() and (one.table == other.table).all()
+
+
+def test_sums_pass_64_bits(spark):
+    rows = spark.createDataFrame([(0, [2**62, -5] + [0] * 14)] * 6 + [(1, [7] * 16)], "at long, n array<long>")
+    assert lm_score._summed(rows, 20).tolist() == [6.0 * 2**62, -30.0] + [0.0] * 14 + [7.0] * 4
+
+
 def test_language_model_trains_on_texts_of_any_length(spark, monkeypatch):
     lengths = []
 
@@ -482,13 +500,12 @@ def test_gradients_are_the_slopes():
     tokens, targets, first = m.windows([rng.integers(3, 60, 40), rng.integers(3, 60, 5)])
     class_of = rng.integers(0, m.N_CLASSES, 60)
     w = {n: x.astype(float) + rng.normal(0, 0.2, x.shape) for n, x in m.initial(np.ones(60), class_of).items()}
-    at = np.array([1, 4, 9, 15])
 
     def loss():
         total, n = 0.0, 0
         e = w["e"][tokens]
         for b in range(len(tokens)):
-            for i in at:
+            for i in range(m.STEP):
                 if targets[b, i] < 0:
                     continue
                 keys = [(e[b - 1, j], m.STEP + i - j) for j in range(m.STEP)] * (not first[b]) + [(e[b, j], i - j) for j in range(i + 1)]
@@ -502,7 +519,7 @@ def test_gradients_are_the_slopes():
                 n += 1
         return total / n
 
-    g, ids, rows = m.gradients(w, tokens, targets, first, at, class_of)
+    g, ids, rows = m.gradients(w, tokens, targets, first, class_of)
     dense = np.zeros_like(w["e"])
     dense[ids] = rows
     g["e"] = dense
