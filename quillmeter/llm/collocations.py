@@ -17,11 +17,12 @@ size: a hit that is none costs a row of shuffle and is dropped by its exact coun
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,29 +88,36 @@ def token_blocks(texts: list[str], most: int = SHARD) -> Iterator[tuple[list[byt
             carried = carried[carried.index(GAP, len(carried) - 1 if carried[-1] == GAP else 0) + 1 :]
 
 
+def word_counts(tokens: list[bytes], carried: int) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a shard and their occurrences but for the carried ones."""
+    counts = Counter(tokens)
+    counts.subtract(tokens[:carried])
+    counts.pop(GAP, None)
+    return list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+
+
 class Shard:
     """The position bitmaps of a shard's words: word by word, each the bytes that have a bit."""
 
     def __init__(self, tokens: list[bytes], carried: int, lang: bytes, frequent: Filter, extended: int = EXTENDED):
         self.extended = extended
-        self.names = sorted(set(tokens) - {GAP})
+        self.names = list(set(tokens) - {GAP})
         number = {w: i for i, w in enumerate(self.names)}
         number[GAP] = -1
         ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-        self.counts = np.bincount(ids[carried:][ids[carried:] >= 0], minlength=len(self.names))
         if frequent.bits is not None and self.names:
             self.hashes = word_hashes(lang, self.names)
             kept = np.append(frequent.has(self.hashes), False)
             ids[~kept[ids]] = -1
         at = np.flatnonzero(ids >= 0)
         keys = ids[at] << 32 | at >> 3
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         heads = np.flatnonzero(np.diff(keys[order], prepend=-1))
         self.words, self.bytes_at = keys[order][heads] >> 32, keys[order][heads] & 0xFFFFFFFF
         bits = np.left_shift(1, at & 7).astype(np.uint8)[order]
         self.bits = np.bitwise_or.reduceat(bits, heads) if len(heads) else bits
         #: By byte: which words have a bit there.
-        self.by_byte = np.argsort(self.bytes_at, kind="stable")
+        self.by_byte = np.argsort(self.bytes_at)
         self.starts = np.searchsorted(self.bytes_at[self.by_byte], np.arange((len(ids) >> 3) + 3))
         self.dir_words, self.dir_bits = self.words[self.by_byte], self.bits[self.by_byte]
         self.fresh = np.uint8(0xFF & ~((1 << carried) - 1))
@@ -126,7 +134,7 @@ class Shard:
         good = np.flatnonzero(met)
         source, entry = source[good], entry[good]
         keys = phrases[source] * len(self.names) + self.dir_words[entry]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         return keys[order], bytes_at[source][order], met[good][order]
 
     def popcounts(self, keys: np.ndarray, bytes_at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,25 +159,21 @@ class Shard:
             keys, counts = keys[counts > 0], counts[counts > 0]
             yield pair_hashes(self.hashes[keys // n], self.hashes[keys % n]), counts
 
-    def longer(self, frequent: Filter) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    def longer(self, frequent: Filter) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Occurrences of the pairs that may be frequent, and of the triples of two such pairs."""
-        n = len(self.names)
+        n, words = len(self.names), pa.array(self.names, pa.string())
         for run in self.runs():
             keys, bytes_at, bits = self.extend(self.words[run], self.bytes_at[run], self.bits[run])
             good = frequent.has(pair_hashes(self.hashes[keys // n], self.hashes[keys % n]))
             keys, bytes_at, bits = keys[good], bytes_at[good], bits[good]
             pairs, counts = self.popcounts(keys, bytes_at, bits)
-            names = self.phrases(pairs)
+            names = pc.binary_join_element_wise(words.take(pa.array(pairs // n)), words.take(pa.array(pairs % n)), " ")
             yield names, counts
             # Pairs are numbered within the run, so that a pair and a word fit one key.
             found, counts = self.popcounts(*self.extend(np.cumsum(np.diff(keys, prepend=-1) != 0) - 1, bytes_at, bits))
             first, last = found // n, found % n
             good = (counts > 0) & frequent.has(pair_hashes(self.hashes[pairs[first] % n], self.hashes[last]))
-            yield [names[a] + b" " + self.names[w] for a, w in zip(first[good].tolist(), last[good].tolist())], counts[good]
-
-    def phrases(self, pairs: np.ndarray) -> list[bytes]:
-        names = self.names
-        return [names[a] + b" " + names[b] for a, b in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist())]
+            yield pc.binary_join_element_wise(names.take(pa.array(first[good])), words.take(pa.array(last[good])), " "), counts[good]
 
 
 WORDS, PAIRS, LONGER = "words", "pairs", "longer"
@@ -187,13 +191,13 @@ def shard_counts(docs: DataFrame, what: str, frequent_words=None, frequent_pairs
         def counted(lang: str):
             held.pop(lang)
             for tokens, carried in token_blocks(waiting.pop(lang), shard_bytes):
-                shard = Shard(tokens, carried, lang.encode(), of_words, extended)
+                shard = None if what == WORDS else Shard(tokens, carried, lang.encode(), of_words, extended)
                 if what == PAIRS:
                     for hashes, counts in shard.pairs():
                         cells = (hashes & np.uint64((1 << FILTER_BITS) - 1)).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], schema=schema)
                     continue
-                for phrases, counts in [(shard.names, shard.counts)] if what == WORDS else shard.longer(of_pairs):
+                for phrases, counts in [word_counts(tokens, carried)] if what == WORDS else shard.longer(of_pairs):
                     langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), [lang]).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(counts)], schema=schema).filter(pa.array(counts > 0))
 

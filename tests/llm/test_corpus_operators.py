@@ -71,9 +71,10 @@ def test_blocks_of_a_text_count_each_phrase_once():
         words, longer, hashes = Counter(), Counter(), Counter()
         for tokens, carried in C.token_blocks([text, "q r s"], most):
             shard = C.Shard(tokens, carried, b"en", every)
-            words.update(dict(zip(shard.names, shard.counts.tolist())))
+            names, counts = C.word_counts(tokens, carried)
+            words.update(dict(zip(names, counts.tolist())))
             for phrases, counts in shard.longer(every):
-                longer.update(dict(zip(phrases, counts.tolist())))
+                longer.update(dict(zip([p.encode() for p in phrases.to_pylist()], counts.tolist())))
             for pairs, counts in shard.pairs():
                 hashes.update(dict(zip(pairs.tolist(), counts.tolist())))
         want = Counter(b" ".join(w[i : i + g]) for g in (1, 2, 3) for piece in [*text.encode().split(b"."), b"q r s"] if (w := piece.split()) for i in range(len(w) - g + 1))
