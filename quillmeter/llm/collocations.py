@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, whole_text, written
 
-LEAST, TOP, CONTAINED, SCALE = 10, 2000, 50, 1_000_000
+LEAST, TOP, CONTAINED, SCALE, SALTS = 10, 2000, 50, 1_000_000, 64
 #: Bytes of text in a shard, entries of first words that are extended together, and bits of the hash bitmap (16 MB).
 SHARD, EXTENDED, FILTER_BITS = 4 << 20, 1 << 15, 27
 #: Texts are lower-cased first, so a capital A can stand between pieces.
@@ -258,6 +258,9 @@ def ranked(words: DataFrame, pairs: DataFrame, triples: DataFrame, size: DataFra
     cuts = cuts.withColumns({c: F.col(c).cast("decimal(15,0)") for c in ("l", "r")}).withColumn("d", F.col("a").cast("decimal(15,0)"))
     score = F.expr(f"(d * d * CAST({SCALE} AS DECIMAL(7,0))) div (l * r)")
     lowest = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))).alias("c"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    found = lowest.select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    found = lowest.select("lang", "phrase", "a", "c.l", "c.r", "c.score")
+    # The first of each of SALTS parts of a language come before the first of the whole, so no task ranks more than SALTS * top of its phrases.
+    for by in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        found = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     return found.join(size, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
