@@ -45,16 +45,16 @@ def _sum(column: str) -> Column:
 SUMS = ["ok", "fresh", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "real_total", "cost", "latency_ms"]
 
 
-def _sums() -> list[Column]:
+def group_sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in SUMS], F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")]
 
 
 def summary(events: DataFrame, query: Query) -> DataFrame:
     """One row, also without events: requests, successes, tokens, rates, cost, mean latency, first and last time."""
-    return _summary_of(measured(in_range(events, query)).agg(*_sums()))
+    return summary_of(measured(in_range(events, query)).agg(*group_sums()))
 
 
-def _summary_of(sums: DataFrame) -> DataFrame:
+def summary_of(sums: DataFrame) -> DataFrame:
     whole = {"total_requests": "n", "success_requests": "ok", "input_tokens": "fresh", "real_total_tokens": "real_total"} | {c: c for c in ("output_tokens", "cache_read_tokens", "cache_creation_tokens")}
     row = sums.select(
         *[F.coalesce(F.col(c), F.lit(0)).alias(name) for name, c in whole.items()],
@@ -95,16 +95,16 @@ def _spine(events: DataFrame, query: Query) -> DataFrame:
     return ends.select(F.explode(F.expr(f"sequence(((a + {o}) div {s}) * {s} - {o}, ((b + {o}) div {s}) * {s} - {o}, {s}L)")).alias("bucket_start"))
 
 
-def _bucket(query: Query) -> Column:
+def bucket_of(query: Query) -> Column:
     return month_start() if query.bucket.seconds is None else bucket_start(query.bucket.seconds, query.offset)
 
 
 def trend(events: DataFrame, query: Query) -> DataFrame:
     """One row a bucket, empty buckets included, in order."""
-    return _trend_of(measured(in_range(events, query)).groupBy(_bucket(query).alias("bucket_start")).agg(*_sums()), query)
+    return trend_of(measured(in_range(events, query)).groupBy(bucket_of(query).alias("bucket_start")).agg(*group_sums()), query)
 
 
-def _trend_of(found: DataFrame, query: Query) -> DataFrame:
+def trend_of(found: DataFrame, query: Query) -> DataFrame:
     sums = ["ok", "fresh", "cache_creation_tokens", "cache_read_tokens", "output_tokens", "cost", "latency_ms"]
     rows = _spine(found, query).join(found.select("bucket_start", "n", *sums), "bucket_start", "left")
     value = {c: F.coalesce(F.col(c), F.lit(0.0 if c == "cost" else 0)) for c in ["n", *sums]}
@@ -149,19 +149,19 @@ def _breakdown_columns(key: Column, label: Column) -> list[Column]:
 
 def breakdown(events: DataFrame, query: Query, dimension: str) -> DataFrame:
     """The ten largest values of node_id, app_type or model by real tokens."""
-    return _breakdown_of(measured(in_range(events, query)).groupBy(dimension).agg(*_sums()), dimension)
+    return breakdown_of(measured(in_range(events, query)).groupBy(dimension).agg(*group_sums()), dimension)
 
 
-def _breakdown_of(groups: DataFrame, dimension: str) -> DataFrame:
+def breakdown_of(groups: DataFrame, dimension: str) -> DataFrame:
     return groups.orderBy(F.desc("real_total"), dimension).limit(TOP).select(*_breakdown_columns(F.col(dimension), F.col(dimension)))
 
 
 def provider_breakdown(events: DataFrame, catalog: DataFrame, query: Query) -> DataFrame:
     """The ten largest (provider, catalogue name) groups; a missing name and an empty one are different groups."""
-    return _provider_breakdown_of(measured(in_range(events, query)).groupBy(*PROVIDER_KEY).agg(*_sums()), catalog)
+    return provider_breakdown_of(measured(in_range(events, query)).groupBy(*PROVIDER_KEY).agg(*group_sums()), catalog)
 
 
-def _provider_breakdown_of(by_key: DataFrame, catalog: DataFrame) -> DataFrame:
+def provider_breakdown_of(by_key: DataFrame, catalog: DataFrame) -> DataFrame:
     named = by_key.join(catalog.select(*PROVIDER_KEY, "name"), PROVIDER_KEY, "left")
     groups = named.groupBy("provider_id", "name").agg(*[F.sum(c).alias(c) for c in ("n", "ok", "real_total", "cost")])
     groups = groups.withColumn("label", provider_label())
@@ -238,10 +238,10 @@ def grouped(events: DataFrame, query: Query) -> DataFrame:
     The range's rows are read once; each is put into every grouping in the task
     that reads it and added up there, so one exchange moves partial sums only.
     """
-    rows = measured(in_range(events, query)).withColumn("bucket_start", _bucket(query))
+    rows = measured(in_range(events, query)).withColumn("bucket_start", bucket_of(query))
     by = ["bucket_start", *dict.fromkeys([*DIMENSIONS.values(), *PROVIDER_KEY])]
     numbers = {sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in columns): name for name, columns in GROUPINGS.items()}
-    sums = rows.groupingSets([[F.col(c) for c in columns] for columns in GROUPINGS.values()], *by).agg(F.grouping_id().alias("number"), *_sums())
+    sums = rows.groupingSets([[F.col(c) for c in columns] for columns in GROUPINGS.values()], *by).agg(F.grouping_id().alias("number"), *group_sums())
     names = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
     return sums.withColumn("grouping", names[F.col("number").cast("int")]).drop("number")
 
@@ -253,9 +253,9 @@ def overview(events: DataFrame, catalog: DataFrame, query: Query) -> dict:
     whole = part["summary"].agg(*[F.sum(c).alias(c) for c in ("n", *SUMS)], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))  # a row, also of none
     return {
         "range": query,
-        "summary": _summary_of(whole),
-        "trend": _trend_of(part["trend"], query),
-        "breakdowns": {name: _breakdown_of(part[name], column) for name, column in DIMENSIONS.items()} | {"providers": _provider_breakdown_of(part["providers"], catalog)},
+        "summary": summary_of(whole),
+        "trend": trend_of(part["trend"], query),
+        "breakdowns": {name: breakdown_of(part[name], column) for name, column in DIMENSIONS.items()} | {"providers": provider_breakdown_of(part["providers"], catalog)},
         "data_scope": "detailOnly",
     }
 

@@ -19,6 +19,8 @@ USAGE_EVENTS = _fields(
     "request_model string, pricing_model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, "
     "input_token_semantics long, total_cost_usd string, latency_ms long, status_code long, is_streaming boolean, data_source string, received_at long"
 )
+#: Events as the store keeps them, by their UTC day.
+STORED_EVENTS = T.StructType([*USAGE_EVENTS.fields, T.StructField("event_date", T.DateType())])
 PROVIDER_CATALOG = _fields("node_id string, app_type string, provider_id string, name string, updated_at long")
 ROLLUP_DIMENSIONS = ["node_id", "date", "app_type", "provider_id", "model", "request_model", "pricing_model"]
 ROLLUP_MEASURES = [

@@ -1,7 +1,7 @@
 """Continuous upload: a file stream of ledger rows into an idempotent store.
 
-The store is a snapshot table: accepted events by day and the index of their
-keys, and how far each stream has come, all made visible by one commit.  A
+The store is a snapshot table: accepted events by day, the index of their keys
+and their partial sums, and how far each stream has come, all made visible by one commit.  A
 micro-batch that is replayed after a failure finds itself recorded or starts
 anew from what is visible; a reader sees all days of a batch or none.  Whether an
 event is stored is asked of the key index, so its day does not matter: the time
@@ -15,20 +15,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DateType, StructField, StructType
 
 from ..functions.usage import event_id
 from ..operators.ingest import dispositions
 from ..operators.key_index import index_tables, known_keys, with_keys
-from ..schema import USAGE_EVENTS, conform, with_event_date, with_event_defaults
+from ..operators.partials import EVENTS, PARTIALS, with_partials
+from ..schema import STORED_EVENTS, USAGE_EVENTS, conform, with_event_date, with_event_defaults
 from ..sources.shared import read_pointer, remove_folder, write_pointer
 from ..sources.tables import BATCH, drain_batches
 from ..sources.snapshots import Conflict, Snapshots, manifest_parts, merged_run
 
-POLL, EVENTS = "5 seconds", "events"
+POLL = "5 seconds"
 #: Rows from which a part of the store is merged with no other any more; how often a batch is tried against other writers.
 MOST_ROWS, ATTEMPTS = 50_000_000, 5
-STORED = StructType([*USAGE_EVENTS.fields, StructField("event_date", DateType())])
 
 
 class UploadRefused(ValueError):
@@ -38,7 +37,7 @@ class UploadRefused(ValueError):
 def stored(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
     """All accepted events of a store at a version (the latest unless told), with event_date, their partition; an empty frame where there is none yet."""
     table = Snapshots(spark, store)
-    return table.read(EVENTS, STORED, table.manifest(version))
+    return table.read(EVENTS, STORED_EVENTS, table.manifest(version))
 
 
 def accept(batch: DataFrame, batch_id: int | None, store: str, now: int, stream: str = "", facts: dict | None = None) -> dict[str, int]:
@@ -70,13 +69,15 @@ def _accept(table: Snapshots, batch: DataFrame, batch_id: int | None, now: int,
     known = known_keys(table, base, rows.select(F.col("event_id").alias("key"))).withColumnRenamed("key", "event_id")
     new = dispositions(known, rows).filter("disposition = 'accepted'").withColumn("received_at", F.lit(now).cast("long"))
     folder = table.write(with_event_date(conform(new, USAGE_EVENTS)).hint("rebalance", "event_date"), EVENTS, ("event_date",))
-    accepted = table.read_parts([{"folder": folder}], STORED).count()  # from the files' footers
+    accepted = table.read_parts([{"folder": folder}], STORED_EVENTS).count()  # from the files' footers
     counts = {"sent": sent, "accepted": accepted, "duplicates": sent - accepted, "rejected": 0}
     tables = {}
     if accepted:
         part = {"folder": folder, "rows": accepted}
-        keys = with_keys(table, base, table.read_parts([part], STORED).select(F.col("event_id").alias("key")), accepted)
-        tables = {EVENTS: _merged(table, manifest_parts(base, EVENTS), part)} | index_tables(keys)
+        stored_now = table.read_parts([part], STORED_EVENTS)
+        keys = with_keys(table, base, stored_now.select(F.col("event_id").alias("key")), accepted)
+        sums = with_partials(table, base, stored_now, accepted)
+        tables = {EVENTS: _merged(table, manifest_parts(base, EVENTS), part), PARTIALS: sums} | index_tables(keys)
     else:
         remove_folder(table.spark, f"{table.path}/{folder}")
     streams = {} if batch_id is None else {"streams": done | {stream: {"batch_id": batch_id, "counts": counts}}}
@@ -90,7 +91,7 @@ def _merged(table: Snapshots, before: list[dict], part: dict) -> list[dict]:
     if not n:
         return [*before, part]
     small = [*before[len(before) - n :], part]
-    folder = table.write(table.read_parts(small, STORED).hint("rebalance", "event_date"), EVENTS, ("event_date",))
+    folder = table.write(table.read_parts(small, STORED_EVENTS).hint("rebalance", "event_date"), EVENTS, ("event_date",))
     return [*before[: len(before) - n], {"folder": folder, "rows": sum(p["rows"] for p in small)}]
 
 
