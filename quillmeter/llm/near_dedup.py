@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import dart_minhash as darts
 from .common import discard, in_slices, whole_text, written
-from .components import components
+from .components import components, stars
 
 SIMILARITY = 0.8
 #: Buckets with several classes are paired off up to this size; pivots join up the bulk of others before the exact join.
@@ -105,17 +105,24 @@ def _alike_in_size(a: str, b: str, similarity: float):
     return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def mixed(met: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members (key, doc_id, n_cells, class, n, head) of the buckets that ``links`` leave in several classes: n members, of which head is one."""
+def mixed(met: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Members (key, doc_id, n_cells, class, n, head) of the buckets that ``classes`` (``stars``) leave in several classes: n members, of which head is one."""
     classed = met.withColumn("class", F.col("doc_id"))
-    if links is not None:
-        classed = met.join(components(links), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_cells", F.coalesce("class_id", "doc_id").alias("class"))
+    if classes is not None:
+        classed = met.join(classes, F.col("doc_id") == F.col("u"), "left").select("key", "doc_id", "n_cells", F.coalesce("v", "doc_id").alias("class"))
     several = classed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min("doc_id").alias("head")).filter("low <> high")
     return classed.join(several.select(F.col("key").alias("m_key"), "n", "head"), F.col("key") == F.col("m_key")).drop("m_key")
 
 
+def joined_up(classes: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``classes`` (``stars``), joined up by more links (a, b); links that are already within them are not gone through again."""
+    if links.isEmpty():
+        return classes
+    return stars(links if classes is None else classes.select(F.col("u").alias("a"), F.col("v").alias("b")).union(links))
+
+
 def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
-    """(a, b): links that join up the representatives (doc_id, n_cells, fingerprint, bands, bits) found similar.  docs: doc_id, text."""
+    """(a, b): pairs that join up the representatives (doc_id, n_cells, fingerprint, bands, bits) found similar, each with its class's smallest.  docs: doc_id, text."""
     spark = docs.sparkSession
     members = reps.select("doc_id", "n_cells", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("shared_key"))
@@ -125,11 +132,12 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFr
     sets = sets.join(prints, (F.col("doc_id") == F.col("id")) & (F.col("fingerprint") == F.col("print"))).dropDuplicates(["doc_id"])
     sets, sets_path = written(sets.select("doc_id", "bits", "cells"))
 
-    links = None
+    classes, several = None, True
     for round_ in range(ROUNDS):
-        rows, rows_path = written(mixed(met, links))
+        rows, rows_path = written(mixed(met, classes))
         if rows.isEmpty():
             discard(spark, rows_path)
+            several = False
             break
         small = (F.col("n") <= SMALL) if round_ == ROUNDS - 1 else F.lit(False)
         first = rows.filter(~small).groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(round_)).alias("hash"), "doc_id", "n_cells", "class")).alias("first"))
@@ -137,12 +145,12 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFr
         pivots = pivots.union(rows.filter(small).select("key", "doc_id", "n_cells", "class"))
         pairs = rows.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("class") != F.col("p_class")) & _alike_in_size("p_n", "n_cells", similarity))
         new = compared(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")), sets, similarity)
-        links = new if links is None else links.union(new)
+        classes = joined_up(classes, new)
         discard(spark, rows_path)
-    if links is not None:
-        links = links.union(links_between_classes(mixed(met, links).filter(F.col("n") > SMALL), sets, similarity))
+    if several:
+        classes = joined_up(classes, links_between_classes(mixed(met, classes).filter(F.col("n") > SMALL), sets, similarity))
     discard(spark, met_path, sets_path)
-    return links
+    return None if classes is None else classes.select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def links_between_classes(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -231,8 +239,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = similar_pairs(reps, base, similarity)
     of_rep = reps.select(F.col("doc_id").alias("rep"), F.col("fingerprint").alias("print"))
     if links is not None:
-        classes = components(links)
-        of_rep = of_rep.join(classes, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("class_id", "rep").alias("class_id"))
+        of_rep = of_rep.join(links, F.col("rep") == F.col("a"), "left").select("print", F.coalesce("b", "rep").alias("class_id"))
     else:
         of_rep = of_rep.withColumnRenamed("rep", "class_id")
     members = sketch.select("doc_id", F.when(F.col("n_cells") > 0, F.col("fingerprint")).alias("fingerprint"))

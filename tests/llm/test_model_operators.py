@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quillmeter.llm import ann_search as A
 from quillmeter.llm import attention_lm, byte_bpe, dart_minhash, lm_score, near_dedup, toxicity
 from quillmeter.llm import token_counts as T
-from quillmeter.llm.common import vocabulary_path
+from quillmeter.llm import components as components_module
+from quillmeter.llm.common import vocabulary_path, written
 from quillmeter.llm.components import components
 
 AWKWARD = [None, "", " ", "  a  b ", "a\nb\n\n c", "\ta\t", "▁x▁ y", "日本語 テスト", "😀😀 é　ü", "<s> </s> <|endoftext|>", "a" * 3000, "ab" * 2000 + " z", "don't I'll 123 4,5", "\x00\x1c\x85 x", "word " * 4000]
@@ -286,6 +287,23 @@ def test_a_round_without_links_is_not_the_end(spark):
     assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts) == {i: 2 if i == 3 else i for i in range(13)}
 
 
+def test_settled_classes_are_not_gone_through_again(spark, monkeypatch):
+    """Edges that are stars take no round, and a bucket joined up by one pivot no further comparison: plans stay in the driver's memory."""
+    kept = []
+
+    def counted(df):
+        kept.append(df.columns)
+        return written(df)
+
+    monkeypatch.setattr(components_module, "written", counted)
+    got = {r.node: r.class_id for r in components(spark.createDataFrame([(3, 1), (1, 5), (5, 1), (7, 6), (4, 4)], "a long, b long")).collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 6: 6, 7: 6} and len(kept) == 1
+    kept.clear()
+    texts = [" ".join(f"w{j}" for j in range(100 + i)) for i in range(6)]
+    assert links_of_one_bucket(spark, texts) == components_of_all_pairs(texts) == dict.fromkeys(range(6), 0)
+    assert len(kept) <= 4
+
+
 def test_near_dedup_of_repeats_and_nothing(spark):
     rows = docs(spark, ["a b c d e f", "a b c d e f", None, "q r s t u v"], [1, 1, None, 2])
     assert {tuple(r) for r in near_dedup.near_dedup(rows).collect()} == {(1, 1, 1, True), (2, 2, 1, True)}
