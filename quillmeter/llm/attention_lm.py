@@ -288,9 +288,8 @@ def gradients(w: dict, tokens: np.ndarray, targets: np.ndarray, first: np.ndarra
     there[0] = False
     s = np.empty((n, STEP, SPAN), k.dtype)
     s[:, :, :STEP] = q @ old_k.transpose(0, 2, 1) + w["d"][BEFORE]
-    s[:, :, STEP:] = q @ k.transpose(0, 2, 1) + w["d"][OWN]
+    s[:, :, STEP:] = q @ k.transpose(0, 2, 1) + np.where(SEEN, w["d"][OWN], np.asarray(-1e9, k.dtype))
     s[~there, :, :STEP] = -1e9
-    s[:, :, STEP:][:, ~SEEN] = -1e9
     a = _softmax(s)
     c = (a[:, :, :STEP] @ old_v + a[:, :, STEP:] @ v).reshape(-1, DIM)
     h = np.ones((len(c), HIDDEN + 1), k.dtype)
@@ -319,8 +318,10 @@ def gradients(w: dict, tokens: np.ndarray, targets: np.ndarray, first: np.ndarra
     g["c"], g["s"], g["b"] = c.T @ dz, flat.T @ dz, dz.sum(axis=0)
     dc = (dz @ w["c"].T).reshape(n, -1, DIM)
 
-    da = np.concatenate([dc @ old_v.transpose(0, 2, 1), dc @ v.transpose(0, 2, 1)], axis=2)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    # The mean slope of the keys, as a weighs them, is that of the context with its own.
+    ds = np.concatenate([dc @ old_v.transpose(0, 2, 1), dc @ v.transpose(0, 2, 1)], axis=2)
+    ds -= (dc.reshape(-1, DIM) * c).sum(axis=1).reshape(n, -1, 1)
+    ds *= a
     summed = ds.sum(axis=0)
     g["d"] = np.bincount(np.concatenate([BEFORE, OWN], axis=1).ravel(), weights=summed.ravel(), minlength=SPAN).astype(k.dtype)
     dq = ((ds[:, :, :STEP] @ old_k + ds[:, :, STEP:] @ k) * scale).reshape(-1, DIM)

@@ -4,17 +4,18 @@
    distinct words); the table of counts is written to the shared folder.
 2. The distinct words are cut into subword ids once each, which gives the
    training corpus' count of every id: a row for each id of the vocabulary.
-3. The ids' neighbours are counted in all training texts, and the attention
-   weights are trained on all of them, as ids in a table of the shared folder.
+3. One pass over all texts writes them as ids to a table of the shared folder.
+   Words among the ``FREQUENT`` most frequent are looked up in a broadcast table;
+   the others leave the pass as (document, word, number) rows and meet their
+   counts in a join.  The ids' neighbours are counted in all training texts, and
+   the attention weights are trained on all of them.
    The texts are dealt over parts of about ``PART_IDS`` ids by the hash of their
    id and text, and the parts over ``ROUNDS`` rounds.  In a round, each of its
    parts (all parts, where the corpus has fewer than ``LEAST_STEPS`` steps) is
    gone through in the order of those hashes, from the same weights, and the
    results are averaged by what each part has seen (``trained``).  So the model
    depends on the texts alone, and not on files, partitions or executors.
-4. One pass over all texts scores them.  Words among the ``FREQUENT`` most
-   frequent are looked up in a broadcast table; the others leave the pass as
-   (document, word, number) rows and meet their counts in a join.
+4. All texts, as ids of the same table, are scored.
 
 What comes to the driver has a fixed size: a row for each id, sums of as many
 weights as the model has, and the frequent words.
@@ -23,7 +24,7 @@ weights as the model has, and the frequent words.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import groupby
+from itertools import groupby, islice
 from operator import itemgetter
 
 import numpy as np
@@ -99,6 +100,14 @@ def _encoder(model_path: str):
     return _encoders[model_path]
 
 
+class _Slots(dict):
+    """Gives each word that it meets the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
+
+
 class Words:
     """What a worker knows of the words met lately, within bounds: their ids, and the log count of frequent ones."""
 
@@ -108,7 +117,7 @@ class Words:
         self.reset()
 
     def reset(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.slot = _Slots()
         self.words: list[bytes] = []
         self.ids = np.zeros(1 << 20, np.uint16)
         self.start, self.length, self.log = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64), np.zeros(1 << 17)
@@ -126,7 +135,6 @@ class Words:
         self.start[at : at + more] = self.used + np.cumsum(lengths) - lengths
         self.length[at : at + more] = lengths
         self.log[at : at + more] = [self.frequent.get(w, np.nan) for w in new]
-        self.slot.update(zip(new, range(at, at + more)))
         self.words.extend(new)
         self.used += n
 
@@ -134,28 +142,16 @@ class Words:
         """Each word's number, good until the next call."""
         if len(self.slot) > CACHED_WORDS or self.used > CACHED_IDS:
             self.reset()
-        new = set(words).difference(self.slot)
-        if new:
-            self.learn(list(new))
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        if len(self.slot) > len(self.words):
+            self.learn(list(islice(reversed(self.slot), len(self.slot) - len(self.words)))[::-1])
+        return found
 
     def ids_of(self, slots: np.ndarray) -> np.ndarray:
         length = self.length[slots]
         return self.ids[np.repeat(self.start[slots] - (np.cumsum(length) - length), length) + np.arange(length.sum())].astype(np.int64)
 
 
-def coded(texts: DataFrame, model_path: str) -> DataFrame:
-    """(key, ids) of (doc_id, text): all texts as little-endian 16-bit subword ids, and the hash that deals them out and orders them."""
-
-    def run(batches):
-        words = Words(model_path, {})
-        for batch in in_slices(batches, 1):
-            found = [words.ids_of(words.slots(words_of(text))).astype("<u2").tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "ids"])
-
-    return texts.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
-
-
 def _tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -266,8 +262,8 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, float]:
     return {bytes(r.word): float(np.log10(r.n + 0.5)) for r in counts.filter(level >= least).collect()}
 
 
-def scored(words: Words, scorer: lm.Scorer, texts: list[str]):
-    """(words, frequent ones, their summed log counts, the model's log10 probability, other words, their numbers), for each text."""
+def looked_up(words: Words, texts: list[str]):
+    """(words, frequent ones, their summed log counts, ids, other words, their numbers), for each text."""
     n, known, log, ids, others, numbers = [], [], [], [], [], []
     for text in texts:
         slots = words.slots(words_of(text))
@@ -280,10 +276,54 @@ def scored(words: Words, scorer: lm.Scorer, texts: list[str]):
         ids.append(words.ids_of(slots))
         others.append([words.words[s] for s in slot.tolist()])
         numbers.append(number)
-    return n, known, log, scorer.score(ids), others, numbers
+    return n, known, log, ids, others, numbers
+
+
+_workers: dict[int, Words] = {}
+
 
+def coded(base: DataFrame, model_path: str, frequent: dict[bytes, float]) -> DataFrame:
+    """(doc_id, held_out, key, words, known, log, others, ids) of (doc_id, held_out, text).
 
-_workers: dict[int, tuple[Words, lm.Scorer]] = {}
+    ids: all of the text as little-endian 16-bit subword ids; key: the hash that
+    deals texts out for training and orders them; others: words that are not frequent.
+    """
+    shared = base.sparkSession.sparkContext.broadcast(frequent)
+    shared_id = shared._jbroadcast.id()
+
+    def run(batches):
+        if shared_id not in _workers:
+            _workers.clear()
+            _workers[shared_id] = Words(model_path, shared.value)
+        for batch in in_slices(batches, 3, 1 << 20, 2048):
+            n, known, log, ids, others, number = looked_up(_workers[shared_id], batch.column(3).to_pylist())
+            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in others])]).astype(np.int32)
+            rare = pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array(np.concatenate(number), pa.int64())], ["word", "times"])
+            rare = pa.ListArray.from_arrays(pa.array(offsets), rare).cast(kind)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), rare, pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())],
+                ["doc_id", "held_out", "key", "words", "known", "log", "others", "ids"],
+            )
+
+    kind = base.schema["doc_id"].dataType.simpleString()
+    return base.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, key long, words long, known long, log double, others array<struct<word: binary, times: long>>, ids binary"
+    )
+
+
+def scored(rows: DataFrame, scorer: lm.Scorer) -> DataFrame:
+    """All columns of ``rows`` but ids, and score: the model's log10 probability of the text that they are."""
+    shared = rows.sparkSession.sparkContext.broadcast(scorer)
+    carried = [c for c in rows.columns if c != "ids"]
+
+    def run(batches):
+        for batch in in_slices(batches, len(carried), 1 << 20, 2048):
+            score = shared.value.score(list(_ids([batch.select(["ids"])])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*carried, "score"])
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*carried).schema], "score double"])
+    return rows.select(*carried, "ids").mapInArrow(run, schema)
 
 
 def lm_score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1) -> DataFrame:
@@ -308,33 +348,9 @@ def lm_score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     for r in id_counts(counts, model_path).collect():  # one row an id of the vocabulary at most
         ids[r.id] = r.n
     ids[lm.END] += n_docs
-    learnt, learnt_path = written(coded(learn, model_path))
-    scorer = trained(learnt, ids)
-    discard(spark, learnt_path)
-    shared = spark.sparkContext.broadcast((scorer, frequent_words(counts, FREQUENT)))
-    shared_id = shared._jbroadcast.id()
-
-    def run(batches):
-        if shared_id not in _workers:
-            _workers.clear()
-            model, frequent = shared.value
-            _workers[shared_id] = Words(model_path, frequent), model
-        for batch in in_slices(batches, 2, 1 << 20, 2048):
-            n, known, log, score, others, number = scored(*_workers[shared_id], batch.column(2).to_pylist())
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in others])]).astype(np.int32)
-            rare = pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array(np.concatenate(number), pa.int64())], ["word", "times"])
-            rare = pa.ListArray.from_arrays(pa.array(offsets), rare).cast(kind)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), pa.array(score, pa.float64()), rare],
-                ["doc_id", "held_out", "words", "known", "log", "score", "others"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    passed = base.select("doc_id", "held_out", "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, words long, known long, log double, score double, others array<struct<word: binary, times: long>>"
-    )
+    passed = coded(base, model_path, frequent_words(counts, FREQUENT))
     passed, passed_path = written(passed.withColumn("row", F.monotonically_increasing_id()))  # written once, so a row keeps its number
+    scorer = trained(passed.filter(~F.col("held_out")).select("key", "ids"), ids)
     rare = passed.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
     known = counts.select(F.col("word").alias("counted"), "n")
     rare = rare.join(known, F.col("word") == F.col("counted"), "left")
@@ -342,7 +358,7 @@ def lm_score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log")
     )
     rare = rare.withColumnRenamed("row", "rare_row")
-    out = passed.join(rare, F.col("row") == F.col("rare_row"), "left")
+    out = scored(passed.select("row", "doc_id", "held_out", "words", "known", "log", "ids"), scorer).join(rare, F.col("row") == F.col("rare_row"), "left")
     end = float(np.log10(n_docs + 0.5))
     n_tokens = F.col("words") + 1
     result = out.select(

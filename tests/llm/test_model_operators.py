@@ -450,6 +450,30 @@ def test_language_model_of_repeated_rows(spark):
     assert len({(r.score, r.base_score) for r in got if r.n_tokens == 4}) == 1
 
 
+def test_texts_are_cut_into_ids_once(spark, monkeypatch):
+    coded = []
+
+    def kept(df):
+        table, path = written(df)
+        if "ids" in table.columns:
+            coded.append(table.count())
+        return table, path
+
+    monkeypatch.setattr(lm_score, "written", kept)
+    got = lm_score.lm_score(docs(spark, [f"alpha beta w{i}" for i in range(20)]), vocabulary_path(lm_score.MODEL)).collect()
+    assert len({r.held_out for r in got}) == 2 and coded == [20]  # for training and for scores, held-out texts too
+
+
+def test_words_keep_their_ids_when_the_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(lm_score, "CACHED_WORDS", 3)
+    words = lm_score.Words(vocabulary_path(lm_score.MODEL), {b"the": 1.5})
+    for text in ["the a b the", "", "c the d", "Épsilon e the f", "g the a"]:
+        found = lm_score.words_of(text)
+        slots = words.slots(found)
+        assert [words.words[i] for i in slots] == found and (np.isnan(words.log[slots]) == [w != b"the" for w in found]).all()
+        assert words.ids_of(slots).tolist() == [i for w in found for i in words.encode([w.decode()])[0]]
+
+
 def test_frequent_words_are_all_from_some_count_on(spark):
     counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), i + 1) for i in range(300)], "word binary, n long")
     for most in (0, 1, 50, 299, 1000):
