@@ -9,9 +9,13 @@ the others are clustered by their neighbours, and like classes share a group.
 
 A text is cut into blocks of ``STEP`` queries; each sees its own block up to
 itself, and the whole block before.  So the context windows overlap, and each
-token is scored once.  As nothing but the id enters a token's query, key and
-value, these are tables for scoring: blocks of many texts go through a few
-gathers and batched products under the causal mask together.
+token is scored once.  Blocks of many texts go through one gather and batched
+products under the causal mask together.
+
+A query meets a key, and a value the hidden layer, through products of two small
+matrices that are multiplied once a step (``merged``), so tokens go by their
+embeddings alone.  Training and scoring share this pass (``hidden``), in
+runs of ``TOGETHER`` windows whose arrays stay in a core's cache and are used again.
 
 Training goes through all windows of all texts it is given, and takes the loss at
 every position of a window.
@@ -21,6 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import prod
 
 import numpy as np
 
@@ -30,7 +36,7 @@ SINGLES, NEAR = 512, 32
 N_CLASSES = FAN * FAN
 BATCH, RATE, EMBED_RATE, SEED = 256, 1e-2, 0.1, 5
 SPAN = 2 * STEP
-TOGETHER = 512  # windows that are scored in one go
+TOGETHER = 256  # windows that are trained on or scored in one go
 _i, _j = np.arange(STEP)[:, None], np.arange(STEP)[None, :]
 #: Distances from query i to key j of the own block, and of the block before; which keys of the own block a query sees.
 OWN, BEFORE, SEEN = np.maximum(_i - _j, 0), _i + STEP - _j, _j <= _i
@@ -150,16 +156,82 @@ def _by_group(group: np.ndarray):
     return order, [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
 
 
+class Room(dict):
+    """Arrays by name that are used again: fresh ones cost more than much of what is computed in them."""
+
+    def __call__(self, name: str, dtype, *shape: int) -> np.ndarray:
+        size = prod(shape)
+        if name not in self or self[name].size < size or self[name].dtype != dtype:
+            self[name] = np.empty(size, dtype)
+        return self[name][:size].reshape(shape)
+
+
+def merged(w: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the weights make together: query to key; context, token and a one to the hidden layer and its one; bias of each query and key; group and place."""
+    scale = np.float32(1 / np.sqrt(DIM))
+    wide = np.zeros((2 * DIM + 1, HIDDEN + 1), w["e"].dtype)
+    wide[:DIM, :HIDDEN], wide[DIM : 2 * DIM, :HIDDEN], wide[2 * DIM, :HIDDEN], wide[2 * DIM, HIDDEN] = w["v"] @ w["c"], w["s"], w["b"], 1
+    bias = np.concatenate([w["d"][BEFORE], np.where(SEEN, w["d"][OWN], np.asarray(-1e9, w["d"].dtype))], axis=1)
+    return w["q"] @ w["k"].T * scale, wide, bias, np.concatenate([np.broadcast_to(w["group"], w["place"].shape), w["place"]], axis=2)
+
+
+def _exp(x: np.ndarray, most: float) -> np.ndarray:
+    """In place; scores are small, so no shift is needed to keep the sums finite."""
+    if x.size and x.max() > most:
+        np.minimum(x, most, out=x)
+    return np.exp(x, out=x)
+
+
+def hidden(e: np.ndarray, alone: np.ndarray, m: np.ndarray, wide: np.ndarray, bias: np.ndarray, room: Room) -> tuple[np.ndarray, ...]:
+    """The hidden layer, with a one behind, of the windows behind the first of ``e`` (windows, STEP, DIM); then what its slopes need.
+
+    Those that are ``alone`` do not see the window before.
+    """
+    n, kind = len(e) - 1, e.dtype
+    keys = np.ndarray((n, SPAN, DIM), kind, e, strides=e.strides)  # overlapping: a window and the one before
+    turned = room("turned", kind, n, DIM, SPAN)
+    turned[:] = keys.transpose(0, 2, 1)
+    query = np.matmul(e[1:].reshape(-1, DIM), m, out=room("query", kind, n * STEP, DIM)).reshape(n, STEP, DIM)
+    a = np.matmul(query, turned, out=room("a", kind, n, STEP, SPAN))
+    a += bias
+    _exp(a, 60)
+    a[alone, :, :STEP] = 0
+    flat = a.reshape(-1, SPAN)
+    flat *= (1 / (flat @ np.ones(SPAN, kind)))[:, None]
+    x = room("x", kind, n, STEP, 2 * DIM + 1)
+    np.matmul(a, keys, out=x[:, :, :DIM])
+    x[:, :, DIM : 2 * DIM] = e[1:]
+    x[:, :, 2 * DIM] = 1
+    x = x.reshape(-1, 2 * DIM + 1)
+    h = np.matmul(x, wide, out=room("h", kind, n * STEP, HIDDEN + 1))
+    return np.maximum(h, 0, out=h), x, a, query, keys, turned
+
+
+def logits(h: np.ndarray, targets: np.ndarray, class_of: np.ndarray, both: np.ndarray, room: Room):
+    """(L, 2 FAN) of group and place of the L targets there are, by group; their rows of ``h`` and places in it, their classes, the runs of a group."""
+    goal = targets.ravel()
+    live = np.flatnonzero(goal >= 0)
+    code = class_of.take(goal[live])
+    order, runs = _by_group(code // FAN)
+    live, code = live[order], code[order]
+    hl = np.take(h, live, axis=0, out=room("hl", h.dtype, len(live), HIDDEN + 1), mode="clip")
+    y = room("y", h.dtype, len(live), 2 * FAN)
+    for g, i, j in runs:
+        np.matmul(hl[i:j], both[g], out=y[i:j])
+    return y, hl, live, code, runs
+
+
+def _chosen(code: np.ndarray) -> np.ndarray:
+    """Where each row of logits has its class' group, then its place."""
+    at = np.arange(0, len(code) * 2 * FAN, 2 * FAN)
+    return np.concatenate([at + code // FAN, at + (FAN + code % FAN)])
+
+
 @dataclass
 class Scorer:
-    """A trained model as tables by id, for scoring."""
-
-    table: np.ndarray  # (id, 3 DIM + 1 + HIDDEN): query, key, value and a one, the token's own part of the hidden layer
-    context: np.ndarray  # (DIM, HIDDEN)
-    own: np.ndarray  # (STEP, STEP): bias of each query and key of the block, -inf where masked
-    before: np.ndarray  # the same for keys of the block before
-    group: np.ndarray
-    place: np.ndarray
+    """A trained model."""
+
+    w: dict[str, np.ndarray]
     class_of: np.ndarray
     log_share: np.ndarray  # log10 of each id's share of its class
 
@@ -167,92 +239,91 @@ class Scorer:
         """log10 probability of each text's ids and its end."""
         tokens, targets, first = windows(texts)
         text = np.cumsum(first) - 1
-        out = np.zeros(len(texts))
+        out, room, made = np.zeros(len(texts)), Room(), merged(self.w)
         for at in range(0, len(tokens), TOGETHER):
             to = min(at + TOGETHER, len(tokens))
-            low = max(at - 1, 0)  # the block before the first is needed for its keys
-            goal = targets[at:to]
-            live = np.flatnonzero(goal.ravel() >= 0)
-            found = self._log10(tokens[low:to], first[at:to], at - low, goal.ravel()[live], live)
-            out += np.bincount(np.repeat(text[at:to], STEP)[live], weights=found, minlength=len(texts)) if len(texts) < TOGETHER else self._added(text[at:to], live, found, len(texts))
+            found, live = self._log10(tokens, targets[at:to], first[at:to], at, made, room)
+            low, of = text[at], np.repeat(text[at:to], STEP)[live]
+            out[low : text[to - 1] + 1] += np.bincount(of - low, weights=found, minlength=text[to - 1] + 1 - low)
         return out
 
-    @staticmethod
-    def _added(text: np.ndarray, live: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        of = np.repeat(text, STEP)[live]
-        out[text[0] : text[-1] + 1] = np.bincount(of - text[0], weights=found, minlength=text[-1] - text[0] + 1)
-        return out
-
-    def _log10(self, tokens: np.ndarray, first: np.ndarray, skip: int, goal: np.ndarray, live: np.ndarray) -> np.ndarray:
-        t = self.table.take(tokens, axis=0)
-        q, k, v = t[skip:, :, :DIM], t[:, :, DIM : 2 * DIM], t[:, :, 2 * DIM : 3 * DIM + 1]
-        s = q @ k[skip:].transpose(0, 2, 1)
-        s += self.own
-        np.exp(np.minimum(s, 60, out=s), out=s)  # scores are small: no shift is needed to keep the sums finite
-        c = s @ v[skip:]
-        n = len(q)
-        if skip or n > 1:
-            has = n - 1 + skip  # queries with a block before them in the batch
-            s = q[n - has :] @ k[:has].transpose(0, 2, 1)
-            s += self.before
-            np.exp(np.minimum(s, 60, out=s), out=s)
-            s[first[n - has :]] = 0
-            c[n - has :] += s @ v[:has]
-        c = c.reshape(-1, DIM + 1)
-        h = np.ones((n * STEP, HIDDEN + 1), np.float32)
-        np.matmul(c[:, :DIM] / c[:, DIM:], self.context, out=h[:, :HIDDEN])
-        h[:, :HIDDEN] += t[skip:, :, 3 * DIM + 1 :].reshape(-1, HIDDEN)
-        np.maximum(h[:, :HIDDEN], 0, out=h[:, :HIDDEN])
-        code = self.class_of.take(goal)
-        order, runs = _by_group(code // FAN)
-        code, h = code[order], h.take(live[order], axis=0)
-        one = np.ones(FAN, np.float32)
-
-        def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-            np.minimum(z, 80, out=z)
-            own = z[np.arange(len(z)), at]
-            return own - np.log(np.exp(z, out=z) @ one)
-
-        found = picked(h @ self.group, code // FAN)
-        place = code % FAN
-        for g, a, b in runs:
-            found[a:b] += picked(h[a:b] @ self.place[g], place[a:b])
-        out = np.empty(len(found))
-        out[order] = found
-        return out / np.log(10) + self.log_share.take(goal)
+    def _log10(self, tokens: np.ndarray, targets: np.ndarray, first: np.ndarray, at: int, made: tuple, room: Room) -> tuple[np.ndarray, np.ndarray]:
+        """Of the targets of the windows from ``at`` on, and where each is."""
+        *made, both = made
+        e = self.w["e"].take(tokens[np.maximum(np.arange(at - 1, at + len(first)), 0)], axis=0)  # the window before is needed for its keys
+        h, *_ = hidden(e, first, *made, room)
+        y, _, live, code, _ = logits(h, targets, self.class_of, both, room)
+        chosen, y = _chosen(code), np.minimum(y, 80, out=y) if y.size and y.max() > 80 else y
+        found = y.ravel()[chosen].reshape(2, -1).sum(axis=0)
+        found -= np.log(np.exp(y, out=y).reshape(-1, FAN) @ np.ones(FAN, y.dtype)).reshape(-1, 2).sum(axis=1)
+        return found / np.log(10) + self.log_share.take(targets.ravel()[live]), live
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """(id, 3 DIM + 1 + HIDDEN): each id's query, key, value and a one, own part of the hidden layer."""
+        e, scale = self.w["e"], np.float32(1 / np.sqrt(DIM))
+        return np.concatenate([e @ self.w["q"] * scale, e @ self.w["k"], e @ self.w["v"], np.ones((len(e), 1), np.float32), e @ self.w["s"] + self.w["b"]], axis=1)
+
+    @cached_property
+    def own(self) -> np.ndarray:
+        """Bias of each query and key of the block, -inf where masked."""
+        return np.where(SEEN, self.w["d"][OWN], -np.inf).astype(np.float32)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The same for keys of the block before."""
+        return self.w["d"][BEFORE]
+
+    context = property(lambda self: self.w["c"])
+    group = property(lambda self: self.w["group"])
+    place = property(lambda self: self.w["place"])
 
 
 def scorer(w: dict[str, np.ndarray], class_of: np.ndarray, counts: np.ndarray) -> Scorer:
     smooth = counts + 0.5
-    log_share = np.log10(smooth / np.bincount(class_of, weights=smooth, minlength=N_CLASSES)[class_of])
-    e, scale = w["e"], np.float32(1 / np.sqrt(DIM))
-    table = np.concatenate([e @ w["q"] * scale, e @ w["k"], e @ w["v"], np.ones((len(e), 1), np.float32), e @ w["s"] + w["b"]], axis=1).astype(np.float32)
-    own = np.where(SEEN, w["d"][OWN], -np.inf).astype(np.float32)
-    return Scorer(table, w["c"].copy(), own, w["d"][BEFORE].astype(np.float32), w["group"], w["place"], class_of, log_share)
+    return Scorer({n: x.copy() for n, x in w.items()}, class_of, np.log10(smooth / np.bincount(class_of, weights=smooth, minlength=N_CLASSES)[class_of]))
 
 
 class Trainer:
-    """Goes through windows in batches and moves weights in place: Adam, and Adagrad by row for the embeddings."""
+    """Goes through windows in batches and moves weights in place: Adam, and Adagrad by row for the embeddings.
+
+    The arrays in ``w``, but e, become parts of one vector.
+    """
 
     def __init__(self, w: dict[str, np.ndarray], class_of: np.ndarray):
         self.w, self.class_of, self.done = w, class_of, 0
-        self.first = {n: np.zeros_like(x) for n, x in w.items() if n != "e"}
-        self.second = {n: np.zeros_like(x) for n, x in w.items() if n != "e"}
-        self.seen = np.full(len(w["e"]), 1e-8, np.float32)
+        self.rest = [n for n in w if n != "e"]
+        self.all, at = np.concatenate([w[n].ravel() for n in self.rest]), 0
+        for n in self.rest:
+            w[n], at = self.all[at : at + w[n].size].reshape(w[n].shape), at + w[n].size
+        self.first, self.second = np.zeros_like(self.all), np.zeros_like(self.all)
+        self.seen, self.room = np.full(len(w["e"]), 1e-8, np.float32), Room()
 
     def go(self, tokens: np.ndarray, targets: np.ndarray, first: np.ndarray, rng: np.random.Generator, rate_of) -> None:
         """Once through these windows, runs of neighbouring ones in random order; ``rate_of`` gives a step's share of the rate by its number."""
         for at in (rng.permutation(-(-len(tokens) // BATCH)) * BATCH).tolist():
-            g, ids, ge = gradients(self.w, tokens[at : at + BATCH], targets[at : at + BATCH], first[at : at + BATCH], self.class_of)
+            g, ids, ge = gradients(self.w, tokens[at : at + BATCH], targets[at : at + BATCH], first[at : at + BATCH], self.class_of, self.room)
             self.done += 1
             rate = rate_of(self.done)
-            for n, x in g.items():
-                self.first[n] += 0.1 * (x - self.first[n])
-                self.second[n] += 0.01 * (x * x - self.second[n])
-                self.w[n] -= RATE * rate * (self.first[n] / (1 - 0.9**self.done)) / (np.sqrt(self.second[n] / (1 - 0.99**self.done)) + 1e-8)
-            self.seen[ids] += (ge * ge).mean(axis=1)
-            self.w["e"][ids] -= EMBED_RATE * rate * ge / np.sqrt(self.seen[ids])[:, None]
+            self.move(np.concatenate([g[n].ravel() for n in self.rest]), rate)
+            self.seen[ids] += np.einsum("ij,ij->i", ge, ge) / DIM
+            ge *= (EMBED_RATE * rate / np.sqrt(self.seen[ids]))[:, None]
+            self.w["e"][ids] -= ge
+
+    def move(self, g: np.ndarray, rate: float) -> None:
+        """A step of Adam; ``g`` is used up."""
+        by = g - self.first
+        by *= 0.1
+        self.first += by
+        g *= g
+        g -= self.second
+        g *= 0.01
+        self.second += g
+        np.sqrt(self.second, out=g)
+        g += 1e-8 * np.sqrt(1 - 0.99**self.done)
+        np.divide(self.first, g, out=by)
+        by *= RATE * rate * np.sqrt(1 - 0.99**self.done) / (1 - 0.9**self.done)
+        self.all -= by
 
 
 def fit(texts: list[np.ndarray], counts: np.ndarray, passes: int = 1, seed: int = SEED) -> Scorer:
@@ -267,71 +338,64 @@ def fit(texts: list[np.ndarray], counts: np.ndarray, passes: int = 1, seed: int
     return scorer(w, class_of, counts)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    np.minimum(x, 60, out=x)  # scores are small: no shift is needed to keep the sums finite
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
-    return x
-
-
-def gradients(w: dict, tokens: np.ndarray, targets: np.ndarray, first: np.ndarray, class_of: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+def gradients(w: dict, tokens: np.ndarray, targets: np.ndarray, first: np.ndarray, class_of: np.ndarray, room: Room | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
     """The gradient of the mean cross-entropy at all positions of neighbouring windows: of all weights but e, then (ids, rows) of e.
 
     A window whose predecessor is not in the batch attends to its own block.
     """
-    n, scale = len(tokens), np.float32(1 / np.sqrt(DIM))
-    e = w["e"].take(tokens, axis=0)
-    flat = e.reshape(-1, DIM)
-    k, v, q = (flat @ w["k"]).reshape(e.shape), (flat @ w["v"]).reshape(e.shape), (flat @ w["q"] * scale).reshape(e.shape)
-    old_k, old_v = np.concatenate([k[:1] * 0, k[:-1]]), np.concatenate([v[:1] * 0, v[:-1]])
-    there = ~first
-    there[0] = False
-    s = np.empty((n, STEP, SPAN), k.dtype)
-    s[:, :, :STEP] = q @ old_k.transpose(0, 2, 1) + w["d"][BEFORE]
-    s[:, :, STEP:] = q @ k.transpose(0, 2, 1) + np.where(SEEN, w["d"][OWN], np.asarray(-1e9, k.dtype))
-    s[~there, :, :STEP] = -1e9
-    a = _softmax(s)
-    c = (a[:, :, :STEP] @ old_v + a[:, :, STEP:] @ v).reshape(-1, DIM)
-    h = np.ones((len(c), HIDDEN + 1), k.dtype)
-    np.maximum(c @ w["c"] + flat @ w["s"] + w["b"], 0, out=h[:, :HIDDEN])
-
-    goal = targets.ravel()
-    live = np.flatnonzero(goal >= 0)
-    code = class_of[goal[live]]
-    order, runs = _by_group(code // FAN)
-    live, code = live[order], code[order]
-    hl, share = h[live], np.asarray(1 / max(1, len(live)), k.dtype)
-    p = _softmax(hl @ w["group"])
-    p[np.arange(len(p)), code // FAN] -= 1
-    p *= share
-    g = {"group": hl.T @ p, "place": np.zeros_like(w["place"])}
-    dl = p @ w["group"].T
-    for x, i, j in runs:
-        p = _softmax(hl[i:j] @ w["place"][x])
-        p[np.arange(j - i), code[i:j] % FAN] -= 1
-        p *= share
-        g["place"][x] = hl[i:j].T @ p
-        dl[i:j] += p @ w["place"][x].T
-    dz = np.zeros((len(c), HIDDEN), k.dtype)
-    dz[live] = dl[:, :HIDDEN]
-    dz *= h[:, :HIDDEN] > 0
-    g["c"], g["s"], g["b"] = c.T @ dz, flat.T @ dz, dz.sum(axis=0)
-    dc = (dz @ w["c"].T).reshape(n, -1, DIM)
-
-    # The mean slope of the keys, as a weighs them, is that of the context with its own.
-    ds = np.concatenate([dc @ old_v.transpose(0, 2, 1), dc @ v.transpose(0, 2, 1)], axis=2)
-    ds -= (dc.reshape(-1, DIM) * c).sum(axis=1).reshape(n, -1, 1)
-    ds *= a
-    summed = ds.sum(axis=0)
-    g["d"] = np.bincount(np.concatenate([BEFORE, OWN], axis=1).ravel(), weights=summed.ravel(), minlength=SPAN).astype(k.dtype)
-    dq = ((ds[:, :, :STEP] @ old_k + ds[:, :, STEP:] @ k) * scale).reshape(-1, DIM)
-    dk, dv = ds[:, :, STEP:].transpose(0, 2, 1) @ q, a[:, :, STEP:].transpose(0, 2, 1) @ dc
-    dk[:-1] += (ds[:, :, :STEP].transpose(0, 2, 1) @ q)[1:]
-    dv[:-1] += (a[:, :, :STEP].transpose(0, 2, 1) @ dc)[1:]
-    dk, dv = dk.reshape(-1, DIM), dv.reshape(-1, DIM)
-    g["q"], g["k"], g["v"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
-    de = dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T + dz @ w["s"].T
+    room, n, kind = Room() if room is None else room, len(tokens), w["e"].dtype
+    m, wide, bias, both = merged(w)
+    turned_both, turned_wide, turned_m = (np.ascontiguousarray(np.swapaxes(x, -1, -2)) for x in (both[:, :HIDDEN], wide[: 2 * DIM, :HIDDEN], m))
+    share = np.asarray(1 / max(1, np.count_nonzero(targets >= 0)), kind)
+    alone = first.copy()
+    alone[0] = True
+    e, de = room("e", kind, n + 1, STEP, DIM), room("de", kind, n + 1, STEP, DIM)
+    e[0], de[:] = 0, 0  # in front of the first window
+    np.take(w["e"], tokens, axis=0, out=e[1:], mode="clip")
+    g_m, g_wide, g_bias, g_both = (np.zeros_like(x) for x in (m, wide[:, :HIDDEN], bias, both))
+    for at in range(0, n, TOGETHER):
+        to = min(at + TOGETHER, n)
+        h, x, a, query, keys, turned = hidden(e[at : to + 1], alone[at:to], m, wide, bias, room)
+        p, hl, live, code, runs = logits(h, targets[at:to], class_of, both, room)
+        _exp(p, 60)
+        flat = p.reshape(-1, FAN)
+        flat *= (share / (flat @ np.ones(FAN, kind)))[:, None]
+        p.reshape(-1)[_chosen(code)] -= share
+        dl, part = room("dl", kind, len(hl) + 1, HIDDEN), room("part", kind, *both.shape)
+        dl[-1], part[:] = 0, 0  # for positions without a target, and groups without one
+        for g, i, j in runs:
+            np.matmul(hl[i:j].T, p[i:j], out=part[g])
+            np.matmul(p[i:j], turned_both[g], out=dl[i:j])
+        g_both += part
+        dl[:-1] *= hl[:, :HIDDEN] > 0
+        row = np.full(len(h), len(live))
+        row[live] = np.arange(len(live))
+        dz = np.take(dl, row, axis=0, out=room("dz", kind, len(h), HIDDEN), mode="clip")
+        g_wide += x.T @ dz
+        dx = np.matmul(dz, turned_wide[:, :DIM], out=room("dx", kind, len(dz), DIM))
+        # The mean slope of the keys, as a weighs them, is that of the context with its own.
+        mean = np.einsum("ij,ij->i", dx, x[:, :DIM])
+        dx = dx.reshape(query.shape)
+        ds = np.matmul(dx, turned, out=room("ds", kind, *a.shape))
+        ds -= mean.reshape(len(a), STEP, 1)
+        ds *= a
+        g_bias += (np.ones(len(ds), kind) @ ds.reshape(len(ds), -1)).reshape(bias.shape)
+        dq = np.matmul(ds, keys, out=room("dq", kind, *query.shape)).reshape(-1, DIM)
+        g_m += e[at + 1 : to + 1].reshape(-1, DIM).T @ dq
+        dk = np.matmul(ds.transpose(0, 2, 1), query, out=room("dk", kind, len(a), SPAN, DIM))
+        dk += np.matmul(a.transpose(0, 2, 1), dx, out=room("dv", kind, len(a), SPAN, DIM))
+        own = de[at + 1 : to + 1]
+        own += dk[:, STEP:]
+        own += (dq @ turned_m).reshape(own.shape)
+        own += (dz @ turned_wide[:, DIM:]).reshape(own.shape)
+        de[at:to] += dk[:, :STEP]
+
+    g_m *= np.float32(1 / np.sqrt(DIM))
+    into = g_wide[:DIM]
+    g = {"q": g_m @ w["k"], "k": g_m.T @ w["q"], "v": into @ w["c"].T, "c": w["v"].T @ into, "s": g_wide[DIM : 2 * DIM], "b": g_wide[2 * DIM]}
+    g["d"] = np.bincount(np.concatenate([BEFORE, OWN], axis=1).ravel(), weights=g_bias.ravel(), minlength=SPAN).astype(kind)
+    g["group"], g["place"] = g_both[:, :, :FAN].sum(axis=0), g_both[:, :, FAN:]
     order = np.argsort(tokens.ravel().astype(np.uint16), kind="stable")
     ids = tokens.ravel()[order]
-    start = np.flatnonzero(np.diff(ids, prepend=-1))
-    return g, ids[start], np.add.reduceat(de[order], start, axis=0)
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return g, ids[start], np.add.reduceat(de[1:].reshape(-1, DIM).take(order, axis=0), start, axis=0)

@@ -23,12 +23,12 @@ weights as the model has, and the frequent words.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +42,8 @@ FREQUENT, CACHED_WORDS, CACHED_IDS = 1 << 17, 400_000, 4_000_000
 ROUNDS, PART_IDS, LEAST_STEPS = 4, 1 << 20, 400
 #: Windows of a part that are trained on at a time, in random order; fixed-point digits of averaged weights; weights in a row of their sums.
 WINDOWS, FIXED, ROW = 1 << 15, 1 << 20, 16
-FLUSH = 300_000
+#: Bytes of texts whose words are counted, or looked up, at a time (a longer text alone).
+COUNTED, LOOKED_UP = 16 << 20, 4 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -50,23 +51,30 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def split(texts: pa.Array) -> pa.Array:
+    """``words_of`` each text, and empty strings where white space leads or ends it."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word binary, n) of (text): how often each word occurs."""
 
-    def run(batches):
-        seen: Counter[bytes] = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
+    def counted(texts: list[pa.Array]):
+        found = pa.chunked_array([split(x).flatten() for x in texts]).value_counts()
+        words, n = (found.field(i) for i in range(2))
+        full = pc.greater(pc.binary_length(words), 0)
+        return pa.RecordBatch.from_arrays([words.filter(full).cast(pa.binary()), n.filter(full)], ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > FLUSH:
-                    yield flush()
-        yield flush()
+    def run(batches):
+        held, size = [], 0
+        for batch in in_slices(batches, 0, COUNTED, 1 << 20):
+            held.append(batch.column(0))
+            size += pc.sum(pc.binary_length(held[-1])).as_py() or 0
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -81,7 +89,7 @@ def id_counts(counts: DataFrame, model_path: str) -> DataFrame:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for at in range(0, len(words), 5000):
                 ids = encode([w.decode() for w in words[at : at + 5000]])
-                np.add.at(total, np.fromiter((i for x in ids for i in x), np.int64), np.repeat(n[at : at + 5000], [len(x) for x in ids]))
+                np.add.at(total, np.fromiter(chain.from_iterable(ids), np.int64), np.repeat(n[at : at + 5000], [len(x) for x in ids]))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -114,24 +122,31 @@ class Words:
     def __init__(self, model_path: str, frequent: dict[bytes, float]):
         self.encode, _ = _encoder(model_path)
         self.frequent = frequent
-        self.reset()
-
-    def reset(self) -> None:
         self.slot = _Slots()
         self.words: list[bytes] = []
         self.ids = np.zeros(1 << 20, np.uint16)
         self.start, self.length, self.log = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64), np.zeros(1 << 17)
-        self.used = 0
+        self.used = self.kept = 0
+
+    def reset(self) -> None:
+        """Forgets all words but the frequent ones."""
+        keep = np.flatnonzero(~np.isnan(self.log[: len(self.words)]))
+        words, ids, length = [self.words[i] for i in keep.tolist()], self.ids_of(keep), self.length[keep]
+        self.slot, self.words, self.used, self.kept = _Slots(zip(words, range(len(words)))), [], 0, len(words)
+        self.add(words, ids, length)
 
     def learn(self, new: list[bytes]) -> None:
         coded = self.encode([w.decode() for w in new])
-        lengths = np.array([len(x) for x in coded], np.int64)
-        at, more, n = len(self.words), len(new), int(lengths.sum())
+        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.add(new, np.fromiter(chain.from_iterable(coded), np.uint16, int(length.sum())), length)
+
+    def add(self, new: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, more, n = len(self.words), len(new), len(ids)
         while at + more > len(self.start):
             self.start, self.length, self.log = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.log))
         while self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + n] = np.fromiter((i for x in coded for i in x), np.uint16, n)
+        self.ids[self.used : self.used + n] = ids
         self.start[at : at + more] = self.used + np.cumsum(lengths) - lengths
         self.length[at : at + more] = lengths
         self.log[at : at + more] = [self.frequent.get(w, np.nan) for w in new]
@@ -140,7 +155,7 @@ class Words:
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         """Each word's number, good until the next call."""
-        if len(self.slot) > CACHED_WORDS or self.used > CACHED_IDS:
+        if len(self.slot) - self.kept > CACHED_WORDS or self.used > CACHED_IDS:
             self.reset()
         found = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
         if len(self.slot) > len(self.words):
@@ -149,7 +164,7 @@ class Words:
 
     def ids_of(self, slots: np.ndarray) -> np.ndarray:
         length = self.length[slots]
-        return self.ids[np.repeat(self.start[slots] - (np.cumsum(length) - length), length) + np.arange(length.sum())].astype(np.int64)
+        return self.ids[np.repeat(self.start[slots] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -262,21 +277,35 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, float]:
     return {bytes(r.word): float(np.log10(r.n + 0.5)) for r in counts.filter(level >= least).collect()}
 
 
-def looked_up(words: Words, texts: list[str]):
-    """(words, frequent ones, their summed log counts, ids, other words, their numbers), for each text."""
-    n, known, log, ids, others, numbers = [], [], [], [], [], []
-    for text in texts:
-        slots = words.slots(words_of(text))
-        own = words.log[slots]
-        rare = np.isnan(own)
-        slot, number = np.unique(slots[rare], return_counts=True)
-        n.append(len(slots))
-        known.append(int((~rare).sum()))
-        log.append(float(own[~rare].sum()))
-        ids.append(words.ids_of(slots))
-        others.append([words.words[s] for s in slot.tolist()])
-        numbers.append(number)
-    return n, known, log, ids, others, numbers
+def looked_up(words: Words, texts: pa.Array) -> list[pa.Array]:
+    """(words, frequent ones, their summed log counts, other words and their numbers, ids) of each text.
+
+    The words of all these texts are looked up once each.
+    """
+    found = split(texts)
+    n, at = len(texts), found.flatten().dictionary_encode()
+    text = np.repeat(np.arange(n), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    which, found = at.indices.to_numpy(), at.dictionary.cast(pa.binary())
+    if (empty := found.index(b"").as_py()) >= 0:
+        full = which != empty
+        text, which = text[full], which[full] - (which[full] > empty)
+        found = found.filter(pc.greater(pc.binary_length(found), 0))
+    slots = words.slots(found.to_pylist())
+    log = words.log[slots]
+    unknown = np.isnan(log)
+    rare = unknown[which]
+    pair, times = np.unique(text[rare] * len(found) + which[rare], return_counts=True)
+    total, others = np.bincount(text, minlength=n), np.bincount(pair // max(1, len(found)), minlength=n)
+    ids = words.ids_of(slots[which]).astype("<u2", copy=False)
+    ends = 2 * np.cumsum(np.bincount(text, weights=words.length[slots][which], minlength=n).astype(np.int64))
+    pairs = pa.StructArray.from_arrays([found.take(pa.array(pair % max(1, len(found)))), pa.array(times, pa.int64())], ["word", "times"])
+    return [
+        pa.array(total, pa.int64()),
+        pa.array(total - np.bincount(text[rare], minlength=n), pa.int64()),
+        pa.array(np.bincount(text, weights=np.where(unknown, 0, log)[which], minlength=n), pa.float64()),
+        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(others)]), pa.int32()), pairs),
+        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(ids)]),
+    ]
 
 
 _workers: dict[int, Words] = {}
@@ -295,15 +324,9 @@ def coded(base: DataFrame, model_path: str, frequent: dict[bytes, float]) -> Dat
         if shared_id not in _workers:
             _workers.clear()
             _workers[shared_id] = Words(model_path, shared.value)
-        for batch in in_slices(batches, 3, 1 << 20, 2048):
-            n, known, log, ids, others, number = looked_up(_workers[shared_id], batch.column(3).to_pylist())
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in others])]).astype(np.int32)
-            rare = pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array(np.concatenate(number), pa.int64())], ["word", "times"])
-            rare = pa.ListArray.from_arrays(pa.array(offsets), rare).cast(kind)
+        for batch in in_slices(batches, 3, LOOKED_UP):
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), rare, pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())],
-                ["doc_id", "held_out", "key", "words", "known", "log", "others", "ids"],
+                [*batch.columns[:3], *looked_up(_workers[shared_id], batch.column(3))], ["doc_id", "held_out", "key", "words", "known", "log", "others", "ids"]
             )
 
     kind = base.schema["doc_id"].dataType.simpleString()

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,6 +475,39 @@ def test_words_keep_their_ids_when_the_cache_starts_anew(monkeypatch):
         assert words.ids_of(slots).tolist() == [i for w in found for i in words.encode([w.decode()])[0]]
 
 
+def test_words_of_many_texts_are_cut_together():
+    words, calls = lm_score.Words(vocabulary_path(lm_score.MODEL), {b"the": 1.5, b"a": 0.5}), []
+    words.encode = lambda new, of=words.encode: calls.append(new) or of(new)
+    texts = ["", " ", "\n The  b\t", "\u00c9psilon \u00c0B\u3000c the", "a\x1fb\x85c a", "zz zz \x0b\x0c ZZ the q"] + [f"w{i} a w{i + 1}" for i in range(300)]
+    total, known, log, others, ids = (x.to_pylist() for x in lm_score.looked_up(words, pa.array(texts)))
+    assert len(calls) == 1 and len(calls[0]) == len({w for t in texts for w in lm_score.words_of(t)})
+    for i, text in enumerate(texts):
+        found = lm_score.words_of(text)
+        rare = Counter(w for w in found if w not in words.frequent)
+        assert (total[i], known[i], log[i]) == (len(found), len(found) - rare.total(), pytest.approx(sum(words.frequent.get(w, 0) for w in found)))
+        assert {r["word"]: r["times"] for r in others[i]} == rare and len(others[i]) == len(rare)
+        assert np.frombuffer(ids[i], "<u2").tolist() == [x for w in found for x in words.encode([w.decode()])[0]]
+    assert [len(x) for x in lm_score.looked_up(words, pa.array([], pa.string()))] == [0] * 5
+
+
+def test_frequent_words_are_not_cut_again(monkeypatch):
+    monkeypatch.setattr(lm_score, "CACHED_WORDS", 3)
+    words, cut = lm_score.Words(vocabulary_path(lm_score.MODEL), {b"the": 1.5, b"of": 1.0}), Counter()
+    words.encode = lambda new, of=words.encode: cut.update(new) or of(new)
+    for i in range(20):
+        words.slots([b"the", b"w%d" % i, b"of", b"v"])
+    assert cut["the"] == cut["of"] == 1 < cut["v"]
+
+
+def test_words_are_counted_as_they_are_split(spark, monkeypatch):
+    texts = ["", " ", "\n The  b\t", "\u00c9psilon \u00c0B\u3000c the", "a\x1fb\x85c a", "zz zz \x0b\x0c ZZ the"] * 3
+    want = Counter(w for t in texts for w in lm_score.words_of(t))
+    for most in (lm_score.COUNTED, 1):
+        monkeypatch.setattr(lm_score, "COUNTED", most)
+        got = lm_score.word_counts(docs(spark, texts)).collect()
+        assert {bytes(r.word): r.n for r in got} == want and len(got) == len(want)
+
+
 def test_frequent_words_are_all_from_some_count_on(spark):
     counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), i + 1) for i in range(300)], "word binary, n long")
     for most in (0, 1, 50, 299, 1000):
@@ -579,6 +613,35 @@ def test_gradients_are_the_slopes():
             assert g[name][place] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), name
 
 
+def test_slopes_and_scores_do_not_depend_on_windows_together(monkeypatch):
+    rng, m = np.random.default_rng(8), attention_lm
+    batches = [m.windows([rng.integers(3, 60, n) for n in sizes]) for sizes in ((90, 5, 0, 33, 16), (7,))]
+    class_of = rng.integers(0, m.N_CLASSES, 60)
+    w = {n: x.astype(float) + rng.normal(0, 0.2, x.shape) for n, x in m.initial(np.ones(60), class_of).items()}
+    want, room = [m.gradients(w, *b, class_of) for b in batches], m.Room()
+    for together in (1, 3, 256):
+        monkeypatch.setattr(m, "TOGETHER", together)
+        for b, (g, ids, rows) in zip(batches, want):  # a smaller batch after a larger one, in the same arrays
+            got, same, moved = m.gradients(w, *b, class_of, room)
+            assert (same == ids).all() and np.allclose(moved, rows, rtol=1e-9, atol=1e-15)
+            assert all(np.allclose(got[n], g[n], rtol=1e-9, atol=1e-15) for n in g)
+
+
+def test_training_uses_its_arrays_again():
+    import tracemalloc
+
+    rng, counts = np.random.default_rng(9), np.ones(500)
+    tokens, targets, first = attention_lm.windows([rng.integers(3, 500, 16 * attention_lm.BATCH - 1)])
+    class_of = rng.integers(0, attention_lm.N_CLASSES, 500)
+    trainer = attention_lm.Trainer(attention_lm.initial(counts, class_of), class_of)
+    trainer.go(tokens, targets, first, rng, lambda done: 1)
+    tracemalloc.start()
+    trainer.go(tokens, targets, first, rng, lambda done: 1)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 4e6  # 4,096 positions of 64 numbers are a megabyte
+
+
 def test_pipeline_stages_of_awkward_rows(spark, sf_dir):
     import corpus_pipeline as C
 
