@@ -43,7 +43,7 @@ ROUNDS, PART_IDS, LEAST_STEPS = 4, 1 << 20, 400
 #: Windows of a part that are trained on at a time, in random order; fixed-point digits of averaged weights; weights in a row of their sums.
 WINDOWS, FIXED, ROW = 1 << 15, 1 << 20, 16
 #: Bytes of texts whose words are counted, or looked up, at a time (a longer text alone).
-COUNTED, LOOKED_UP = 16 << 20, 4 << 20
+COUNTED, LOOKED_UP = 8 << 20, 2 << 20
 
 
 def words_of(text: str) -> list[bytes]:
