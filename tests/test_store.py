@@ -12,7 +12,7 @@ from quillmeter.operators import key_index as K
 from quillmeter.operators import sync as S
 from quillmeter.plans.params import resolve_query
 from quillmeter.schema import USAGE_EVENTS, conform
-from quillmeter.sources import files, tables
+from quillmeter.sources import files, sessions, tables
 from quillmeter.sources.snapshots import Conflict, Snapshots, merged_run
 from quillmeter.streaming import imports, upload
 
@@ -215,6 +215,42 @@ def test_a_fork_finds_its_parent_in_the_index(spark, tmp_path):
     assert told(spark, whole) == told(spark, path)
 
 
+def test_sessions_are_listed_by_folder(spark, tmp_path):
+    """Files are no places of their own, and neither hidden folders nor odd names get lost; what lies deeper is no session."""
+    root = tmp_path / "codex"
+    good = ["sessions/a.jsonl", "sessions/.h/a.jsonl", "sessions/_h/.i/a.jsonl", "sessions/_k=1/a.jsonl", "sessions/2024/1/2/a [1]{b}*.jsonl", "archived_sessions/a.jsonl"]
+    for name in [*good, "sessions/1/2/3/4/a.jsonl", "archived_sessions/x/a.jsonl", "sessions/a.json", "other/a.jsonl"]:
+        put(root / name, [meta(A)], 1000)
+    places = files._places(spark, str(root), "codex")
+    assert not [p for p in places if p.endswith(".jsonl")] and len(places) == 5
+    found = files._listed(spark, f"{root}/", "codex")
+    assert sorted(r["at"].split("/codex/")[1] for r in found.select("at").collect()) == sorted(good)
+    nothing = files.session_files(spark, str(root), "codex").select(F.col("path").alias("file_path"), F.lit(0).cast("long").alias("last_modified"))
+    for named in (0, 1, 100):  # six changed files: none, some or all of them known by name
+        assert files.changed_files(spark, str(root), "codex", nothing, named).count() == 6
+    put(root / good[4], [meta(A)], 2000)
+    put(root / good[0], [meta(A)], 500)
+    state = files.new_state(None, files.session_files(spark, str(root), "codex"), found.select("path").limit(0), 5).withColumn("last_modified", F.lit(1_000_000_000_000).cast("long"))
+    assert {files.changed_files(spark, str(root), "codex", state, named).first().content for named in (0, 1, 100)} == {json.dumps(meta(A))}
+    assert files.changed_files(spark, str(root), "codex", state).count() == 1
+
+
+def test_sessions_without_parents_do_not_meet_in_one_task(spark, tmp_path):
+    """Of many sessions without a parent no task has more than its share of records."""
+    threads = [f"00000000-0000-4000-8000-{i:012}" for i in range(64)]
+    rows = [(f"/s/rollout-1-{t}.jsonl", i, json.dumps(r)) for t in threads for i, r in enumerate([meta(t), counter(1), counter(2)])]
+    events = sessions.codex_events(spark.createDataFrame(rows, "path string, line_no int, line string"), NOW)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        skips = sessions.codex_skips(sessions.codex_threads(events))
+        per_task = [r["n"] for r in skips.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(per_task) == 64 and max(per_task) < 40
+
+
 def test_a_run_that_is_cut_off_leaves_nothing_and_is_made_good(spark, tmp_path, monkeypatch):
     root, path, checkpoint = tmp_path / "claude", str(tmp_path / "ledger"), str(tmp_path / "checkpoint")
     put(root / "projects/p/one.jsonl", [message("a", 1)], 1000)
