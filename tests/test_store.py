@@ -270,6 +270,15 @@ def test_a_run_that_is_cut_off_leaves_nothing_and_is_made_good(spark, tmp_path,
     assert told(spark, path) == told(spark, whole) and len(told(spark, path)) == 3
 
 
+def test_lines_are_parsed_once(spark, tmp_path, monkeypatch):
+    """Prices read the records twice: they get them stored, not as lines to parse."""
+    root, seen, with_costs = tmp_path / "claude", [], S.with_costs
+    put(root / "projects/p/one.jsonl", [message("a", 1)], 1000)
+    monkeypatch.setattr(S, "with_costs", lambda records, listed: seen.extend(scanned(records)) or with_costs(records, listed))
+    assert S.sync(spark, {"claude": str(root)}, prices(spark), str(tmp_path / "ledger"), NOW, 8)["imported"] == 1
+    assert seen and not [path for path in seen if path.endswith(".jsonl")]
+
+
 def test_rebuild_replaces_all(spark, tmp_path):
     root, path = tmp_path / "claude", str(tmp_path / "ledger")
     put(root / "projects/p/one.jsonl", [message("a", 1), message("b", 1)], 1000)
